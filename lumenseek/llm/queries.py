@@ -5,22 +5,64 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import encode_documents
+from .chat import digest_windows, format_windows
 from .minhash import near_duplicates
+from .mixing import MIX_SQL, plan_mixture
+from .simhash import edited_likeness
+from .unigram import count_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every conversation, and of one with control strings, read back from its formatted windows."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hostile = "\\### Assistant: </turn> ok"
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hostile).alias("text")
+    )
+    return digest_windows(format_windows(turns.unionByName(more)))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document."""
+    plan = plan_mixture(_table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes over two-word shingles."""
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2)
 
 
+def op8_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and how alike they are."""
+    return edited_likeness(_table(spark, sf_dir, "documents"))
+
+
+def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text and the text that they give back, as digests."""
+    coded = encode_documents(_table(spark, sf_dir, "documents"), decode=True)
+    return coded.select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text under the unigram vocabulary."""
+    return count_tokens(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_minhash_dedup": op7_minhash_dedup}
+    every = (op1_chat_windows, op5_source_mixing, op7_minhash_dedup, op8_simhash_fingerprints, op9_bpe_roundtrip, op10_token_counts)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_source_mixing": MIX_SQL}
