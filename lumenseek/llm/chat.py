@@ -167,7 +167,7 @@ def format_windows(
 
     own = summed.select("conv", "segment", F.lit(1).alias("kind"), "start", "role", "text", "tokens")
     edge = (F.col("segment") + 1) * length
-    past = summed.where((F.col("start") + F.col("tokens") > edge - history) & (F.col("tokens") <= history) & (F.col("start") > 0)).select(
+    past = summed.where((F.col("start") + F.col("tokens") > edge - history) & (F.col("start") > 0)).select(
         "conv", (F.col("segment") + 1).alias("segment"), F.lit(0).alias("kind"), "start", "role", "text", "tokens")
     opening = summed.where("start = 0 and role = 'system'").select(F.col("conv").alias("c"), "role", "text", "tokens")
     later = summed.where("segment > 0").select("conv", "segment").distinct()

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .scratch import BROADCAST_IDS, Scratch
 
 CAP = 3
-SEEDS = 16
+SEEDS = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -71,7 +71,8 @@ def _with_copies(rows: DataFrame, rates: DataFrame, id_col: str, source_col: str
     """``rows`` with _rate_* columns of their source and _copies."""
     rates = rates.select(*[F.col(c).alias(f"_rate_{c}") for c in rates.columns])
     out = rows.join(F.broadcast(rates) if _small(rates) else rates, rows[source_col].cast("string").eqNullSafe(rates["_rate_source"]))
-    draw = F.element_at(F.array(*_draws(F.coalesce(rows[id_col].cast("string"), F.lit("")))), F.col("_rate_seed") + 1)
+    digest = F.md5(F.concat(F.floor(F.col("_rate_seed") / 4).cast("string"), F.lit(":"), F.coalesce(rows[id_col].cast("string"), F.lit(""))))
+    draw = F.conv(F.substring(digest, F.pmod("_rate_seed", F.lit(4)) * 8 + 1, F.lit(8)), 16, 10).cast("double") / 4294967296.0
     return out.withColumn("_copies", F.floor("_rate_rate") + (draw < F.col("_rate_rate") - F.floor("_rate_rate")).cast("long"))
 
 
@@ -119,7 +120,7 @@ WITH sized AS (
   SELECT d.doc_id, d.size, r.source, r.source_size, r.target, r.rate, s.seed,
     CAST(floor(r.rate) AS BIGINT) + CASE WHEN CAST(('0x' || substr(md5((s.seed // 4) || ':' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1 + 8 * (s.seed % 4), 8)) AS BIGINT) / 4294967296.0
       < r.rate - floor(r.rate) THEN 1 ELSE 0 END AS copies
-  FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source CROSS JOIN (SELECT unnest(range(16)) AS seed) s
+  FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source CROSS JOIN (SELECT unnest(range(64)) AS seed) s
 ), tried AS (
   SELECT source, seed, abs(sum(size * copies) - any_value(target)) AS off FROM drawn GROUP BY source, seed
 ), chosen AS (

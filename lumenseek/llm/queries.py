@@ -12,6 +12,7 @@ from .chat import digest_windows, format_windows
 from .minhash import near_duplicates
 from .mixing import MIX_SQL, plan_mixture
 from .simhash import edited_likeness
+from .suffix import remove_repeats
 from .unigram import count_tokens
 
 
@@ -29,6 +30,13 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_windows(format_windows(turns.unionByName(more)))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without strings of 100 bytes that start earlier."""
+    return remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     plan = plan_mixture(_table(spark, sf_dir, "documents"))
@@ -60,7 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_chat_windows, op5_source_mixing, op7_minhash_dedup, op8_simhash_fingerprints, op9_bpe_roundtrip, op10_token_counts)
+    every = (op1_chat_windows, op3_suffix_dedup, op5_source_mixing, op7_minhash_dedup, op8_simhash_fingerprints, op9_bpe_roundtrip, op10_token_counts)
     return {f.__name__: f for f in every}
 
 
