@@ -7,15 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .bpe import encode_documents
 from .chat import digest_windows, format_windows
 from .minhash import near_duplicates
 from .mixing import MIX_SQL, plan_mixture
+from .quality import fit, score_documents
+from .secrets import scan_secrets
 from .simhash import edited_likeness
 from .suffix import remove_repeats
 from .unigram import count_tokens
 
 
+#: Scores from here on are of quality 1.
+QUALITY_CUT = 0.3
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,6 +37,14 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_windows(format_windows(turns.unionByName(more)))
 
 
+def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; rows whose crc32 of the id is a multiple of 5 are held out."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    scored = score_documents(docs, fit(docs, labels.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of every document without strings of 100 bytes that start earlier."""
     return remove_repeats(_table(spark, sf_dir, "documents")).select(
@@ -37,12 +52,26 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates and secrets of every document, where the secrets are, and the digest of the redacted text."""
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), F.transform("secrets", lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("spans"),
+        F.sha2(F.encode(F.coalesce("redacted", F.lit("")), "UTF-8"), 256).alias("redacted_sha256"),
+    )
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     plan = plan_mixture(_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for every vector whose id is a multiple of 20."""
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes over two-word shingles."""
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2)
@@ -68,7 +97,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_chat_windows, op3_suffix_dedup, op5_source_mixing, op7_minhash_dedup, op8_simhash_fingerprints, op9_bpe_roundtrip, op10_token_counts)
+    every = (
+        op1_chat_windows, op2_quality_knn, op3_suffix_dedup, op4_secret_scan, op5_source_mixing, op6_projection_forest, op7_minhash_dedup,
+        op8_simhash_fingerprints, op9_bpe_roundtrip, op10_token_counts,
+    )
     return {f.__name__: f for f in every}
 
 

@@ -64,6 +64,12 @@ def only_ids(frame: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return frame.join(F.broadcast(ids) if small else ids, column, "left_semi")
 
 
+def without_ids(frame: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of ``frame`` whose ``column`` is not in ``ids``; null ids stay. As :func:`only_ids` else."""
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return frame.join(F.broadcast(ids) if small else ids, column, "left_anti").select(*frame.columns)
+
+
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Component of each node in ``edges`` (a, b: long): node, component (its smallest node).
 
