@@ -114,6 +114,8 @@ class Engine:
         added = texts.select("file_hash", basename(F.col("source")).alias("filename"))
         ledger_rows.unionByName(added).write.parquet(f"{version}/ledger")
         chunks = store.read_chunks(self.spark, f"{version}/chunks")
+        if before is None and chunks.isEmpty():
+            return 0  # an unnamed version: nobody reads it
         present = None if before is None else VectorIndex.load(self.spark, f"{before}/index", s.nlist)
         if present is None:
             index = VectorIndex.build(embed(chunks.select("chunk_id", "text"), "text", self.embedder, batch=s.batch_size), s.index_type, s.nlist)
@@ -124,7 +126,7 @@ class Engine:
             if present.trained or s.index_type != "ivf":
                 index = VectorIndex(kept, present.centroids, s.nlist).add(vectors)
             else:  # enough vectors may be there by now
-                index = VectorIndex.build(kept.select("chunk_id", "embedding").unionByName(vectors), s.index_type, s.nlist)
+                index = VectorIndex.build(kept.select("chunk_id", "embedding").unionByName(vectors.select("chunk_id", "embedding")), s.index_type, s.nlist)
         index.save(f"{version}/index")
         if s.enable_hybrid_search:
             build_bm25(chunks, "chunk_id").save(f"{version}/bm25")

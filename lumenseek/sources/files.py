@@ -91,7 +91,7 @@ def extract_text(files: DataFrame, extractor: TextExtractor | None = None) -> Da
     engine = extractor or NoExtractor()
 
     @F.arrow_udf("text string, error string")
-    def extract(kinds: pa.Array, contents: pa.Array) -> pa.StructArray:
+    def extract(kinds: pa.Array, contents: pa.Array) -> pa.Array:
         texts, errors = [], []
         for kind, content in zip(kinds.to_pylist(), contents.to_pylist(), strict=True):
             try:
