@@ -15,14 +15,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import pieces
+
 #: The published pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of distinct words whose encodings a worker remembers; beyond it, it forgets them all and goes on.
-REMEMBER = 12_000_000
+REMEMBER = 4_000_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -105,7 +108,7 @@ class ByteBpe:
         """Encodings of sorted distinct words."""
         step, back, ends, memo = self.step, self.back, self.ends, self.fit_memo
         last, size, state, before = [0], [0], [0], b""
-        if len(memo) > 2_000_000:
+        if len(memo) > 400_000:
             memo.clear()
         for word in words:
             n = min(len(word), len(before))
@@ -180,17 +183,12 @@ def _loaded(source: bytes, cache: dict[str, ByteBpe] = {}) -> ByteBpe:  # noqa:
     return cache[key]
 
 
-def portions(texts: list[str | None], most: int = 1 << 20) -> Iterator[list[str]]:
-    """Texts in lists of about ``most`` characters (at least one text); null: empty."""
-    some, size = [], 0
-    for t in texts:
-        some.append(t or "")
-        size += len(some[-1])
-        if size >= most:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
+def portions(column: pa.Array, most: int = 1 << 20) -> Iterator[list[str]]:
+    """Texts in lists of about ``most`` bytes (at least one text); null: empty. Only one list is unpacked at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    for a, b in pieces(offsets, most):
+        yield [t or "" for t in column.slice(a, b - a).to_pylist()]
 
 
 def default_vocabulary() -> str:
@@ -214,7 +212,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
         model = _loaded(source.value)
         for batch in stream:
             at = 0
-            for texts in portions(batch.column(1).to_pylist()):
+            for texts in portions(batch.column(1)):
                 ids = list(model.encode(texts))
                 columns = [batch.column(0).slice(at, len(texts)), pa.array(ids, pa.binary())]
                 if decode:

@@ -284,7 +284,7 @@ def scan_secrets(docs: DataFrame, model: SecretModel | None = None, id_col: str
         features, m = _worker(sent)
         for batch in stream:
             at = 0
-            for texts in portions(batch.column(1).to_pylist()):
+            for texts in portions(batch.column(1)):
                 n, secrets, redacted = zip(*_scan(features, m, texts), strict=True)
                 null = batch.column(1).slice(at, len(texts)).is_null().to_pylist()
                 yield pa.RecordBatch.from_arrays(

@@ -27,7 +27,7 @@ from .bpe import portions
 MARK = "▁"
 #: What the tokenizers library takes off the least score for an unknown character.
 UNKNOWN_PENALTY = 10.0
-REMEMBER = 12_000_000
+REMEMBER = 4_000_000
 
 
 def load_pieces(path: str) -> list[tuple[str, float]]:
@@ -131,7 +131,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
         model = _loaded(pieces.value)
         for batch in stream:
             at = 0
-            for texts in portions(batch.column(1).to_pylist()):
+            for texts in portions(batch.column(1)):
                 found = [model.count(t) for t in texts]
                 tokens, scores, words = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays(
