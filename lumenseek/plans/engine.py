@@ -82,6 +82,8 @@ class Engine:
         texts = taken.where("error is null").select(F.col("path").alias("source"), "file_hash", "file_type", "text")
         n = self._write(texts, drop)
         failed = taken.where("error is not null").select("path", "error")
+        if not failed.isEmpty():  # dead letters, beside the versions
+            failed.withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{self.root}/errors")
         outcome = judged.select("path", "reason").join(failed.withColumnRenamed("error", "failure"), "path", "left")
         report = IngestReport(
             skipping.run_counters(outcome, failed=F.col("failure").isNotNull()),

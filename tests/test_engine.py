@@ -121,6 +121,15 @@ def test_failing_extractor_is_reported(spark, tmp_path):
     report = engine.ingest(str(root))
     assert report.n_chunks == 1 and [r.error for r in report.errors.collect()] == ["RuntimeError"]
     assert report.counters.first().failed == 1
+    assert [r.error for r in spark.read.parquet(str(tmp_path / "s" / "errors")).collect()] == ["RuntimeError"]
+
+
+def test_public_names():
+    import lumenseek
+
+    assert all(getattr(lumenseek, name) for name in lumenseek.__all__)
+    with pytest.raises(AttributeError):
+        _ = lumenseek.nothing
 
 
 def test_page_rule():
