@@ -7,8 +7,9 @@ task can't be the corpus, so what may match is first brought together, exactly:
 2. Anchors: of the ``SEED``-byte seeds of a window of ``LENGTH`` bytes the one with the least hash, leftmost
    of equals, is its anchor. Equal windows have equal anchors, so windows can only match where the anchor's
    hash occurs twice. One row for each anchor (about 1 in 35 bytes) is shuffled, by that hash.
-3. Fragments: the bytes spanned by the windows of an anchor that occurs twice. Equal fragments are
-   aggregated to the first one; the distinct ones are dealt to shards of about ``SHARD`` bytes by the hash.
+3. Fragments: the bytes spanned by the windows of an anchor that occurs twice. Equal fragments (by a 128-bit
+   cryptographic digest; those of one batch before any shuffle) are aggregated to the first one; the distinct
+   ones are dealt to shards of about ``SHARD`` bytes by the hash.
 4. In a shard, a run-length index is built over its fragments in corpus order: the Burrows-Wheeler transform
    as runs, the cumulative counts that LF steps need, and a sample for each interval of suffixes that
    share ``LENGTH`` bytes (runs of the longest-common-prefix table): the earliest of them. Fragments are
@@ -18,12 +19,13 @@ task can't be the corpus, so what may match is first brought together, exactly:
    aggregated one by one instead.
 5. Marked windows become byte intervals for each document, and the texts are cut.
 
-Nothing depends on chance: equal hashes only bring windows together, their bytes decide.
+Equal anchor hashes only bring windows together; their bytes decide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import _powers, mix, text_buffers
+from .words import _powers, mix, text_buffers, tidy
 
 LENGTH, SEED = 100, 32
 SHARD, CROWD = 2_000_000, 10_000
@@ -138,16 +140,17 @@ class RunLengthIndex:
             new |= value[1:] != value[:-1]
         whole = (to_end >= length)[order]
         new |= ~(whole[1:] & whole[:-1])
-        self.interval_starts = np.concatenate([[0], np.flatnonzero(new) + 1])
-        self.earliest = np.minimum.reduceat(order, self.interval_starts)
+        self.interval = np.concatenate([[0], np.cumsum(new)]).astype(np.int32)  # of each row
+        self.earliest = np.minimum.reduceat(order, np.concatenate([[0], np.flatnonzero(new) + 1]))
         # The transform as runs. The symbol before a string's first is that string's end mark, so that LF
         # leads from a string's first position to its own end and no further.
         transform = text[order - 1]
         head = np.zeros(n, dtype=bool)
         head[self.starts[:-1]] = True
         transform[head[order]] = 0
-        run_starts = np.concatenate([[0], np.flatnonzero(transform[1:] != transform[:-1]) + 1])
-        self.run_starts = run_starts
+        change = transform[1:] != transform[:-1]
+        run_starts = np.concatenate([[0], np.flatnonzero(change) + 1])
+        self.run = np.concatenate([[0], np.cumsum(change)]).astype(np.int32)  # of each row: ranks over the runs' heads
         symbols = transform[run_starts]
         lengths = np.diff(np.append(run_starts, n))
         counts = np.bincount(text, minlength=257)
@@ -156,8 +159,8 @@ class RunLengthIndex:
         sums = np.cumsum(lengths[by_symbol]) - lengths[by_symbol]
         first_of = np.searchsorted(symbols[by_symbol], np.arange(257))
         base = sums[np.minimum(first_of, len(sums) - 1)]
-        self.run_target = np.empty(len(run_starts), dtype=np.int64)
-        self.run_target[by_symbol] = below[symbols[by_symbol]] + sums - base[symbols[by_symbol]]
+        self.shift = np.empty(len(run_starts), dtype=np.int64)  # from a row of the run to where LF leads
+        self.shift[by_symbol] = below[symbols[by_symbol]] + sums - base[symbols[by_symbol]] - run_starts[by_symbol]
         # Rows of the strings' ends, from which they are streamed.
         row = np.empty(n, dtype=np.int64)
         row[order] = np.arange(n)
@@ -172,15 +175,13 @@ class RunLengthIndex:
         alive = np.flatnonzero(left > 0)
         while len(alive):
             at = rows[alive]
-            run = np.searchsorted(self.run_starts, at, side="right") - 1
-            at = self.run_target[run] + at - self.run_starts[run]
+            at = at + self.shift[self.run[at]]
             rows[alive] = at
             place[alive] -= 1
             left[alive] -= 1
             far = self.sizes[alive] - left[alive] >= self.length
             here = place[alive[far]]
-            sample = self.earliest[np.searchsorted(self.interval_starts, at[far], side="right") - 1]
-            marks[here] = sample < here
+            marks[here] = self.earliest[self.interval[at[far]]] < here
             alive = alive[left[alive] > 0]
         return [np.flatnonzero(marks[a : a + n]) for a, n in zip(self.starts[:-1], self.sizes, strict=True)]
 
@@ -193,64 +194,79 @@ def _runs(starts: np.ndarray) -> Iterator[tuple[int, int]]:
             yield int(part[0]), int(part[-1])
 
 
+#: Kinds of anchor rows: seen once in its batch; seen more often, so known to occur twice; a witness, which
+#: only tells other batches that its hash occurs.
+_ONCE, _TWICE, _WITNESS = 0, 1, 2
+
+
+@tidy
 def _anchor_rows(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each anchor; of a hash that a batch has more than once, one witness as well."""
     for batch in stream:
         raw, offsets = text_buffers(batch.column(1))
         keys, firsts, lasts = anchors(raw, offsets)
         doc = np.searchsorted(offsets, firsts, side="right") - 1
         packed = (firsts - offsets[doc]) << 7 | (lasts - firsts)
-        docs = batch.column(0).to_numpy(zero_copy_only=False)[doc] if len(doc) else np.zeros(0, dtype=np.int64)
-        for a in range(0, max(1, len(keys)), 200_000):
-            b = a + 200_000
-            yield pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(docs[a:b].astype(np.int64)), pa.array(packed[a:b])], ["key", "doc", "packed"])
+        docs = (batch.column(0).to_numpy(zero_copy_only=False)[doc] if len(doc) else np.zeros(0)).astype(np.int64)
+        each, where, times = np.unique(keys, return_inverse=True, return_counts=True)
+        kind = np.where(times[where] > 1, _TWICE, _ONCE)
+        witness = each[times > 1]
+        none = np.zeros(len(witness), dtype=np.int64)
+        columns = [np.concatenate(c) for c in ((keys, witness), (docs, none), (packed, none), (kind, none + _WITNESS))]
+        for a in range(0, max(1, len(columns[0])), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 200_000]) for c in columns], ["key", "doc", "packed", "kind"])
 
 
+@tidy
 def _repeated_keys(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, sorted by key, whose key occurs more than once."""
+    """Rows, sorted by key, whose key occurs more than once. Rows known to are passed on, witnesses are not."""
     held: pa.RecordBatch | None = None
     last_emitted = False
-    names = ["key", "doc", "packed"]
     for batch in stream:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([b for b in (held, batch) if b is not None]).combine_chunks()
-        keys = table.column(0).to_numpy()
+        keys, kind = table.column(0).to_numpy(), table.column(3).to_numpy()
         same = keys[1:] == keys[:-1]
         twice = np.zeros(len(keys), dtype=bool)
         twice[1:] |= same
         twice[:-1] |= same
+        twice |= kind == _TWICE
+        emit = twice & (kind != _WITNESS)
         if held is not None and last_emitted:
-            twice[0] = False
+            emit[0] = False
         held = table.slice(len(keys) - 1).to_batches()[0]
-        out = table.filter(pa.array(twice))
-        last_emitted = bool(twice[-1]) or (len(keys) == 1 and last_emitted)
-        for b in out.to_batches():
-            yield pa.RecordBatch.from_arrays(b.columns, names)
+        last_emitted = bool(emit[-1])
+        for b in table.filter(pa.array(emit)).to_batches():
+            yield pa.RecordBatch.from_arrays(b.columns[:3], ["key", "doc", "packed"])
 
 
+@tidy
 def _fragments(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fragments with a 128-bit digest of their bytes. Of those equal in a batch only the earliest keeps its
+    bytes; the others are ``gone``, as it stands before them."""
     for batch in stream:
         docs = batch.column(0).to_pylist()
-        out: tuple[list, ...] = ([], [], [], [])
-        size = 0
+        least: dict[bytes, tuple[int, int]] = {}
+        rows: list[tuple] = []
         for doc, text, found in zip(docs, batch.column(1), batch.column(2), strict=True):
             raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            for x in found.as_py():
-                first, more = x["packed"] >> 7, x["packed"] & 127
-                for column, value in zip(out, (x["key"], doc, first, raw[first : first + more + LENGTH]), strict=True):
-                    column.append(value)
-                size += more + LENGTH
-            if size > 4_000_000:
-                yield _fragment_batch(out)
-                out, size = ([], [], [], []), 0
-        yield _fragment_batch(out)
-
-
-def _fragment_batch(out: tuple[list, ...]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["key", "doc", "first", "bytes"])
-
-
+            keys, packed = (found.values.field(i).to_numpy() for i in (0, 1))
+            for key, first, more in zip(keys.tolist(), (packed >> 7).tolist(), (packed & 127).tolist(), strict=True):
+                part = raw[first : first + more + LENGTH]
+                digest = blake2b(part, digest_size=16).digest()
+                place = (doc, first)
+                rows.append((key, digest, *place, len(part), part if place <= least.get(digest, place) else None))
+                if place < least.get(digest, (1 << 62, 0)):
+                    least[digest] = place
+        for a in range(0, max(1, len(rows)), 20_000):
+            out = [(*r[:5], r[5] if least[r[1]] == r[2:4] else None) for r in rows[a : a + 20_000]]
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            columns = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "digest", "doc", "first", "n", "bytes"])
+
+
+@tidy
 def _shard_intervals(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (shard, doc, first, bytes) sorted by shard, doc and first: byte intervals to remove."""
 
@@ -274,6 +290,7 @@ def _shard_intervals(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield done(rows)
 
 
+@tidy
 def _cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc", "n_bytes", "n_removed", "spans", "kept"]
     for batch in stream:
@@ -343,17 +360,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fresh = _beside(rows.where(F.octet_length("text") >= LENGTH), copies.select("seq"), 40 * n_copies, "left_anti")
 
     # 2. Anchors that occur twice, per document.
-    anchored = fresh.select("seq", "text").mapInArrow(_anchor_rows, "key long, doc long, packed long")
-    twice = anchored.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated_keys, "key long, doc long, packed long")
+    anchored = fresh.select("seq", "text").mapInArrow(_anchor_rows, "key long, doc long, packed long, kind long")
+    dealt = anchored.repartition(F.when(F.col("kind") == _TWICE, F.xxhash64("doc", "packed")).otherwise(F.col("key")))
+    twice = dealt.sortWithinPartitions("key").mapInArrow(_repeated_keys, "key long, doc long, packed long")
     found = scratch.keep(twice.groupBy(F.col("doc").alias("seq")).agg(F.collect_list(F.struct("key", "packed")).alias("found")))
     n_found = found.agg(F.sum(F.size("found"))).first()[0] or 0
 
     # 3. Fragments: distinct ones with their first place, and the places of the others.
-    fragments = scratch.keep(_beside(fresh.select("seq", "text"), found, 60 * n_found, "inner").select("seq", "text", "found").mapInArrow(_fragments, "key long, doc long, first long, bytes binary"))
-    place = F.struct("doc", "first")
-    distinct = scratch.keep(fragments.groupBy("key", "bytes").agg(F.min(place).alias("at"), F.count("*").alias("c")))
-    others = fragments.join(distinct.where("c > 1").select("key", "bytes", F.col("at.doc").alias("d"), F.col("at.first").alias("f")), ["key", "bytes"]).where("doc <> d or first <> f")
-    others = others.select("doc", F.col("first").alias("begin"), (F.col("first") + F.length("bytes")).alias("end"))
+    schema = "key long, digest binary, doc long, first long, n long, bytes binary"
+    fragments = scratch.keep(_beside(fresh.select("seq", "text"), found, 60 * n_found, "inner").select("seq", "text", "found").mapInArrow(_fragments, schema))
+    kept, gone = fragments.where("bytes is not null"), fragments.where("bytes is null")
+    distinct = scratch.keep(kept.groupBy("key", "digest").agg(F.min(F.struct("doc", "first")).alias("at"), F.count("*").alias("c"), F.first("bytes").alias("bytes")))
+    earlier = distinct.where("c > 1").select("digest", F.col("at.doc").alias("d"), F.col("at.first").alias("f"))
+    others = kept.select("digest", "doc", "first", "n").join(earlier, "digest").where("doc <> d or first <> f")
+    others = others.select("doc", "first", "n").unionByName(gone.select("doc", "first", "n")).select("doc", F.col("first").alias("begin"), (F.col("first") + F.col("n")).alias("end"))
 
     # 4. Shards, and anchors with too many fragments for one.
     keys = distinct.groupBy("key").agg(F.count("*").alias("k"), F.sum(F.length("bytes")).alias("b")).where("k > 1")
