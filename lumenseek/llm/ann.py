@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .words import tidy
 
 #: Vectors that the trees are fitted on, at most.
 SAMPLE = 16_384
@@ -118,6 +119,7 @@ def _best(forest: Forest, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray,
 def _search(forest, k: int, dim: int):
     """Rows of (vector block, query block) sorted by block and kind: 0 vectors, 1 queries with probes."""
 
+    @tidy
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, held = None, ([], [])
 
@@ -155,6 +157,7 @@ def _search(forest, k: int, dim: int):
 
 
 def _with_probes(forest, share: float, dim: int):
+    @tidy
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for a in range(0, batch.num_rows, 256):

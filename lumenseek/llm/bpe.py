@@ -20,12 +20,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import pieces
+from .scratch import bound_batches
+from .words import pieces, tidy
 
 #: The published pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of distinct words whose encodings a worker remembers; beyond it, it forgets them all and goes on.
-REMEMBER = 4_000_000
+REMEMBER = 3_000_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -108,7 +109,7 @@ class ByteBpe:
         """Encodings of sorted distinct words."""
         step, back, ends, memo = self.step, self.back, self.ends, self.fit_memo
         last, size, state, before = [0], [0], [0], b""
-        if len(memo) > 400_000:
+        if len(memo) > 200_000:
             memo.clear()
         for word in words:
             n = min(len(word), len(before))
@@ -205,9 +206,11 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     (about 1.5 MB). The names of special tokens in a text are encoded as those tokens. Null text: as empty,
     no ids. Ids may be null or repeat: one row each. Extra columns are not read. No row moves.
     """
+    bound_batches(docs.sparkSession)
     with open(path or default_vocabulary(), "rb") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
 
+    @tidy
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _loaded(source.value)
         for batch in stream:
@@ -231,6 +234,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None, id_col: str =
     with open(path or default_vocabulary(), "rb") as f:
         source = encoded.sparkSession.sparkContext.broadcast(f.read())
 
+    @tidy
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _loaded(source.value)
         for batch in stream:

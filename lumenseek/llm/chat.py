@@ -20,6 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import bound_batches
+from .words import tidy
+
 TURN_END = "</turn>"
 #: Roles with a name of their own in the template; any other is written escaped behind "~".
 ROLES = {"system": "System", "user": "User", "assistant": "Assistant"}
@@ -151,6 +154,7 @@ def format_windows(
     and text; repeated rows are turns like others. Rows without conversation id are one conversation. Extra
     columns are not read. An empty table gives no window.
     """
+    bound_batches(turns.sparkSession)
     kind = turns.schema[conv_col].dataType
     rows = turns.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
@@ -174,6 +178,7 @@ def format_windows(
     system = later.join(opening, F.col("conv").eqNullSafe(F.col("c"))).select("conv", "segment", F.lit(-1).alias("kind"), F.lit(-1).cast("long").alias("start"), "role", "text", "tokens")
     dealt = own.unionByName(past).unionByName(system).repartition("conv", "segment").sortWithinPartitions("conv", "segment", "kind", "start", "role", "text")
 
+    @tidy
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, schema = _Windows(budget, history), None
         for batch in stream:
@@ -205,6 +210,7 @@ def digest_windows(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     rows = windows.select(F.col(conv_col).alias("conv"), "segment", "number", "n_repeated", "formatted", "loss")
     rows = rows.repartition("conv").sortWithinPartitions("conv", "segment", "number")
 
+    @tidy
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
         group: tuple | None = None

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, connected, only_ids
-from .words import mix, overlap, pieces, shingles, text_buffers, word_hashes
+from .words import mix, overlap, pieces, shingles, text_buffers, tidy, word_hashes
 
 BANDS, ROWS = 48, 6
 _BITS = 20
@@ -66,6 +66,7 @@ def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def _signatures(k: int):
+    @tidy
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, dtype=np.int64)
         for batch in stream:
@@ -92,6 +93,7 @@ def _similar(o, a, b, percent: int):
 def _confirm(k: int, percent: int):
     """Rows sorted by pivot, salt, and the pivot's own row first: links of the members that are similar."""
 
+    @tidy
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, heads = None, []
         for batch in stream:
@@ -156,6 +158,7 @@ def _between(left: list[tuple], right: list[tuple], percent: int) -> list[tuple[
 def _exhaust(k: int, percent: int):
     """Rows sorted by cluster and pair of blocks: the links between the two blocks."""
 
+    @tidy
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, sides = None, ([], [])
         for batch in stream:
@@ -188,18 +191,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = signed.where("id is not null and n > 0")
     classes = scratch.keep(some.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")))
     bands = classes.select("rep", F.explode("bands").alias("key"))
-    pivots = bands.groupBy("key").agg(F.min("rep").alias("p"), F.min_by("rep", F.xxhash64("rep")).alias("q"), F.max("rep").alias("top")).where("p < top").select("key", "p", "q")
+    pivots = bands.groupBy("key").agg(
+        F.min("rep").alias("p"), F.min_by("rep", F.xxhash64("rep")).alias("q"), F.max("rep").alias("top"), F.count("*").alias("size")
+    ).where("p < top").select("key", "p", "q", "size")
     near = scratch.keep(
-        bands.join(pivots, "key").select("rep", F.explode(F.array_distinct(F.array("p", "q"))).alias("pivot"))
-        .where("rep <> pivot").distinct()
+        bands.join(pivots, "key").select("rep", F.explode(F.array_distinct(F.array("p", "q"))).alias("pivot"), "size")
+        .where("rep <> pivot").groupBy("rep", "pivot").agg(F.max("size").alias("size"))
     )
     clusters = scratch.keep(connected(near.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), scratch))
     texts = scratch.keep(only_ids(rows, clusters.select(F.col("node").alias("id")), "id").distinct())
 
-    # Documents around one pivot are dealt over several tasks, each with the pivot's text.
-    salted = near.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(64)).cast("int")).join(
-        near.groupBy("pivot").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts")), "pivot"
-    ).withColumn("salt", F.col("salt") % F.col("parts"))
+    # Documents around one pivot are dealt over several tasks, by its bucket's size, each with the pivot's text.
+    salted = near.withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / 256)).cast("int"))
     heads = salted.select("pivot", "salt").distinct().withColumn("kind", F.lit(0)).withColumn("id", F.col("pivot"))
     members = salted.select("pivot", "salt", F.lit(1).alias("kind"), F.col("rep").alias("id"))
     confirmed = scratch.keep(

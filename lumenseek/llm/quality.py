@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import pieces, text_buffers, word_hashes
+from .scratch import bound_batches
+from .words import pieces, text_buffers, tidy, word_hashes
 
 TERMS, ECHO = 2048, 32
 LABELLED = 3000
@@ -54,6 +55,7 @@ def term_counts(texts: pa.Array) -> Iterator[np.ndarray]:
         yield out
 
 
+@tidy
 def _document_counts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with each term, and documents, of one partition."""
     found, n = np.zeros(TERMS, dtype=np.int64), 0
@@ -120,6 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, neighbours
     hash of the id; rows with null id or label are left out, several labels of one id are averaged and
     rounded. Term statistics cover all of ``docs``. Without labelled documents every score is 0.5.
     """
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = texts.mapInArrow(_document_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     by_term = {r.term: r.n for r in total}
@@ -133,6 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, neighbours
     # A bounded set of ids; only hashed counts come back, at most ``labelled`` rows.
     sample = rows.join(F.broadcast(known), "id").orderBy(_spread(F.col("id")), "id", F.md5(F.encode("text", "UTF-8"))).limit(labelled)
 
+    @tidy
     def counted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             at = 0
@@ -157,8 +161,10 @@ def score_documents(docs: DataFrame, model: Latent, id_col: str = "doc_id", text
     Null text: as empty. Empty texts, and texts of under three bytes, take the labelled rows' mean. Equal
     texts have equal scores. Repeated rows give repeated results.
     """
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             scores = [sent.value.score(c) for c in term_counts(batch.column(1))]
@@ -171,6 +177,7 @@ def score_documents(docs: DataFrame, model: Latent, id_col: str = "doc_id", text
 
 def with_scores(docs: DataFrame, model: Latent, text_col: str = "text", score_col: str = "_score") -> DataFrame:
     """All columns of ``docs`` and ``score_col``, by an Arrow function on the text alone."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

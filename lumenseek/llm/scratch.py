@@ -24,6 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Texts are long: an Arrow batch of 10,000 of them, the default, is held several times over, on both sides
+    of the pipe. From here on batches of this session end at 1,000 rows or 8 MB."""
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    if not 0 < int(rows) <= 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -37,6 +46,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/lumenseek-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        bound_batches(spark)
         atexit.register(self._close)
 
     def keep(self, frame: DataFrame) -> DataFrame:

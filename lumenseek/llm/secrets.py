@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import portions
+from .scratch import bound_batches
+from .words import tidy
 
 # Names and formats of credentials, and words that stand beside what is none.
 SECRET_NAMES = ("token", "secret", "passw", "pwd", "apikey", "api_key", "api-key", "access_key", "access-key", "auth", "credential", "private_key", "bearer")
@@ -277,9 +279,11 @@ def scan_secrets(docs: DataFrame, model: SecretModel | None = None, id_col: str
     Null text: no finding, redacted null. Ids may be null or repeat: one row each. Extra columns are not
     read. No row moves. ``model``: trained on the driver, sent to the workers (about 1 MB).
     """
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model or SecretModel.train())
     span = pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("probability", pa.float64())])
 
+    @tidy
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, m = _worker(sent)
         for batch in stream:
@@ -300,6 +304,7 @@ def scan_secrets(docs: DataFrame, model: SecretModel | None = None, id_col: str
 
 def redact(docs: DataFrame, model: SecretModel | None = None, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, with secrets in ``text_col`` replaced. Null text stays null."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model or SecretModel.train())
 
     @F.arrow_udf("string")

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import portions
+from .scratch import bound_batches
+from .words import tidy
 
 MARK = "▁"
 #: What the tokenizers library takes off the least score for an unknown character.
@@ -125,8 +127,10 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     reads it and sends it to the workers (under 2 MB). Null text: as empty, which has no token. Ids may be
     null or repeat: one row each. Extra columns are not read. No row moves.
     """
+    bound_batches(docs.sparkSession)
     pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(path or default_vocabulary()))
 
+    @tidy
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _loaded(pieces.value)
         for batch in stream:
