@@ -67,13 +67,13 @@ def _small(frame: DataFrame) -> bool:
     return frame.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
 
 
-def _with_copies(rows: DataFrame, rates: DataFrame, id_col: str, source_col: str) -> DataFrame:
-    """``rows`` with _rate_* columns of their source and _copies."""
-    rates = rates.select(*[F.col(c).alias(f"_rate_{c}") for c in rates.columns])
-    out = rows.join(F.broadcast(rates) if _small(rates) else rates, rows[source_col].cast("string").eqNullSafe(rates["_rate_source"]))
-    digest = F.md5(F.concat(F.floor(F.col("_rate_seed") / 4).cast("string"), F.lit(":"), F.coalesce(rows[id_col].cast("string"), F.lit(""))))
-    draw = F.conv(F.substring(digest, F.pmod("_rate_seed", F.lit(4)) * 8 + 1, F.lit(8)), 16, 10).cast("double") / 4294967296.0
-    return out.withColumn("_copies", F.floor("_rate_rate") + (draw < F.col("_rate_rate") - F.floor("_rate_rate")).cast("long"))
+def _with_copies(rows: DataFrame, rates: DataFrame) -> DataFrame:
+    """``rows`` (id, source, ...) with source_size, target and copies."""
+    rates = rates.select(F.col("source").alias("s"), "source_size", "target", "rate", "seed")
+    out = rows.join(F.broadcast(rates) if _small(rates) else rates, F.col("source").eqNullSafe(F.col("s")))
+    digest = F.md5(F.concat(F.floor(F.col("seed") / 4).cast("string"), F.lit(":"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    draw = F.conv(F.substring(digest, F.pmod("seed", F.lit(4)) * 8 + 1, F.lit(8)), 16, 10).cast("double") / 4294967296.0
+    return out.withColumn("copies", F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long"))
 
 
 def plan_mixture(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -84,17 +84,16 @@ def plan_mixture(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), id_col:
     without words have target 0 and no copies. An empty table gives an empty result.
     """
     sized, rates = source_rates(docs, Scratch(docs.sparkSession), weights, id_col, text_col, source_col)
-    return _with_copies(sized, rates, "id", "source").select(
-        F.col("id").alias(id_col), "source", "size", F.col("_rate_source_size").alias("source_size"),
-        F.col("_rate_target").alias("target"), F.col("_copies").alias("copies"),
-    )
+    return _with_copies(sized, rates).select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies")
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: the rows of ``docs``, all columns, each as often as :func:`plan_mixture` says."""
     _, rates = source_rates(docs, Scratch(docs.sparkSession), weights, id_col, text_col, source_col)
-    out = _with_copies(docs, rates, id_col, source_col).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    # The rows travel packed, so that no column of theirs can clash.
+    packed = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    out = _with_copies(packed, rates).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 MIX_SQL = """

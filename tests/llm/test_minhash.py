@@ -1,0 +1,124 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
+from lumenseek.llm import minhash, scratch
+from lumenseek.llm.minhash import _sets, band_keys, near_duplicates, signature
+from lumenseek.llm.scratch import Scratch, connected, only_ids, without_ids
+from lumenseek.llm.words import pieces, text_buffers, word_hashes
+
+
+def plain_shingles(text, k):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ")
+    for c in "\n\x0b\x0c\r":
+        words = words.replace(c, " ")
+    words = [w for w in words.split(" ") if w]
+    if not words:
+        return set()
+    return {tuple(words)} if len(words) < k else {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
+
+
+def components(rows, k, percent=80):
+    """rows: (id, text). Smallest id reachable of each id, by comparing all pairs."""
+    sets = [(i, plain_shingles(t, k)) for i, t in rows]
+    up = {i: i for i, _ in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    return {i: root(i) for i in up}
+
+
+def near_copies(n, seed, edits=(0, 1, 2, 3, 6)):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices("abcdé", k=3))
+    base = [[word() for _ in range(60)] for _ in range(4)]
+    out = []
+    for _ in range(n):
+        text = list(r.choice(base))
+        for _ in range(r.choice(edits)):
+            text[r.randrange(len(text))] = word()
+        out.append(" ".join(text))
+    return out
+
+
+def test_shingle_sets_equal_plain_ones():
+    texts = ["A b  c\td\nE", "a b c d e", "one", "", None, "  ", "x y", "É é e", "a\xa0b c", "w " * 2000, " q w"]
+    for k in (1, 2, 5):
+        got = list(_sets(pa.array(texts), k))
+        assert [len(s) for s in got] == [len(plain_shingles(t, k)) for t in texts]
+        assert (got[0] == got[1]).all()
+
+
+def test_words_never_cross_texts(monkeypatch):
+    texts = ["ab", "cd ef", "", "gh", " ij ", "ab"]
+    raw, offsets = text_buffers(pa.chunked_array([pa.array(texts[:3]), pa.array(texts[3:])]))
+    hashes, at = word_hashes(raw, offsets)
+    assert np.diff(at).tolist() == [1, 2, 0, 1, 1, 1] and hashes[0] == hashes[-1]
+    assert list(pieces(np.array([0, 5, 5, 20, 21, 22]), 6)) == [(0, 2), (2, 3), (3, 5)]
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(0)
+    a = rng.integers(1, 1 << 62, 1000, dtype=np.uint64)
+    b = np.concatenate([a[:850], rng.integers(1, 1 << 62, 150, dtype=np.uint64)])
+    same = (signature(a) == signature(b)).mean()
+    assert abs(same - 850 / 1150) < 0.1
+    assert set(band_keys(signature(a))) & set(band_keys(signature(b)))
+    assert len(set(band_keys(signature(a)))) == minhash.BANDS
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_documents_against_all_pairs(spark, k):
+    table = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    rows = list(zip(*table.values(), strict=True))
+    got = near_duplicates(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), shingle_words=k).collect()
+    assert {r.doc_id: r.component_id for r in got} == components(rows, k)
+    assert {r.doc_id: r.n_shingles for r in got} == {i: len(plain_shingles(t, k)) for i, t in rows}
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+@pytest.mark.parametrize("block", [300, 1_000_000])
+def test_group_of_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rows = [(7 * i, t) for i, t in enumerate(near_copies(250, 5) + ["copy of one text here"] * 60)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shingle_words=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == components(rows, 2)
+
+
+def test_edges_and_clashing_names(spark, monkeypatch):
+    rows = [(None, "a b c"), (None, None), (1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (6, "a b c"), (6, "a b c"), (9, "x y z"), (6, "x y z"), (8, "w" * 300_000 + " v")]
+    docs = spark.createDataFrame([(*r, 1, "k", [1], 2.0) for r in rows], "doc_id long, text string, n int, key string, bands array<int>, size double")
+    for most in (scratch.BROADCAST_IDS, 0):
+        monkeypatch.setattr(scratch, "BROADCAST_IDS", most)
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, shingle_words=2).collect()), key=str)
+        assert got == sorted([
+            (None, 2, None, True), (None, 0, None, True), (1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 2, 6, True), (6, 2, 6, True),
+            (6, 2, 6, True), (9, 2, 6, False), (8, 1, 8, True),
+        ], key=str)
+    assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_connected_components(spark):
+    chain = [(i, i + 1) for i in range(100, 160)] + [(500, 3), (3, 3), (500, 400), (7, 900), (900, 7)]
+    got = {r.node: r.component for r in connected(spark.createDataFrame(chain, "a long, b long"), Scratch(spark)).collect()}
+    assert got == {i: 100 for i in range(100, 161)} | {3: 3, 500: 3, 400: 3, 7: 7, 900: 7}
+    assert connected(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
+
+
+def test_id_filters_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    rows, ids = spark.createDataFrame([(1,), (2,), (None,)], "i long"), spark.createDataFrame([(2,)], "i long")
+    for most in (10, 0):
+        monkeypatch.setattr(scratch, "BROADCAST_IDS", most)
+        assert [r.i for r in only_ids(rows, ids, "i").collect()] == [2]
+        assert sorted(r.i or 0 for r in without_ids(rows, ids, "i").collect()) == [0, 1]

@@ -113,7 +113,7 @@ def test_mixture_targets_and_copies(spark):
 
 def test_mixture_edges(spark):
     rows = [(1, "a b c", None, 1.0), (1, "a b c", None, 2.0), (2, None, "s", 1.0), (3, "", "s", 1.0), (None, "a", "t", 0.0), (5, "b " * 1000, "u", 0.0), (6, "c", "v", 0.0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rate double")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rate double").selectExpr("*", "1 as copies", "2 as seed", "3 as row", "4 as s", "5 as id")
     plan = plan_mixture(docs).collect()
     assert len(plan) == len(rows)
     want = water_level({None: 6, "s": 0, "t": 1, "u": 1000, "v": 1})
