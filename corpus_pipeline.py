@@ -21,7 +21,7 @@ from lumenseek.llm.secrets import redact
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose neighbours among the labelled ones vote for quality 1."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    score = "__quality__"
+    score = max(docs.columns, key=len) + "_score"  # no column has this name
     return with_scores(docs, model, score_col=score).where(F.col(score) >= QUALITY_CUT).select(*docs.columns)
 
 
@@ -32,7 +32,8 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     rest = without_ids(docs, gone, "doc_id")
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         same = Window.partitionBy("doc_id", F.md5(F.encode("text", "UTF-8"))).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
-        rest = rest.withColumn("__copy__", F.row_number().over(same)).where("doc_id is null or __copy__ = 1").select(*docs.columns)
+        number = max(docs.columns, key=len) + "_number"
+        rest = rest.withColumn(number, F.row_number().over(same)).where(F.col("doc_id").isNull() | (F.col(number) == 1)).select(*docs.columns)
     return rest
 
 
