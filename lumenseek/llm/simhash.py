@@ -17,10 +17,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 BITS = 128
 LONGEST = 12
 #: Rows in a range of ids in which the next document is looked up.
-RANGE_ROWS = 2048
+RANGE_ROWS = 512
 _LANES = (1 << 32) + 1
 
 
@@ -107,11 +109,12 @@ def within_radius(prints: DataFrame, radius: int = 3, blocks: int = 8, fingerpri
 
 
 def with_next(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``text`` and ``next``: the text of the next row by id (after the last: the first).
+    """``range``, ``id``, ``text`` and ``next``: the text of the next row by id (after the last: the first).
 
     Ids are cut into ranges of about ``RANGE_ROWS`` rows; inside a range a window finds the next row, and the
     last row of a range takes the head of the next range that has rows. Null ids come first; equal ids are
-    ordered by text. No task holds more than a range, or one number for each range.
+    ordered by text. No task holds more than a range, or one number for each range. The rows stay dealt by
+    ``range``, so what groups by it needs no further shuffle.
     """
     rows = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     low, high, n = rows.agg(F.min("id"), F.max("id"), F.count("*")).first()
@@ -124,7 +127,7 @@ def with_next(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     every = Window.orderBy("range")
     follow = ranges.select("range").withColumn("after", F.lead("range").over(every)).withColumn("after", F.coalesce("after", F.min("range").over(Window.partitionBy())))
     heads = follow.join(ranges.select(F.col("range").alias("after"), "head"), "after").select("range", "head")
-    return inside.join(heads, "range").select("id", "text", F.coalesce("next", "head").alias("next"))
+    return inside.join(heads, "range").select("range", "id", "text", F.coalesce("next", "head").alias("next"))
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,20 +143,20 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half))
-    named = pairs.select("id", "text", edited.alias("edited"), F.xxhash64("next").alias("after")).select(
-        "id", "after", "text", "edited", F.xxhash64("text").alias("own"), F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+    named = pairs.select("range", "id", "text", edited.alias("edited"), F.xxhash64("next").alias("after")).select(
+        "range", "id", "after", "text", "edited", F.xxhash64("text").alias("own"), F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
     )
     # A key names a row's text; the two texts of a row are two terms streams with one key each.
-    keys = ["id", "own", "after", "n_chars", "edited_sha256", "kind"]
+    keys = ["range", "id", "own", "after", "n_chars", "edited_sha256", "kind"]
     both = named.select(
         *keys[:-1], F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("e")
     ).select(*keys[:-1], "e.kind", "e.text")
     prints = fingerprints(both, keys)
-    per_row = prints.groupBy(*keys[:-1]).agg(
+    per_row = Scratch(docs.sparkSession).keep(prints.groupBy(*keys[:-1]).agg(
         F.max("times").alias("times"),
         F.max(F.when(F.col("kind") == 0, F.col("fingerprint"))).alias("fingerprint"),
         F.max(F.when(F.col("kind") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
-    )
+    ))
     # The next document's fingerprint, by its text: one row for each distinct text on that side.
     by_text = per_row.groupBy(F.col("own").alias("after")).agg(F.min("fingerprint").alias("next_fingerprint"))
     out = per_row.join(by_text, "after").select(
