@@ -36,6 +36,7 @@ def build_context(hits: DataFrame) -> DataFrame:
 
 def build_prompt(context: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, prompt: instructions around legend, excerpts and question."""
+    # The instructions that answers depend on.
     rules = (
         "Review ALL excerpts for relevant information",
         "Synthesize information across multiple documents when appropriate",

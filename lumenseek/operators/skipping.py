@@ -20,6 +20,7 @@ def skip_reason(
     """The first reason that holds, or null: name on the skip list, extension, already processed, unknown size,
     too large, then what only PDFs have. Cheap tests come first; ``seen`` is a boolean from the ledger."""
     extensions = list(SUPPORTED if allowed is None else allowed)
+    # The reasons' wording, which summaries group by.
     refused = "file type not in filter: " if allowed is not None else "unsupported file type: "
     mb = size / F.lit(1048576.0)
     reason = (
