@@ -27,14 +27,21 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates (five-word shingles, similarity 0.8).
-    Rows with one id and one text are one document."""
-    gone = Scratch(spark).keep(near_duplicates(docs, shingle_words=5, percent=80).where(~F.col("kept")).select("doc_id").distinct())
-    rest = without_ids(docs, gone, "doc_id")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        same = Window.partitionBy("doc_id", F.md5(F.encode("text", "UTF-8"))).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
-        number = max(docs.columns, key=len) + "_number"
-        rest = rest.withColumn(number, F.row_number().over(same)).where(F.col("doc_id").isNull() | (F.col(number) == 1)).select(*docs.columns)
-    return rest
+    Rows with one id and one text are one document; rows with one id and different texts are several."""
+    scratch = Scratch(spark)
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        gone = scratch.keep(near_duplicates(docs, shingle_words=5, percent=80).where(~F.col("kept")).select("doc_id").distinct())
+        return without_ids(docs, gone, "doc_id")
+    # Ids repeat: each document takes a number of its own, and ids only say which of a group stays.
+    number, digest = max(docs.columns, key=len) + "_number", F.md5(F.encode("text", "UTF-8"))
+    same = Window.partitionBy("doc_id", digest).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    rows = docs.withColumn(number, F.row_number().over(same)).where(F.col("doc_id").isNull() | (F.col(number) == 1))
+    rows = scratch.keep(rows.withColumn(number, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())))
+    found = near_duplicates(rows, id_col=number, shingle_words=5, percent=80).where("component_id is not null").select(number, "component_id")
+    found = scratch.keep(found.join(rows.select(number, "doc_id", digest.alias("digest")), number))
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "digest", number)).getField(number).alias("first"))
+    gone = scratch.keep(found.join(first, "component_id").where(F.col(number) != F.col("first")).select(number))
+    return without_ids(rows, gone, number).select(*docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

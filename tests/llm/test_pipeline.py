@@ -82,3 +82,14 @@ def test_stages_on_odd_rows(spark):
             assert len(frame_out) <= 3 * len(rows), name
     kept = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, SF).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 3] and len(kept) == 4
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near, other = " ".join(words), " ".join([*words[:-1], "end"]), " ".join(f"v{i}" for i in range(60))
+    for copy in (text, near):
+        rows = [(6, text), (9, copy), (9, other), (9, other), (12, other), (None, text), (7, None), (7, None), (7, "")]
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        kept = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, SF)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, text), (6, text), (7, ""), (7, ""), (9, other)]
