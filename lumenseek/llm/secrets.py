@@ -34,7 +34,6 @@ from .words import tidy
 # Names and formats of credentials, and words that stand beside what is none.
 SECRET_NAMES = ("token", "secret", "passw", "pwd", "apikey", "api_key", "api-key", "access_key", "access-key", "auth", "credential", "private_key", "bearer")
 FORMATS = (
-    ("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[^-]{0,20000}-----END (?:[A-Z]+ )*PRIVATE KEY-----"),
     ("cloud_key_id", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("code_host_token", r"\bgh[pousr]_[A-Za-z0-9]{36,}"),
     ("chat_token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -47,6 +46,8 @@ PLACEHOLDERS = ("example", "changeme", "your", "xxxx", "placeholder", "dummy", "
 #: A name is looked at for 40 characters after what makes it sound secret, so that long runs take linear time.
 _NAMED = re.compile(r"""((?:""" + "|".join(map(re.escape, SECRET_NAMES)) + r""")[A-Za-z0-9_.-]{0,40})["']?\s{0,3}(?::=|=>|=|:)\s{0,3}(?:bearer\s+)?["'`]?([^\s"'`,;<>(){}\[\]]{8,})""", re.I)
 _FORMATS = [(name, re.compile(pattern)) for name, pattern in FORMATS]
+_KEY_MARK = re.compile(r"-----(BEGIN|END) (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_KEY_TEXT = re.compile(r"[A-Za-z0-9+/=_]{16,}")
 _FORMAT_HINTS = ("PRIVATE KEY", "AKIA", "ASIA", "gh", "xox", "k_live_", "k_test_", "eyJ")
 _RUN = re.compile(r"[A-Za-z0-9+/=_-]{24,}")
 _WORD = re.compile(r"[A-Za-z0-9_-]+")
@@ -55,11 +56,28 @@ AROUND = 48
 REPLACEMENT = "[secret]"
 
 
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """Begin and end of every private-key block: from the last BEGIN before an END to that END, however long.
+    Where a body is long or has hyphens (headers of encrypted keys, armour comments), at least half of it must be
+    lines of key characters, so that prose between two mentions of the markers is no block."""
+    out, begin = [], None
+    for m in _KEY_MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        elif begin is not None:
+            body = text[begin.end() : m.start()]
+            if (len(body) <= 20_000 and "-" not in body) or 2 * sum(map(len, _KEY_TEXT.findall(body))) >= len("".join(body.split())):
+                out.append((begin.start(), m.end()))
+            begin = None
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """Begin, end and kind of every candidate; of overlapping ones the first kind found stays, in the order
     formats, named values, runs."""
     found: list[tuple[int, int, str]] = []
     if any(h in text for h in _FORMAT_HINTS):
+        found += [(b, e, "private_key") for b, e in key_blocks(text)]
         found += [(m.start(), m.end(), name) for name, p in _FORMATS for m in p.finditer(text)]
     low = text.lower()
     if any(n in low for n in SECRET_NAMES):
@@ -129,7 +147,7 @@ class Features:
             float(any(w == h or (len(h) > 3 and h in w) for w in near for h in HARMLESS)), float(any(w in HARMLESS for w in right)),
             float(any(p in low for p in PLACEHOLDERS)), float(all(c in "0123456789abcdefABCDEF-" for c in value)),
             float(len(counts)) / n, float(before.rstrip()[-1:] in '"\'`=:'),
-            float(any(p.match(value) is not None for _, p in _FORMATS)), float(value.count("-") == 4 and n == 36),
+            float(any(p.match(value) is not None for _, p in _FORMATS) or any(b == 0 for b, _ in key_blocks(value))), float(value.count("-") == 4 and n == 36),
         ]
 
 
