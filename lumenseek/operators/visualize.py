@@ -50,7 +50,7 @@ def pca(x: np.ndarray, dims: int) -> np.ndarray:
     return np.hstack([out, np.zeros((len(x), dims - out.shape[1]))])
 
 
-def tsne(x: np.ndarray, dims: int = 2, rounds: int = 500, seed: int = 0) -> np.ndarray:
+def tsne(x: np.ndarray, dims: int = 2, rounds: int = 1000, seed: int = 0) -> np.ndarray:
     """Exact t-SNE with perplexity min(30, n - 1), started from principal components."""
     n = len(x)
     if n < 4:

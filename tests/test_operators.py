@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lumenseek.operators import chunking, context, ledger, retrieval, skipping
 from lumenseek.operators.bm25 import Bm25Index, bm25_search, build_bm25
 from lumenseek.operators.vector_index import VectorIndex, index_kind, needs_retraining, trainable
-from lumenseek.operators.visualize import even_sample, reduce_points, visualize
+from lumenseek.operators.visualize import even_sample, reduce_points, tsne, visualize
 
 SF = "/root/testdata/sf0.001"
 
@@ -224,6 +224,11 @@ def test_layouts_keep_groups_together(method):
     assert reduce_points(x[:2], method, 3).shape == (2, 3)
 
 
+def test_tsne_runs_all_rounds():
+    x = np.random.default_rng(2).normal(0, 1, (40, 8))
+    assert (reduce_points(x, "tsne", 2) == tsne(x, 2, rounds=1000)).all()
+
+
 def test_visualize(spark, vectors):
     chunks = pq.read_table(f"{SF}/documents.parquet").to_pandas()
     frame = spark.createDataFrame(chunks[["doc_id", "source", "text"]]).withColumnRenamed("doc_id", "chunk_id")
