@@ -17,12 +17,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import KEY, with_ranges
 from .scratch import Scratch
 
 BITS = 128
 LONGEST = 12
-#: Rows in a range of ids in which the next document is looked up.
-RANGE_ROWS = 512
+#: Rows in a range in which the next document is looked up, and bytes of text that a task takes.
+RANGE_ROWS, TASK_BYTES = 512, 32 << 20
 _LANES = (1 << 32) + 1
 
 
@@ -111,19 +112,17 @@ def within_radius(prints: DataFrame, radius: int = 3, blocks: int = 8, fingerpri
 def with_next(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``range``, ``id``, ``text`` and ``next``: the text of the next row by id (after the last: the first).
 
-    Ids are cut into ranges of about ``RANGE_ROWS`` rows; inside a range a window finds the next row, and the
-    last row of a range takes the head of the next range that has rows. Null ids come first; equal ids are
-    ordered by text. No task holds more than a range, or one number for each range. The rows stay dealt by
-    ``range``, so what groups by it needs no further shuffle.
+    Rows are dealt into ranges of about ``RANGE_ROWS`` rows, cut at sampled quantiles; inside a range a window finds
+    the next row, and the last row of a range takes the head of the next range that has rows. Null ids come first;
+    equal ids are ordered by a hash of their texts. No task holds more than its ranges, or one number for each
+    range. The rows stay dealt by ``range``, so what groups by it needs no further shuffle.
     """
-    rows = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // max(1, -(-n // RANGE_ROWS))))
-    place = F.coalesce(F.floor((F.col("id") - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1).cast("long")) if low is not None else F.lit(-1).cast("long")
-    rows = rows.withColumn("range", place)
-    order = [F.asc_nulls_first("id"), F.asc("text")]
-    inside = rows.withColumn("next", F.lead("text").over(Window.partitionBy("range").orderBy(*order)))
-    ranges = rows.groupBy("range").agg(F.min(F.struct("id", "text")).getField("text").alias("head"))
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    ranged = with_ranges(rows, RANGE_ROWS).repartition(tasks, "range")
+    inside = ranged.withColumn("next", F.lead("text").over(Window.partitionBy("range").orderBy(*KEY)))
+    ranges = ranged.groupBy("range").agg(F.min_by("text", F.struct(*KEY)).alias("head"))
     every = Window.orderBy("range")
     follow = ranges.select("range").withColumn("after", F.lead("range").over(every)).withColumn("after", F.coalesce("after", F.min("range").over(Window.partitionBy())))
     heads = follow.join(ranges.select(F.col("range").alias("after"), "head"), "after").select("range", "head")
@@ -136,8 +135,8 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edited_fingerprint, near_edited, near_next (share of equal bits with the edited text's and with the next
     document's fingerprint).
 
-    Null text: as empty. Null ids come first in the order; equal ids are ordered by text; repeated rows give
-    repeated results. A single document is its own next. An empty table gives an empty result.
+    Ids are whole numbers of any size. Null text: as empty. Null ids come first in the order; equal ids are
+    ordered by a hash of their texts; repeated rows give repeated results. A single document is its own next. An empty table gives an empty result.
     """
     pairs = with_next(docs, id_col, text_col)
     n = F.length("text")

@@ -176,3 +176,26 @@ def test_fingerprint_is_a_weighted_majority(spark):
     many = fingerprints(spark.createDataFrame([(1, "Word word a word")], "k int, text string"), ["k"]).first().fingerprint
     assert one == many
     assert spark.range(1).select(distance(*[__import__("pyspark").sql.functions.lit(x) for x in ("f" * 32, "0" * 32)]).alias("d")).first().d == 128
+
+
+def test_next_for_ids_of_any_size(spark, monkeypatch):
+    from lumenseek.llm import simhash
+
+    monkeypatch.setattr(simhash, "RANGE_ROWS", 5)
+    ids = [-(1 << 63), (1 << 63) - 1, 1 << 62, *(i * 0x9E3779B97F4A7C15 % (1 << 63) - (1 << 61) for i in range(60))]
+    docs = sorted({i: f"text {n} of {i} " * 4 for n, i in enumerate(ids)}.items())
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in edited_likeness(frame).collect()}
+    for (i, t), (_, after) in zip(docs, docs[1:] + docs[:1], strict=True):
+        assert got[i].edited_sha256 == sha([t[: len(t) - len(t) // 2] + after[: len(t) // 2]])
+    same = spark.createDataFrame([(None if i % 2 else 4, "same words here") for i in range(70)] + [(1 << 62, "far away")], "doc_id long, text string")
+    assert edited_likeness(same).count() == 71
+
+
+def test_one_outlying_id_does_not_fill_a_range(spark):
+    from lumenseek.llm.ranges import with_ranges
+
+    rows = spark.range(20_000).selectExpr("if(id = 7, 1L << 62, id) AS id", "'t' AS text")
+    for frame in (rows, rows.selectExpr("if(id % 3 = 0, null, 5L) AS id", "text")):
+        counts = [r["count"] for r in with_ranges(frame, 500).groupBy("range").count().collect()]
+        assert sum(counts) == 20_000 and len(counts) > 30 and max(counts) < 2500
