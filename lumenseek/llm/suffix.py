@@ -11,10 +11,10 @@ task can't be the corpus, so what may match is first brought together, exactly:
    cryptographic digest; those of one batch before any shuffle) are aggregated to the first one; the distinct
    ones are dealt to shards of about ``SHARD`` bytes by the hash.
 4. In a shard, a run-length index is built over its fragments in corpus order: the Burrows-Wheeler transform
-   as runs, the cumulative counts that LF steps need, and a sample for each interval of suffixes that
-   share ``LENGTH`` bytes (runs of the longest-common-prefix table): the earliest of them. Fragments are
-   then streamed backward through it, all at once: LF steps over the runs give each position's row, and
-   the row's sample tells whether the match statistic against earlier text reaches ``LENGTH``.
+   as runs, LF by runs, and samples at the ends of runs. Fragments are streamed backward through it, all at
+   once, which gives each position its matching statistic: how many bytes it shares with its neighbours in
+   suffix order, and where those stand. Where that is ``LENGTH`` or more, the neighbours are followed until
+   one stands earlier; only the earliest is not marked.
    An anchor with more than ``CROWD`` distinct fragments is not put in one shard: its windows are
    aggregated one by one instead.
 5. Marked windows become byte intervals for each document, and the texts are cut.
@@ -29,14 +29,15 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import KEY, with_ranges
 from .scratch import Scratch
 from .words import _powers, mix, text_buffers, tidy
 
 LENGTH, SEED = 100, 32
-SHARD, CROWD = 2_000_000, 10_000
+SHARD, CROWD, RANGE_ROWS = 2_000_000, 10_000, 2048
 #: Bytes of a per-document table up to which it is broadcast to the texts; beyond it, texts are shuffled to it.
 BROADCAST_BYTES = 48_000_000
 #: Window starts taken at once.
@@ -96,93 +97,188 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: in
     return tuple(np.concatenate([*found, none]) for found in (keys, firsts, lasts))
 
 
+def _suffix_order(text: np.ndarray, to_end: np.ndarray, longest: int) -> np.ndarray:
+    """Suffixes in order, by doubling from up to 7 symbols of 9 bits. A suffix ends with its string; equal ones stand in
+    the order of the strings."""
+    n, depth = len(text), 7
+    key = np.zeros(n, dtype=np.int64)
+    for j in range(depth):
+        symbol = np.zeros(n, dtype=np.int64)
+        symbol[: max(0, n - j)] = text[j:]
+        symbol[to_end < j] = 0
+        key = key << 9 | symbol
+    while True:
+        last = depth > longest
+        order = np.argsort(key, kind="stable" if last else None)
+        if last:
+            return order
+        sorted_key = key[order]
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
+        ahead = np.zeros(n, dtype=np.int64)
+        ahead[: max(0, n - depth)] = rank[depth:] + 1
+        ahead[to_end < depth] = 0
+        key = rank * (n + 1) + ahead
+        depth *= 2
+
+
+def _common(words: np.ndarray, to_end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common prefix of the suffixes at a and at b, eight bytes at a time."""
+    most = np.minimum(to_end[a], to_end[b])
+    out = np.zeros(len(a), dtype=np.int64)
+    alive = np.flatnonzero(most > 0)
+    while len(alive):
+        differ = words[a[alive] + out[alive]] ^ words[b[alive] + out[alive]]
+        lowest = np.where(differ, differ & -differ, np.uint64(1) << np.uint64(63))
+        out[alive] += np.where(differ, np.log2(lowest.astype(np.float64)).astype(np.int64) >> 3, 8)
+        alive = alive[(differ == 0) & (out[alive] < most[alive])]
+    return np.minimum(out, most)
+
+
+class _Neighbours:
+    """The neighbour above (or below) of any position in suffix order, and what the two share, from samples.
+
+    If neighbouring rows are preceded by one symbol, the rows that LF leads to are neighbours too, one position back and
+    sharing one byte more. So samples are needed only at positions that LF reaches from an end of a run, and at the
+    strings' ends: for any other position the next sampled one behind it tells, moved back."""
+
+    def __init__(self, at: np.ndarray, other: np.ndarray, shared: np.ndarray):
+        self.at, self.other, self.shared = at.astype(np.int32), other.astype(np.int32), shared.astype(np.int32)
+
+    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i = np.searchsorted(self.at, x)
+        back = self.at[i] - x
+        return self.other[i] - back, self.shared[i] + back
+
+
 class RunLengthIndex:
-    """Index of byte strings, in order: the transform's runs, LF by runs, and a sample for each interval of
-    suffixes that share ``length`` bytes."""
+    """Index of byte strings, in order: runs of the Burrows-Wheeler transform, LF by runs, and samples at both ends of
+    each run. Everything that it keeps has one entry a run or a string."""
 
     def __init__(self, strings: list[bytes], length: int = LENGTH):
         self.length = length
         self.sizes = np.array([len(s) for s in strings], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes + 1)])
-        text = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8).astype(np.int64) + 1
+        joined = np.frombuffer(b"\0".join(strings) + b"\0" * 9, dtype=np.uint8)
+        n = int(self.starts[-1])
+        text = joined[:n].astype(np.int64) + 1
         text[self.starts[1:] - 1] = 0  # the end of a string, below every byte
-        n = len(text)
-        # Suffix order by doubling, from up to 7 symbols of 9 bits. A suffix ends with its string; equal ones stand in
-        # the order of the strings.
         to_end = np.repeat(self.starts[1:] - 1, self.sizes + 1) - np.arange(n)
-        key = np.zeros(n, dtype=np.int64)
-        depth = min(7, length)
-        for j in range(depth):
-            symbol = np.zeros(n, dtype=np.int64)
-            symbol[: max(0, n - j)] = text[j:]
-            symbol[to_end < j] = 0
-            key = key << 9 | symbol
-        part, part_rank = depth, None
-        while True:
-            last = depth > self.sizes.max()
-            order = np.argsort(key, kind="stable" if last else None)
-            sorted_key = key[order]
-            rank = np.empty(n, dtype=np.int64)
-            rank[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-            if depth <= length or part_rank is None:
-                part, part_rank = depth, rank
-            if last:
-                break
-            ahead = np.zeros(n, dtype=np.int64)
-            ahead[: max(0, n - depth)] = rank[depth:] + 1
-            ahead[to_end < depth] = 0
-            key = rank * (n + 1) + ahead
-            depth *= 2
-        # Neighbours in that order share ``length`` bytes if they do in pieces of ``part`` that cover them.
-        new = np.zeros(n - 1, dtype=bool)
-        for at in [*range(0, length - part, part), max(0, length - part)]:
-            value = part_rank[np.minimum(order + at, n - 1)]
-            new |= value[1:] != value[:-1]
-        whole = (to_end >= length)[order]
-        new |= ~(whole[1:] & whole[:-1])
-        self.interval = np.concatenate([[0], np.cumsum(new)]).astype(np.int32)  # of each row
-        self.earliest = np.minimum.reduceat(order, np.concatenate([[0], np.flatnonzero(new) + 1]))
-        # The transform as runs. The symbol before a string's first is that string's end mark, so that LF
-        # leads from a string's first position to its own end and no further.
+        order = _suffix_order(text, to_end, int(self.sizes.max()))
+        # The transform as runs. A string's first symbol is preceded by an end mark; LF from there is not used.
         transform = text[order - 1]
         head = np.zeros(n, dtype=bool)
         head[self.starts[:-1]] = True
         transform[head[order]] = 0
-        change = transform[1:] != transform[:-1]
-        run_starts = np.concatenate([[0], np.flatnonzero(change) + 1])
-        self.run = np.concatenate([[0], np.cumsum(change)]).astype(np.int32)  # of each row: ranks over the runs' heads
-        symbols = transform[run_starts]
-        lengths = np.diff(np.append(run_starts, n))
-        counts = np.bincount(text, minlength=257)
-        below = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        run_starts = np.concatenate([[0], np.flatnonzero(transform[1:] != transform[:-1]) + 1])
+        symbols, lengths = transform[run_starts], np.diff(np.append(run_starts, n))
+        below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=257))[:-1]])
         by_symbol = np.argsort(symbols, kind="stable")
         sums = np.cumsum(lengths[by_symbol]) - lengths[by_symbol]
         first_of = np.searchsorted(symbols[by_symbol], np.arange(257))
         base = sums[np.minimum(first_of, len(sums) - 1)]
-        self.shift = np.empty(len(run_starts), dtype=np.int64)  # from a row of the run to where LF leads
-        self.shift[by_symbol] = below[symbols[by_symbol]] + sums - base[symbols[by_symbol]] - run_starts[by_symbol]
-        # Rows of the strings' ends, from which they are streamed.
-        row = np.empty(n, dtype=np.int64)
-        row[order] = np.arange(n)
-        self.end_rows = row[self.starts[1:] - 1]
+        shift = np.empty(len(run_starts), dtype=np.int64)  # from a row of the run to where LF leads
+        shift[by_symbol] = below[symbols[by_symbol]] + sums - base[symbols[by_symbol]] - run_starts[by_symbol]
+        self.run_starts, self.shift = np.append(run_starts, n).astype(np.int32), shift.astype(np.int32)
+        # A directory with about one entry a run: the run at every 2^step-th row.
+        self.step = max(0, (n // len(run_starts)).bit_length() - 1)
+        self.directory = (np.searchsorted(run_starts, np.arange(0, n, 1 << self.step), side="right") - 1).astype(np.int32)
+        words = np.zeros(n, dtype=np.uint64)
+        for j in range(8):
+            words |= joined[j : j + n].astype(np.uint64) << np.uint64(8 * j)
+        inner = np.flatnonzero(symbols > 0)
+        self.above, self.above_of = self._samples(order, words, to_end, inner, (run_starts + shift)[inner], -1)
+        self.below, self.below_of = self._samples(order, words, to_end, inner, (run_starts + lengths - 1 + shift)[inner], 1)
+
+    def _samples(self, order: np.ndarray, words: np.ndarray, to_end: np.ndarray, inner: np.ndarray, rows: np.ndarray, side: int) -> tuple[_Neighbours, np.ndarray]:
+        """Neighbours above (side -1) or below (1) of ``rows``, which LF reaches from the runs ``inner``, and of the
+        strings' ends, which are the first rows; and which sample belongs to each run."""
+        ends = np.arange(len(self.sizes))
+        rows = np.concatenate([rows, ends])
+        beside = rows + side
+        there = (beside >= 0) & (beside < len(order))
+        at, other = order[rows], order[np.where(there, beside, rows)]
+        shared = np.where(there, _common(words, to_end, at, other), 0)
+        by_place = np.argsort(at)
+        sample_of = np.zeros(len(self.run_starts) - 1, dtype=np.int32)
+        place = np.empty(len(rows), dtype=np.int64)
+        place[by_place] = np.arange(len(rows))
+        sample_of[inner] = place[: len(inner)]
+        return _Neighbours(at[by_place], other[by_place], shared[by_place]), sample_of
+
+    @property
+    def nbytes(self) -> int:
+        """Bytes of all that the index keeps."""
+        kept = [self.sizes, self.starts, self.run_starts, self.shift, self.directory, self.above_of, self.below_of]
+        return sum(x.nbytes for x in [*kept, *vars(self.above).values(), *vars(self.below).values()])
+
+    def _runs_of(self, rows: np.ndarray) -> np.ndarray:
+        run = self.directory[rows >> self.step]
+        go = np.flatnonzero(self.run_starts[run + 1] <= rows)
+        while len(go):
+            run[go] += 1
+            go = go[self.run_starts[run[go] + 1] <= rows[go]]
+        return run
+
+    def matching(self) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+        """Streams all strings backward through the index, side by side: at each step the positions reached, and
+        their neighbours in suffix order, above and below, with the lengths of what is shared. The larger
+        length is the matching statistic of a position against all others."""
+        rows = np.arange(len(self.sizes))
+        place, left = self.starts[1:] - 1, self.sizes.copy()
+        sides = []
+        for known in (self.above, self.below):
+            sides.append(list(known.of(place)))
+        alive = np.flatnonzero(left > 0)
+        rows, place, left = rows[alive], place[alive], left[alive]
+        sides = [[v[alive].astype(np.int64) for v in side] for side in sides]
+        while len(rows):
+            run = self._runs_of(rows)
+            for side, known, sample_of, edge in ((sides[0], self.above, self.above_of, self.run_starts[run]), (sides[1], self.below, self.below_of, self.run_starts[run + 1] - 1)):
+                fresh = np.flatnonzero(rows == edge)
+                sample = sample_of[run[fresh]]
+                side[0], side[1] = side[0] - 1, side[1] + 1
+                side[0][fresh], side[1][fresh] = known.other[sample], known.shared[sample]
+            rows, place, left = rows + self.shift[run], place - 1, left - 1
+            yield place, sides[0], sides[1]
+            if not left.all():
+                on = left > 0
+                rows, place, left = rows[on], place[on], left[on]
+                sides = [[v[on] for v in side] for side in sides]
+
+    def _is_earlier(self, at: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+        """Of positions whose next neighbours that share ``length`` bytes (-1: none) are later ones: whether any other
+        such position is earlier. Walks from neighbour to neighbour, both ways at once, until one is."""
+        out = np.zeros(len(at), dtype=bool)
+        who, ways = np.arange(len(at)), [up, down]
+        while len(who):
+            found = np.zeros(len(who), dtype=bool)
+            for i, known in enumerate((self.above, self.below)):
+                go = np.flatnonzero(ways[i] >= 0)
+                other, shared = known.of(ways[i][go])
+                ways[i][go] = np.where(shared >= self.length, other, -1)
+                found |= (ways[i] >= 0) & (ways[i] < at)
+            out[who[found]] = True
+            on = ~found & ((ways[0] >= 0) | (ways[1] >= 0))
+            who, at, ways = who[on], at[on], [w[on] for w in ways]
+        return out
 
     def repeated(self) -> list[np.ndarray]:
         """For each string the starts of its windows that also start earlier in the indexed text."""
-        rows = self.end_rows.copy()
         marks = np.zeros(int(self.starts[-1]), dtype=bool)
-        place = self.starts[1:] - 1
-        left = self.sizes.copy()
-        alive = np.flatnonzero(left > 0)
-        while len(alive):
-            at = rows[alive]
-            at = at + self.shift[self.run[at]]
-            rows[alive] = at
-            place[alive] -= 1
-            left[alive] -= 1
-            far = self.sizes[alive] - left[alive] >= self.length
-            here = place[alive[far]]
-            marks[here] = self.earliest[self.interval[at[far]]] < here
-            alive = alive[left[alive] > 0]
+        open_ones: list[tuple[np.ndarray, ...]] = []
+        for place, (up, up_shared), (down, down_shared) in self.matching():
+            long = np.flatnonzero(np.maximum(up_shared, down_shared) >= self.length)
+            if not len(long):
+                continue
+            at = place[long]
+            up, down = np.where(up_shared[long] >= self.length, up[long], -1), np.where(down_shared[long] >= self.length, down[long], -1)
+            sure = ((up >= 0) & (up < at)) | ((down >= 0) & (down < at))
+            marks[at[sure]] = True
+            open_ones.append((at[~sure], up[~sure], down[~sure]))
+        if open_ones:
+            at, up, down = (np.concatenate(x) for x in zip(*open_ones, strict=True))
+            marks[at[self._is_earlier(at, up, down)]] = True
         return [np.flatnonzero(marks[a : a + n]) for a, n in zip(self.starts[:-1], self.sizes, strict=True)]
 
 
@@ -316,18 +412,13 @@ def _cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
 
-def _numbered(rows: DataFrame, width_rows: int = 2048) -> DataFrame:
-    """``rows`` (id, text) with seq: their place by id (nulls first) and text. Ranges of ids are numbered
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, text) with seq: their place by id (nulls first) and a hash of the text. Ranges are numbered
     inside, then shifted by the rows of the ranges before."""
-    low, high, n = rows.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // max(1, -(-n // width_rows))))
-    place: Column = F.lit(-1).cast("long")
-    if low is not None:
-        place = F.coalesce(F.floor((F.col("id") - F.lit(low)) / F.lit(width)).cast("long"), place)
-    ranged = rows.withColumn("range", place)
+    ranged = with_ranges(rows, RANGE_ROWS)
     sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
     before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
-    inside = ranged.withColumn("k", F.row_number().over(Window.partitionBy("range").orderBy(F.asc_nulls_first("id"), "text")))
+    inside = ranged.withColumn("k", F.row_number().over(Window.partitionBy("range").orderBy(*KEY)))
     return inside.join(before, "range").select((F.col("before") + F.col("k")).alias("seq"), "id", "text")
 
 
@@ -341,8 +432,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``id_col``, n_bytes, n_removed, spans (array of begin, end: maximal removed runs), kept (binary).
 
     Earlier: in a document with a smaller id, or earlier in the same document; strings are judged on the
-    input. Null text: as empty. Null ids come first; rows with one id are documents in the order of their
-    texts, so of repeated rows all but one are removed. Extra columns are not read. An empty table gives an
+    input. Ids are whole numbers of any size. Null text: as empty. Null ids come first; rows with one id are
+    documents in the order of a hash of their texts, so of repeated rows all but one are removed. Extra columns are not read. An empty table gives an
     empty result.
     """
     scratch = Scratch(docs.sparkSession)

@@ -94,3 +94,36 @@ def test_edges(spark):
     check(spark, rows)
     check(spark, [*rows, (None, "n" * 120), (None, "n" * 120), (6, long), (6, "other " * 40), (8, None)])
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_index_shrinks_with_repetition():
+    r = random.Random(8)
+    fresh = [bytes(r.choice(b"abcdefgh") for _ in range(150)) for _ in range(300)]
+    base = fresh[:10]
+    copies = [base[i % 10][i // 10 :] for i in range(300)]
+    plain, repetitive_ = RunLengthIndex(fresh), RunLengthIndex(copies)
+    assert len(repetitive_.run_starts) < 0.2 * len(plain.run_starts)
+    assert repetitive_.nbytes < 0.3 * plain.nbytes
+
+
+def test_matching_statistics():
+    strings = [b"abracadabra", b"cadabrabra", b"", b"abra", b"x"]
+    index = RunLengthIndex(strings, 3)
+    suffixes = {int(s) + i: t[i:] for s, t in zip(index.starts, strings, strict=False) for i in range(len(t))}
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    for place, up, down in index.matching():
+        for i, p in enumerate(place.tolist()):
+            best = max(common(suffixes[p], t) for q, t in suffixes.items() if q != p)
+            assert max(up[1][i], down[1][i]) == best
+            for other, shared in (up, down):
+                assert not shared[i] or common(suffixes[p], suffixes[int(other[i])]) == shared[i]
+
+
+WIDE = [None, -(1 << 63), (1 << 63) - 1, 0, 5, -3, 1 << 62]
+
+
+def test_ids_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "RANGE_ROWS", 4)
+    texts = repetitive(40, 6)
+    check(spark, [(WIDE[i % 7] if i < 7 else i * 0x1234567890ABCD % (1 << 63) - (1 << 62), t) for i, t in enumerate(texts)])
+    check(spark, [(None if i % 3 else 7, "one text " * 30) for i in range(60)])
