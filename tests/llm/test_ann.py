@@ -3,7 +3,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lumenseek.llm.ann import Forest, nearest
+from lumenseek.llm.ann import CANDIDATES, LEAF, POWER, SAMPLE, Forest, nearest
 
 
 def brute(ids, x, queries, k=20):
@@ -38,19 +38,49 @@ def test_recall(spark, sf):
         assert all(s == pytest.approx(float(scores[q] @ scores[j]), abs=1e-12) for j, s in rows)
 
 
-def test_recall_of_deep_trees():
+def probed(x, forest, queries, n_leaves):
+    """Recall of the 20 nearest, share of all vectors in the leaves taken, and vectors multiplied by vectors."""
+    cells, recall, share, work = forest.leaves(x), [], [], []
+    for q, taken in zip(queries, forest.taken(x[queries], n_leaves), strict=True):
+        assert len(taken) == len(set(taken)) == min(n_leaves, forest.trees << forest.depth)
+        inside = np.zeros((forest.trees, 1 << forest.depth), dtype=bool)
+        inside[tuple(zip(*taken, strict=True))] = True
+        hit = inside[np.arange(forest.trees), cells]
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        recall.append(hit.any(axis=1)[np.argsort(-scores)[:20]].mean())
+        share.append(hit.any(axis=1).mean())
+        work.append(hit.sum() / len(x))
+    return np.mean(recall), np.mean(share), np.mean(work)
+
+
+@pytest.mark.parametrize("n", [500, 2000, 20_000, 80_000])
+def test_recall_and_share_grow_apart(n):
     rng = np.random.default_rng(5)
-    x = rng.standard_normal((20_000, 64)) * rng.uniform(0.8, 1.2, (20_000, 1))
-    forest = Forest(x[:16_384], float(np.linalg.norm(x, axis=1).max()))
-    assert forest.depth == 5
-    cells, q = forest.cells(x), x[:60]
-    probes = forest.probes(q)
-    assert (probes.sum(axis=(1, 2)) == forest.leaves).all()
-    top = np.argsort(-(q @ x.T), axis=1)[:, :20]
-    hit = np.zeros(top.shape, dtype=bool)
-    for t in range(forest.trees):
-        hit |= probes[np.arange(60)[:, None], t, cells[top, t]]
-    assert hit.mean() >= 0.9
+    x = rng.standard_normal((n, 64)) * rng.uniform(0.8, 1.2, (n, 1))
+    forest = Forest(x[:SAMPLE], float(np.linalg.norm(x, axis=1).max()), n)
+    assert LEAF / 2 <= n / (1 << forest.depth) <= LEAF
+    take = int(np.ceil(CANDIDATES * n**POWER / (n / (1 << forest.depth))))
+    recall, share, _ = probed(x, forest, range(0, n, n // 25), take)
+    assert recall >= 0.9 and share < (0.85 if n <= 500 else 0.75 if n <= 2000 else 0.6)
+    sizes = np.array([np.bincount(c, minlength=1 << forest.depth) for c in forest.leaves(x).T])
+    assert sizes.max() < 4 * LEAF
+
+
+def test_clusters_need_few_leaves():
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.standard_normal((200, 64)), 100, axis=0) + 0.2 * rng.standard_normal((20_000, 64))
+    forest = Forest(x, float(np.linalg.norm(x, axis=1).max()), len(x))
+    recall, share, _ = probed(x, forest, range(0, 20_000, 499), 24)
+    assert recall >= 0.9 and share < 0.08
+
+
+def test_paths_below_the_sample():
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((4000, 8))
+    forest = Forest(x[:100], 9.0, 4000, leaf=4)
+    assert forest.depth == 10 and [c.shape[1] for c in forest.cuts] == [1, 2, 4, 8, *[1] * 6]
+    assert len(list(forest.taken(x[:3], 5000))[0]) == 4 << 10
 
 
 def test_edges(spark):
