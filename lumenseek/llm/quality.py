@@ -1,12 +1,12 @@
 """Quality scores by nearest-neighbour voting in a latent-semantic space.
 
-Terms are the character trigrams (of UTF-8 bytes) of a text, hashed to cells, and one term for a word that
-repeats the word before it, which stands in ``ECHO`` cells, or trigrams would outweigh it. Their document
-frequencies are counted over all documents. A bounded sample of labelled rows (``LABELLED``) is weighted
-(log count times inverse document frequency, unit length) and decomposed: the leading ``DIMENSIONS`` right
-singular vectors span the latent space. The labelled vectors are broadcast (under 2 MB); every document's
-cosines with all of them are computed exactly, block by block, and the labels of its ``NEIGHBOURS`` nearest
-vote with their similarity as weight.
+Terms are the character trigrams (of UTF-8 bytes) of a text and its pairs of neighbouring words, each hashed to
+cells, and its runs of four words up to renaming (which of the four are equal), which words of any spelling
+share. Their document frequencies are counted over all documents. A bounded sample of labelled rows
+(``LABELLED``) is weighted (log count times inverse document frequency, unit length) and decomposed: the
+leading ``DIMENSIONS`` right singular vectors span the latent space. The labelled vectors are broadcast (under
+2 MB); every document's cosines with all of them are computed exactly, block by block, and the labels of its
+``NEIGHBOURS`` nearest vote with their similarity as weight.
 """
 
 from __future__ import annotations
@@ -20,38 +20,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import bound_batches
-from .words import pieces, text_buffers, tidy, word_hashes
+from .words import mix, pieces, text_buffers, tidy, word_hashes
 
-TERMS, ECHO = 2048, 32
+#: Cells of trigrams, cells of word pairs, and codes of four words up to renaming (2 * 3 * 4).
+TRIGRAMS, PAIRS, SHAPES = 2048, 2048, 24
+TERMS = TRIGRAMS + PAIRS + SHAPES
 LABELLED = 3000
 DIMENSIONS, NEIGHBOURS = 64, 15
-_BITS = TERMS.bit_length() - 1
+
+
+def _shapes(words: np.ndarray) -> np.ndarray:
+    """For each run of four words a code of which are equal: each word's place is that of the first equal one."""
+    n = max(0, len(words) - 3)
+    code, scale = np.zeros(n, dtype=np.int64), 1
+    for j in range(1, 4):
+        first = np.full(n, j)
+        for i in range(j - 1, -1, -1):
+            first[words[i : i + n] == words[j : j + n]] = i
+        code += scale * first
+        scale *= j + 1
+    return code
 
 
 def term_counts(texts: pa.Array) -> Iterator[np.ndarray]:
-    """Counts of hashed trigrams, one row for each text, a piece of documents at a time."""
+    """Counts of all terms, one row for each text, a piece of documents at a time."""
     raw, offsets = text_buffers(texts)
     for a, b in pieces(offsets):
-        data = raw[offsets[a] : offsets[b]].astype(np.uint32)
+        data, ends = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         cells = np.zeros(len(data), dtype=np.int64)
         if len(data) > 2:
-            key = data[:-2] * np.uint32(0x9E3779B1) + data[1:-1] * np.uint32(0x85EBCA77) + data[2:] * np.uint32(0xC2B2AE3D)
+            wide = data.astype(np.uint32)
+            key = wide[:-2] * np.uint32(0x9E3779B1) + wide[1:-1] * np.uint32(0x85EBCA77) + wide[2:] * np.uint32(0xC2B2AE3D)
             key ^= key >> np.uint32(15)
             key *= np.uint32(0x2C1B3C6D)
-            cells[:-2] = key >> np.uint32(32 - _BITS)
+            cells[:-2] = key >> np.uint32(32 - (TRIGRAMS.bit_length() - 1))
+        words, at = word_hashes(data, ends)
+        pairs = (mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) >> np.uint64(64 - (PAIRS.bit_length() - 1))).astype(np.int64)
+        shapes = _shapes(words)
         out = np.zeros((b - a, TERMS), dtype=np.float32)
+        parts = ((cells, ends, 3, 0, TRIGRAMS), (pairs, at, 2, TRIGRAMS, PAIRS), (shapes, at, 4, TRIGRAMS + PAIRS, SHAPES))
         for i in range(b - a):
-            begin, end = offsets[a + i] - offsets[a], offsets[a + i + 1] - offsets[a] - 2
-            if end > begin:
-                out[i] = np.bincount(cells[begin:end], minlength=TERMS)
-        out[:, :ECHO] = 0
-        words, at = word_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        echo = np.zeros(len(words) + 1, dtype=np.int64)
-        if len(words):
-            same = np.append(False, words[1:] == words[:-1])
-            same[at[:-1][at[:-1] < len(words)]] = False
-            np.cumsum(same, out=echo[1:])
-        out[:, :ECHO] = (echo[at[1:]] - echo[at[:-1]])[:, None]
+            for values, places, width, first, size in parts:
+                begin, end = places[i], places[i + 1] - width + 1
+                if end > begin:
+                    out[i, first : first + size] = np.bincount(values[begin:end], minlength=size)
         yield out
 
 
@@ -133,21 +145,27 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, neighbours
     known = known.groupBy("id").agg(F.round(F.avg("label")).cast("int").alias("label"))
     known = known.orderBy(_spread(F.col("id")), "id").limit(labelled)
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # A bounded set of ids; only hashed counts come back, at most ``labelled`` rows.
-    sample = rows.join(F.broadcast(known), "id").orderBy(_spread(F.col("id")), "id", F.md5(F.encode("text", "UTF-8"))).limit(labelled)
+    # A bounded set of ids. Texts are counted where they are; what is ordered and comes back has a bounded size.
+    chosen = rows.join(F.broadcast(known), "id").select("label", _spread(F.col("id")).alias("spread"), "id", F.md5(F.encode("text", "UTF-8")).alias("digest"), "text")
 
     @tidy
     def counted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             at = 0
-            for counts in term_counts(batch.column(1)):
+            for counts in term_counts(batch.column(4)):
                 n = len(counts)
-                rows = [np.minimum(r, 65_535).astype("<u2").tobytes() for r in counts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(rows, pa.binary())], ["label", "counts"])
+                found = [np.flatnonzero(r) for r in counts]
+                terms = [f.astype("<u2").tobytes() for f in found]
+                times = [np.minimum(r[f], 65_535).astype("<u2").tobytes() for r, f in zip(counts, found, strict=True)]
+                columns = [batch.column(i).slice(at, n) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(terms, pa.binary()), pa.array(times, pa.binary())], ["label", "spread", "id", "digest", "terms", "times"])
                 at += n
 
-    got = sample.select("label", "text").mapInArrow(counted, "label int, counts binary").toArrow()
-    values = np.array([np.frombuffer(x, dtype="<u2") for x in got.column(1).to_pylist()], dtype=np.float32).reshape(-1, TERMS)
+    every = chosen.mapInArrow(counted, "label int, spread long, id string, digest string, terms binary, times binary")
+    got = every.orderBy("spread", "id", "digest").limit(labelled).select("label", "terms", "times").toArrow()
+    values = np.zeros((got.num_rows, TERMS), dtype=np.float32)
+    for i, (terms, times) in enumerate(zip(got.column(1).to_pylist(), got.column(2).to_pylist(), strict=True)):
+        values[i, np.frombuffer(terms, dtype="<u2")] = np.frombuffer(times, dtype="<u2")
     given = np.array(got.column(0).to_pylist(), dtype=np.float64)
     axes = _leading_axes(_unit(np.log1p(values) * weights.astype(np.float32)).astype(np.float64))
     model = Latent(weights.astype(np.float32), axes.astype(np.float32), np.zeros((0, DIMENSIONS), np.float32), given, neighbours)
@@ -158,8 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, neighbours
 def score_documents(docs: DataFrame, model: Latent, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and score (0 to 1) of every row; labels, ids and other columns are not inputs.
 
-    Null text: as empty. Empty texts, and texts of under three bytes, take the labelled rows' mean. Equal
-    texts have equal scores. Repeated rows give repeated results.
+    Null text: as empty. Texts without terms (empty, or one word of under three bytes) take the labelled rows' mean.
+    Equal texts have equal scores, so a text that was learned from is among its own neighbours. Repeated rows
+    give repeated results.
     """
     bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)

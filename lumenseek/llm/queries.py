@@ -38,9 +38,10 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality score of every document; rows whose crc32 of the id is a multiple of 5 are held out."""
+    """Quality score of every document; rows whose crc32 of the id is a multiple of 5 are held out (not those
+    without id, which no label can name)."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
     scored = score_documents(docs, fit(docs, labels.where(~held_out)))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
