@@ -1,11 +1,10 @@
 """Mixing sources to target weights: repetition rates, whole copies, one seeded Bernoulli copy.
 
 Sizes (words) are added up per source. Weights share out the total; a source's target stops at ``CAP`` times
-its size and the excess is shared again by weight, which ends at one water level L: target = min(cap,
-weight * L). With sources in order of cap / weight, L is the largest of (total - caps before) / (weights from
-here on), so no loop is needed. A document is emitted floor(rate) times plus once more with probability
-rate - floor(rate), rate being its source's target / size, decided by a hash of its id. The hash gives
-``SEEDS`` independent numbers; each source uses the one whose total comes nearest its target.
+its size and the excess is shared again by weight until none is above, which is one water level L: target =
+min(cap, weight * L). Each round adds up, over the table of sources, the caps that L has reached and the
+weights of the others. A document is emitted floor(rate) times plus once more with probability
+rate - floor(rate), rate being its source's target / size, decided by one seeded hash of its id.
 """
 
 from __future__ import annotations
@@ -15,10 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import BROADCAST_IDS, Scratch
+from .scratch import Scratch
 
 CAP = 3
-SEEDS = 64
+SEED = 0
+#: Bytes of the table of sources up to which it is broadcast to the documents; beyond it, both are shuffled.
+BROADCAST_BYTES = 32_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -26,54 +27,55 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _draws(id_text: Column) -> list[Column]:
-    """``SEEDS`` numbers in [0, 1) from an id: 32 bits each of md5("<i>:<id>")."""
-    out = []
-    for i in range(0, SEEDS, 4):
-        digest = F.md5(F.concat(F.lit(f"{i // 4}:"), id_text))
-        out += [F.conv(F.substring(digest, 1 + 8 * j, 8), 16, 10).cast("double") / 4294967296.0 for j in range(4)]
-    return out
+def _draw(id_text: Column) -> Column:
+    """A number in [0, 1) from an id: 32 bits of md5("<seed>:<id>")."""
+    digest = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(id_text, F.lit(""))))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def _weighed(per_source: DataFrame, scratch: Scratch, weights: Sequence[float]) -> DataFrame:
+    """Sources (source, source_size) with w, the weights in turn in order of the source, and cap. Sources may be
+    many (hosts, say): they are sorted in ranges, which count on from the ranges before."""
+    dealt = per_source.repartitionByRange(F.asc_nulls_last("source")).sortWithinPartitions(F.asc_nulls_last("source"))
+    placed = scratch.keep(dealt.withColumn("m", F.monotonically_increasing_id()))  # partition << 33 | row
+    part = F.shiftright("m", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    k = F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
+    cycle = F.array(*[F.lit(float(w)) for w in weights])
+    ranked = placed.withColumn("part", part).join(before, "part")
+    return ranked.select("source", "source_size", F.get(cycle, F.pmod(k, F.lit(len(weights))).cast("int")).alias("w"), (F.col("source_size") * float(CAP)).alias("cap"))
+
+
+def _level(weighed: DataFrame) -> float:
+    level, full = 0.0, -1
+    while True:
+        below = F.col("cap") >= F.col("w") * level
+        total, capped, free, n = weighed.agg(
+            F.sum("source_size"), F.sum(F.when(~below, F.col("cap")).otherwise(0.0)), F.sum(F.when(below, F.col("w")).otherwise(0.0)), F.count_if(~below)
+        ).first()
+        if not total or n == full or not free:
+            return level
+        level, full = (total - capped) / free, n
 
 
 def source_rates(docs: DataFrame, scratch: Scratch, weights: Sequence[float], id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
-    """(id, source, size) of every row, and (source, source_size, target, rate, seed) of every source."""
+    """(id, source, size) of every row, and (source, source_size, target, rate) of every source."""
     sized = scratch.keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col).cast("string")).alias("size")))
-    # One row for each source from here on.
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = per_source.withColumn("k", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))))
-    cycle = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = ranked.withColumn("w", F.element_at(cycle, F.pmod(F.col("k") - 1, F.lit(len(weights))) + 1))
-    ranked = ranked.withColumn("cap", F.col("source_size") * float(CAP))
-    order = Window.orderBy(F.col("cap") / F.col("w"), "k")
-    level = (F.sum("source_size").over(Window.partitionBy()) - (F.sum("cap").over(order) - F.col("cap"))) / F.sum("w").over(
-        Window.orderBy(F.desc(F.col("cap") / F.col("w")), F.desc("k"))
-    )
-    filled = ranked.withColumn("level", level).withColumn("level", F.max("level").over(Window.partitionBy()))
-    rated = scratch.keep(
-        filled.withColumn("target", F.least("cap", F.col("w") * F.col("level")))
-        .select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
-    )
-    paired = sized.join(F.broadcast(rated) if _small(rated) else rated, sized["source"].eqNullSafe(rated["source"])).select(
-        rated["source"], "size", "target", "rate", F.array(*_draws(F.coalesce(F.col("id").cast("string"), F.lit("")))).alias("u"))
-    copies = [F.floor("rate") + (F.col("u")[i] < F.col("rate") - F.floor("rate")).cast("long") for i in range(SEEDS)]
-    tried = paired.groupBy("source").agg(F.first("target").alias("target"), *[F.sum(F.col("size") * c).alias(f"t{i}") for i, c in enumerate(copies)])
-    nearest = tried.select(F.col("source").alias("s"), F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{i}") - F.col("target")), F.lit(i)) for i in range(SEEDS)]))["col2"].alias("seed"))
-    chosen = rated.join(nearest, rated["source"].eqNullSafe(nearest["s"])).drop("s")
-    return sized, scratch.keep(chosen)
-
-
-def _small(frame: DataFrame) -> bool:
-    """Rows of sources are broadcast only when they are counted as few; else the join shuffles."""
-    return frame.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    weighed = scratch.keep(_weighed(per_source, scratch, weights))
+    rated = weighed.withColumn("target", F.least("cap", F.col("w") * _level(weighed)))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    return sized, rated.select("source", "source_size", "target", rate.alias("rate"))
 
 
 def _with_copies(rows: DataFrame, rates: DataFrame) -> DataFrame:
     """``rows`` (id, source, ...) with source_size, target and copies."""
-    rates = rates.select(F.col("source").alias("s"), "source_size", "target", "rate", "seed")
-    out = rows.join(F.broadcast(rates) if _small(rates) else rates, F.col("source").eqNullSafe(F.col("s")))
-    digest = F.md5(F.concat(F.floor(F.col("seed") / 4).cast("string"), F.lit(":"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
-    draw = F.conv(F.substring(digest, F.pmod("seed", F.lit(4)) * 8 + 1, F.lit(8)), 16, 10).cast("double") / 4294967296.0
-    return out.withColumn("copies", F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long"))
+    rates = rates.withColumnRenamed("source", "s")
+    size = rates.agg(F.sum(F.coalesce(F.octet_length("s"), F.lit(0)) + 40)).first()[0] or 0
+    out = rows.join(F.broadcast(rates) if size <= BROADCAST_BYTES else rates, F.col("source").eqNullSafe(F.col("s")))
+    extra = _draw(F.col("id").cast("string")) < F.col("rate") - F.floor("rate")
+    return out.withColumn("copies", F.floor("rate") + extra.cast("long"))
 
 
 def plan_mixture(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -116,15 +118,10 @@ WITH sized AS (
 ), rates AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM rated
 ), drawn AS (
-  SELECT d.doc_id, d.size, r.source, r.source_size, r.target, r.rate, s.seed,
-    CAST(floor(r.rate) AS BIGINT) + CASE WHEN CAST(('0x' || substr(md5((s.seed // 4) || ':' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1 + 8 * (s.seed % 4), 8)) AS BIGINT) / 4294967296.0
+  SELECT d.doc_id, d.size, r.source_size, r.target,
+    CAST(floor(r.rate) AS BIGINT) + CASE WHEN CAST(('0x' || substr(md5('0:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) / 4294967296.0
       < r.rate - floor(r.rate) THEN 1 ELSE 0 END AS copies
-  FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source CROSS JOIN (SELECT unnest(range(64)) AS seed) s
-), tried AS (
-  SELECT source, seed, abs(sum(size * copies) - any_value(target)) AS off FROM drawn GROUP BY source, seed
-), chosen AS (
-  SELECT source, seed FROM tried QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, seed) = 1
+  FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
 )
-SELECT d.doc_id, d.size, d.source_size, d.target, CAST(d.size * d.copies AS BIGINT) AS taken
-FROM drawn d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source AND d.seed = c.seed
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken FROM drawn
 """
