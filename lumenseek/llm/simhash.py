@@ -17,7 +17,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import KEY, with_ranges
+from .ranges import id_keys, with_ranges
 from .scratch import Scratch
 
 BITS = 128
@@ -120,9 +120,10 @@ def with_next(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
-    ranged = with_ranges(rows, RANGE_ROWS).repartition(tasks, "range")
-    inside = ranged.withColumn("next", F.lead("text").over(Window.partitionBy("range").orderBy(*KEY)))
-    ranges = ranged.groupBy("range").agg(F.min_by("text", F.struct(*KEY)).alias("head"))
+    ranged, key = with_ranges(rows, RANGE_ROWS, id_keys("id", "text"))
+    inside = ranged.repartition(tasks, "range").withColumn("next", F.lead("text").over(Window.partitionBy("range").orderBy(*key)))
+    # Heads are found before texts move: one row for each range and task is shuffled.
+    ranges = ranged.groupBy("range").agg(F.min_by("text", F.struct(*key)).alias("head"))
     every = Window.orderBy("range")
     follow = ranges.select("range").withColumn("after", F.lead("range").over(every)).withColumn("after", F.coalesce("after", F.min("range").over(Window.partitionBy())))
     heads = follow.join(ranges.select(F.col("range").alias("after"), "head"), "after").select("range", "head")

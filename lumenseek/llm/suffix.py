@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import KEY, with_ranges
+from .ranges import id_keys, with_ranges
 from .scratch import Scratch
 from .words import _powers, mix, text_buffers, tidy
 
@@ -415,10 +415,10 @@ def _cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _numbered(rows: DataFrame) -> DataFrame:
     """``rows`` (id, text) with seq: their place by id (nulls first) and a hash of the text. Ranges are numbered
     inside, then shifted by the rows of the ranges before."""
-    ranged = with_ranges(rows, RANGE_ROWS)
+    ranged, key = with_ranges(rows, RANGE_ROWS, id_keys("id", "text"))
     sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
     before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
-    inside = ranged.withColumn("k", F.row_number().over(Window.partitionBy("range").orderBy(*KEY)))
+    inside = ranged.withColumn("k", F.row_number().over(Window.partitionBy("range").orderBy(*key)))
     return inside.join(before, "range").select((F.col("before") + F.col("k")).alias("seq"), "id", "text")
 
 
