@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import bound_batches
@@ -37,11 +37,24 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def _refuse(spec: dict) -> None:
+    """ValueError for a file that asks for what this encoder doesn't do."""
+    model, splitter, no = spec["model"], spec.get("pre_tokenizer") or {}, (None, False, "", 0)
+    asked = [f"model {model.get('type')}"] * (model.get("type", "BPE") != "BPE")
+    asked += [f"model.{k}" for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k) not in no]
+    asked += ["normalizer"] * (spec.get("normalizer") is not None)
+    asked += ["pre_tokenizer"] * (splitter.get("type") != "ByteLevel" or bool(splitter.get("add_prefix_space")) or not splitter.get("use_regex", True))
+    asked += [f"added token {t['content']!r}" for t in spec["added_tokens"] if any(t.get(k) for k in ("single_word", "lstrip", "rstrip"))]
+    if asked:
+        raise ValueError(f"byte-level BPE only, without {', '.join(asked)}")
+
+
 class ByteBpe:
     """Encoder and decoder of one vocabulary file in the tokenizers library's JSON format."""
 
     def __init__(self, source: bytes):
         spec = json.loads(source)
+        _refuse(spec)
         letters = _byte_letters()
         vocabulary, self.special = spec["model"]["vocab"], {x["content"]: x["id"] for x in spec["added_tokens"]}
         spelled = {t: bytes(letters[c] for c in t) for t in vocabulary if t not in self.special}
@@ -229,6 +242,19 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     return out.withColumnRenamed("id", id_col)
 
 
+def token_count(spark: SparkSession, text: Column, path: str | None = None) -> Column:
+    """How many tokens a text has. Null: 0."""
+    with open(path or default_vocabulary(), "rb") as f:
+        source = spark.sparkContext.broadcast(f.read())
+
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        model = _loaded(source.value)
+        return pa.array([len(ids) // 4 for part in portions(texts) for ids in model.encode(part)], pa.int64())
+
+    return count(text)
+
+
 def decode_documents(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Text of each row's ids: ``id_col``, text. Null ids: null text."""
     with open(path or default_vocabulary(), "rb") as f:

@@ -4,10 +4,10 @@ A turn is written ``### Role: text</turn>`` and a line feed. Texts are escaped r
 ``#`` after another, and the slash of ``</turn>`` get a backslash before them, so neither ``###`` nor
 ``</turn>`` can come from a text.
 
-Prefix sums of turn tokens (two levels: blocks of turns, then turns of a block) cut a conversation into
-segments of ``SEGMENT`` budgets; a segment is walked by one task, which opens a window, repeats the system
+Prefix sums of turn tokens (two levels: ranges of turns, cut at sampled quantiles, then turns of a range) cut a
+conversation into segments of ``SEGMENT`` budgets; a segment is walked by one task, which opens a window, repeats the system
 turn and as much history as allowed, and adds whole turns while they fit. So a conversation of any length is
-dealt over many tasks. The loss mask covers the texts of assistant turns that are new in their window.
+dealt over many tasks. Tokens are those of the byte-level BPE encoder. The loss mask covers the texts of assistant turns that are new in their window.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches
+from .bpe import token_count
+from .ranges import with_ranges
+from .scratch import Scratch, bound_batches
 from .words import tidy
 
 TURN_END = "</turn>"
@@ -28,8 +30,8 @@ TURN_END = "</turn>"
 ROLES = {"system": "System", "user": "User", "assistant": "Assistant"}
 #: Tokens that a turn's marks count.
 MARKS = 4
-#: Budgets in a segment, and turns in a block of prefix sums.
-SEGMENT, BLOCK = 32, 256
+#: Budgets in a segment, and turns in a range of prefix sums.
+SEGMENT, RANGE_ROWS = 32, 256
 
 _NAMED = {v: k for k, v in ROLES.items()}
 _HEADER = re.compile(r"### ((?:[^\\:]|\\.)*): ", re.S)
@@ -66,11 +68,6 @@ def read_turns(formatted: str) -> Iterator[tuple[str, str, int, int]]:
         at = end + len(TURN_END) + 1
 
 
-def default_tokens(text: Column) -> Column:
-    """A tokenizer-free count: runs of letters, runs of digits, and single other marks."""
-    return F.regexp_count(text, F.lit(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"))
-
-
 class _Windows:
     def __init__(self, budget: int, history: int):
         self.budget, self.history = budget, history
@@ -93,14 +90,16 @@ class _Windows:
         if self.new and self.used + tokens > self.budget:
             out = self.close()
         if not self.new:
-            room = self.budget - tokens - (self.system[2] if self.system else 0)
+            room = self.budget - tokens
+            system = [self.system] if self.system and (self.system[2] <= room or room < 0) else []
+            room -= sum(t[2] for t in system)
             repeated, total = [], 0
             for t in reversed(self.past):
                 if total + t[2] > min(self.history, room):
                     break
                 repeated.insert(0, t)
                 total += t[2]
-            self.repeated = [self.system] * bool(self.system) + repeated
+            self.repeated = system + repeated
             self.used = sum(t[2] for t in self.repeated)
         self.new.append(turn)
         self.used += tokens
@@ -148,24 +147,28 @@ def format_windows(
     begin, end: code points of ``formatted`` under the loss mask).
 
     A window holds the system turn (the conversation's opening turn, if of that role), at most ``history``
-    tokens of earlier turns, then new turns, together at most ``budget`` tokens; a turn that alone is larger
-    makes a window of its own. ``tokens`` counts a text's tokens from the column named ``text``; each turn
-    adds ``MARKS``. Null text or role: empty. Null turn numbers come first; equal ones are ordered by role
-    and text; repeated rows are turns like others. Rows without conversation id are one conversation. Extra
-    columns are not read. An empty table gives no window.
+    tokens of earlier turns, then new turns, together at most ``budget`` tokens. A turn that alone exceeds the budget
+    makes a window of its own, behind the system turn; only such windows are over it. The system turn is left out of
+    a window only where it and the first new turn exceed the budget, and that turn alone doesn't. Nothing is
+    truncated. ``tokens`` counts a text's tokens from the
+    column named ``text`` (by default as op9 encodes it); each turn adds ``MARKS``. Null text or role: empty. Null
+    turn numbers come first; equal ones are ordered by a hash of role and text; repeated rows are turns like others.
+    Rows without conversation id are one conversation. Extra columns are not read. An empty table gives no window.
     """
     bound_batches(turns.sparkSession)
     kind = turns.schema[conv_col].dataType
     rows = turns.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
-    count = default_tokens(F.col("text")) if tokens is None else tokens
-    rows = rows.withColumn("tokens", (F.coalesce(count, F.lit(0)) + MARKS).cast("long")).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
-    place = [F.asc_nulls_first("turn"), F.asc("role"), F.asc("text")]
-    blocks = rows.groupBy("conv", "block").agg(F.sum("tokens").alias("n"))
-    before = blocks.select(F.col("conv").alias("c"), F.col("block").alias("b"), (F.sum("n").over(Window.partitionBy("conv").orderBy("block")) - F.col("n")).alias("before"))
-    inside = F.coalesce(F.sum("tokens").over(Window.partitionBy("conv", "block").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    summed = rows.join(before, F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).withColumn("start", F.col("before") + inside)
+    count = token_count(turns.sparkSession, F.col("text")) if tokens is None else tokens
+    rows = rows.withColumn("tokens", (F.coalesce(count, F.lit(0)) + MARKS).cast("long"))
+    parts = [F.xxhash64("conv"), F.col("turn").isNotNull().cast("long"), F.coalesce(F.col("turn"), F.lit(0).cast("long")), F.xxhash64("role", "text")]
+    ranged, key = with_ranges(rows, RANGE_ROWS, parts)
+    rows = Scratch(turns.sparkSession).keep(ranged)
+    sums = rows.groupBy("conv", "range").agg(F.sum("tokens").alias("n"))
+    before = sums.select(F.col("conv").alias("c"), F.col("range").alias("r"), (F.sum("n").over(Window.partitionBy("conv").orderBy("range")) - F.col("n")).alias("before"))
+    inside = F.coalesce(F.sum("tokens").over(Window.partitionBy("conv", "range").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    summed = rows.withColumn("inside", inside).join(before, F.col("conv").eqNullSafe(F.col("c")) & (F.col("range") == F.col("r"))).withColumn("start", F.col("before") + F.col("inside"))
     length = budget * SEGMENT
     summed = summed.withColumn("segment", F.floor(F.col("start") / length)).select("conv", "segment", "start", "role", "text", "tokens")
 

@@ -2,8 +2,11 @@ import hashlib
 import math
 from collections import defaultdict
 
+import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+import tokenizers
+from pyspark.sql import functions as F
 
 from lumenseek.llm.chat import digest_windows, escape, format_windows, read_turns, render_turn, unescape
 from lumenseek.llm.mixing import mix_sources, plan_mixture
@@ -73,6 +76,47 @@ def test_windows_keep_budget_system_and_history(spark):
     assert format_windows(turns.limit(0)).count() == 0 and digest_windows(format_windows(turns.limit(0))).count() == 0
 
 
+def test_windows_keep_their_budget_with_a_large_system_turn(spark):
+    count = F.regexp_count("text", F.lit(r"\S+")) - 4  # a text's words are its tokens, marks included
+    talk = [("system", "s " * 404)] + [("user" if i % 2 else "assistant", f"t{i} " + "w " * (203 if i < 6 else 50)) for i in range(1, 20)]
+    turns = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(talk)], "conv_id long, turn long, role string, text string")
+    windows = sorted(format_windows(turns, budget=512, history=64, tokens=count).collect(), key=lambda w: (w.segment, w.number))
+    assert all(w.n_tokens <= 512 for w in windows)
+    new, with_system = [], []
+    for i, w in enumerate(windows):
+        inside = [(r, t) for r, t, _, _ in read_turns(w.formatted)]
+        first = inside[w.n_repeated]
+        # The system turn is left out only where it and the first new turn exceed the budget.
+        with_system.append(inside[0][0] == "system")
+        assert i == 0 or with_system[-1] == (404 + len(first[1].split()) <= 512)
+        new += inside[w.n_repeated :]
+    assert new == talk and not all(with_system) and sum(with_system) > 1
+    alone = format_windows(turns.where("turn in (0, 1)"), budget=100, history=64, tokens=count).collect()
+    assert sorted((w.n_turns, w.n_repeated, w.n_tokens) for w in alone) == [(1, 0, 404), (1, 1, 608)]
+
+
+def test_tokens_are_those_of_the_encoder(spark):
+    texts = ["", "Hello world", "x" * 70_000, "a b " * 20_000, None, "née 漢字 <|endoftext|> 12345"]
+    turns = spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    model = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {w.conv_id: w.n_tokens for w in format_windows(turns).collect()}
+    assert got == {i: len(model.encode(t or "", add_special_tokens=False).ids) + 4 for i, t in enumerate(texts)}
+
+
+def test_turns_of_one_number_and_hot_conversations(spark, monkeypatch):
+    from lumenseek.llm import chat
+
+    monkeypatch.setattr(chat, "RANGE_ROWS", 8)
+    rows = [(None if i % 3 else 5, None if i % 2 else 1, "user", f"text {i % 50}") for i in range(400)] + [(i, -(1 << 63) + i, "assistant", "a " * 600) for i in range(9)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS range", "2 AS k0", "3 AS start", "4 AS tokens")
+    got = {r.conv_id: r for r in digest_windows(format_windows(turns, budget=64, history=16)).collect()}
+    count = defaultdict(int)
+    for r in rows:
+        count[r[0]] += 1
+    assert {c: r.n_turns for c, r in got.items()} == dict(count)
+    assert got == {r.conv_id: r for r in digest_windows(format_windows(turns.repartition(5), budget=64, history=16)).collect()}
+
+
 # Mixing
 
 
@@ -204,9 +248,9 @@ def test_next_for_ids_of_any_size(spark, monkeypatch):
 
 
 def test_one_outlying_id_does_not_fill_a_range(spark):
-    from lumenseek.llm.ranges import with_ranges
+    from lumenseek.llm.ranges import id_keys, with_ranges
 
     rows = spark.range(20_000).selectExpr("if(id = 7, 1L << 62, id) AS id", "'t' AS text")
     for frame in (rows, rows.selectExpr("if(id % 3 = 0, null, 5L) AS id", "text")):
-        counts = [r["count"] for r in with_ranges(frame, 500).groupBy("range").count().collect()]
+        counts = [r["count"] for r in with_ranges(frame, 500, id_keys("id", "text"))[0].groupBy("range").count().collect()]
         assert sum(counts) == 20_000 and len(counts) > 30 and max(counts) < 2500
