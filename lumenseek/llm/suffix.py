@@ -97,9 +97,9 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: in
     return tuple(np.concatenate([*found, none]) for found in (keys, firsts, lasts))
 
 
-def _suffix_order(text: np.ndarray, to_end: np.ndarray, longest: int) -> np.ndarray:
-    """Suffixes in order, by doubling from up to 7 symbols of 9 bits. A suffix ends with its string; equal ones stand in
-    the order of the strings."""
+def _suffix_order(text: np.ndarray, to_end: np.ndarray) -> np.ndarray:
+    """Suffixes in order, by doubling from up to 7 symbols of 9 bits; what already stands alone, or has ended, is not
+    sorted again. A suffix ends with its string; equal ones stand in the order of the strings."""
     n, depth = len(text), 7
     key = np.zeros(n, dtype=np.int64)
     for j in range(depth):
@@ -107,19 +107,26 @@ def _suffix_order(text: np.ndarray, to_end: np.ndarray, longest: int) -> np.ndar
         symbol[: max(0, n - j)] = text[j:]
         symbol[to_end < j] = 0
         key = key << 9 | symbol
-    while True:
-        last = depth > longest
-        order = np.argsort(key, kind="stable" if last else None)
-        if last:
-            return order
-        sorted_key = key[order]
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        ahead = np.zeros(n, dtype=np.int64)
-        ahead[: max(0, n - depth)] = rank[depth:] + 1
-        ahead[to_end < depth] = 0
-        key = rank * (n + 1) + ahead
+    order = np.argsort(key)
+    key = key[order]
+    first = np.ones(n + 1, dtype=bool)  # whether a group of equals begins at a row
+    first[1:n] = key[1:] != key[:-1]
+    rank = np.empty(n, dtype=np.int64)  # the row where a suffix's group begins
+    rank[order] = np.maximum.accumulate(np.where(first[:n], np.arange(n), 0))
+    rows = np.flatnonzero(~(first[:-1] & first[1:]))
+    while len(rows := rows[~(first[rows] & first[rows + 1]) & (to_end[order[rows]] >= depth)]):
+        at = order[rows]
+        key = rank[at] * (n + 1) + rank[at + depth]
+        turn = np.argsort(key)
+        at, key = at[turn], key[turn]
+        order[rows] = at
+        first[rows[1:]] |= key[1:] != key[:-1]
+        rank[at] = np.maximum.accumulate(np.where(first[rows], rows, 0))
         depth *= 2
+    rows = np.flatnonzero(~(first[:-1] & first[1:]))
+    at = order[rows]
+    order[rows] = at[np.argsort(rank[at] * (n + 1) + at)]
+    return order
 
 
 def _common(words: np.ndarray, to_end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -164,7 +171,7 @@ class RunLengthIndex:
         text = joined[:n].astype(np.int64) + 1
         text[self.starts[1:] - 1] = 0  # the end of a string, below every byte
         to_end = np.repeat(self.starts[1:] - 1, self.sizes + 1) - np.arange(n)
-        order = _suffix_order(text, to_end, int(self.sizes.max()))
+        order = _suffix_order(text, to_end)
         # The transform as runs. A string's first symbol is preceded by an end mark; LF from there is not used.
         transform = text[order - 1]
         head = np.zeros(n, dtype=bool)
