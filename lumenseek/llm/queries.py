@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .bpe import encode_documents
 from .chat import digest_windows, format_windows
-from .minhash import near_duplicates
+from .minhash import NEAR_SQL, near_duplicates
 from .mixing import MIX_SQL, plan_mixture
 from .quality import fit, score_documents
 from .secrets import scan_secrets
@@ -106,4 +106,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": MIX_SQL}
+    return {"op5_source_mixing": MIX_SQL, "op7_minhash_dedup": NEAR_SQL}
