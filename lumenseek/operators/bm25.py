@@ -6,11 +6,13 @@ Very common terms take a positive floor: a quarter of the mean weight of all ter
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..functions.scores import minmax
 from ..functions.text import tokens
@@ -20,50 +22,90 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 @dataclass
 class Bm25Index:
-    """postings (term, id, tf, dl), terms (term, df, idf), corpus (n, avgdl, mean_idf): one row."""
+    """terms (term, df, idf), corpus (n, avgdl, mean_idf): one row, and postings (term, id, tf, dl) or, before they are
+    stored, words (term, id, dl): a row for each word of each document."""
 
-    postings: DataFrame
+    postings: DataFrame | None
     terms: DataFrame
     corpus: DataFrame
+    words: DataFrame | None = None
+
+    def postings_of(self, terms: DataFrame | None = None) -> DataFrame:
+        """Postings, or those of ``terms`` (distinct) alone: words that nobody asks for are never counted."""
+        rows = self.postings if self.words is None else self.words
+        if terms is not None:
+            rows = rows.join(terms, "term", "left_semi")
+        return rows if self.words is None else rows.groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
 
     def save(self, path: str) -> None:
         """Parquet, postings sorted by term so that a query's terms prune row groups."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        self.save_postings(f"{path}/postings")
+        self.save_terms(f"{path}/terms")
+
+    def save_postings(self, path: str) -> None:
+        self.postings_of().repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+
+    def save_terms(self, path: str) -> None:
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Bm25Index | None:
         """None if there is no whole index at ``path``: search is dense only then."""
+        return cls.of(spark, [f"{path}/postings"], f"{path}/terms")
+
+    @classmethod
+    def of(cls, spark: SparkSession, postings: list[str], terms: str) -> Bm25Index | None:
+        """As :meth:`load`, of postings in several folders."""
         try:
-            return cls(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "corpus")))
-        except AnalysisException:
+            found = cls(spark.read.parquet(*postings), spark.read.parquet(f"{terms}/terms"), spark.read.parquet(f"{terms}/corpus"))
+            found.corpus.first()  # an unreadable file shows itself when it is read
+        except (PySparkException, Py4JJavaError) as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                warnings.warn(f"keyword index can't be read; dense search only: {str(e)[:200]}", stacklevel=2)
             return None
+        whole = {"term", "id", "tf", "dl"} <= set(found.postings.columns) and {"term", "df", "idf"} <= set(found.terms.columns)
+        return found if whole and {"n", "len", "avgdl"} <= set(found.corpus.columns) else None
 
+    def with_more(self, other: Bm25Index) -> Bm25Index:
+        """The index of this one's documents and those of ``other``, which has none of them. Of this index only terms
+        and sums are read, no posting."""
+        both = self.terms.select("term", "df").unionByName(other.terms.select("term", "df")).groupBy("term").agg(F.sum("df").alias("df"))
+        size = self.corpus.select("n", "len").unionByName(other.corpus.select("n", "len")).agg(F.sum("n").alias("n"), F.sum("len").alias("len"))
+        terms, corpus = _weighed(both, size)
+        return Bm25Index(None if self.postings is None or other.postings is None else self.postings.unionByName(other.postings), terms, corpus)
 
-def build_bm25(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Bm25Index:
-    """Index of texts. Null texts count as documents without terms."""
-    worded = chunks.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
-    # One row per term and document already before the shuffle, as a document's words are exploded together.
-    postings = worded.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
-    corpus = worded.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("len")).select("n", F.when(F.col("n") > 0, F.col("len") / F.col("n")).alias("avgdl"))
-    counted = postings.groupBy("term").agg(F.count("*").alias("df"))
+
+def _weighed(counted: DataFrame, size: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Terms with idf, and the corpus row, from document frequencies (term, df) and one row of sums (n, len)."""
     weigh = lambda n, df: F.log(n - df + 0.5) - F.log(df + 0.5)
     # The mean over terms, from how many terms share each df: few rows, added up in a fixed order.
-    shared = counted.groupBy("df").agg(F.count("*").alias("c")).crossJoin(F.broadcast(corpus.select("n")))
+    shared = counted.groupBy("df").agg(F.count("*").alias("c")).crossJoin(F.broadcast(size.select("n")))
     parts = shared.agg(F.array_sort(F.collect_list(F.struct("df", F.col("c"), weigh(F.col("n"), F.col("df")).alias("w")))).alias("p"), F.sum("c").alias("terms"))
     mean = parts.select((F.aggregate("p", F.lit(0.0), lambda s, x: s + x["w"] * x["c"]) / F.col("terms")).alias("mean_idf"))
-    corpus = corpus.crossJoin(F.broadcast(mean))
+    corpus = size.select("n", "len", F.when(F.col("n") > 0, F.col("len") / F.col("n")).alias("avgdl")).crossJoin(F.broadcast(mean))
     raw = counted.crossJoin(F.broadcast(corpus.select("n", "mean_idf"))).withColumn("raw", weigh(F.col("n"), F.col("df")))
-    terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(postings, terms, corpus)
+    return raw.select("term", "df", F.when(F.col("raw") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw")).alias("idf")), corpus
+
+
+def build_bm25(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Bm25Index:
+    """Index of texts. Null texts count as documents without terms."""
+    worded = chunks.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
+    # A document's distinct terms, and one more for the document itself, which no word equals: one pass and one shuffle
+    # of partial counts give document frequencies, how many documents there are, and their lengths.
+    each = worded.select(F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("words"))).alias("term"))
+    every = each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("len"))
+    size = every.where("term = ''").agg(F.coalesce(F.max("df"), F.lit(0)).alias("n"), F.max("len").alias("len"))
+    terms, corpus = _weighed(every.where("term <> ''").select("term", "df"), size)
+    words = worded.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).select("term", "id", "dl")
+    return Bm25Index(None, terms, corpus, words)
 
 
 def bm25_scores(index: Bm25Index, queries: DataFrame) -> DataFrame:
     """query_id, id, score for ``queries`` (query_id, query). A word said twice counts twice."""
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     weighed = index.terms.join(asked, "term").select("query_id", "term", (F.col("idf") * F.col("times")).alias("w"))
-    hits = index.postings.join(weighed, "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))
+    hits = index.postings_of(asked.select("term").distinct()).join(weighed, "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,14 +13,14 @@ SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ", "")
 SIZE, OVERLAP = 1600, 200
 
 
-def fixed_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Windows of ``size`` characters, each ``size - overlap`` after the one before (at least 1): ``id_col``,
-    chunk_index, text, total_chunks. Null or blank texts have none."""
+def fixed_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """Windows of ``size`` characters, each ``size - overlap`` after the one before (at least 1): ``id_col``, the
+    columns ``keep``, chunk_index, text, total_chunks. Null or blank texts have none."""
     step = max(1, size - overlap)
     text = F.trim(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col), text.alias("t")).where("t <> ''").withColumn("total_chunks", F.floor((F.length("t") - 1) / step).cast("int") + 1)
+    rows = docs.select(id_col, *keep, text.alias("t")).where("t <> ''").withColumn("total_chunks", F.floor((F.length("t") - 1) / step).cast("int") + 1)
     rows = rows.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), F.col("total_chunks") - 1)))
-    return rows.select(id_col, "chunk_index", F.substring(F.col("t"), F.col("chunk_index") * step + 1, F.lit(size)).alias("text"), "total_chunks")
+    return rows.select(id_col, *keep, "chunk_index", F.substring(F.col("t"), F.col("chunk_index") * step + 1, F.lit(size)).alias("text"), "total_chunks")
 
 
 def split_recursively(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
@@ -60,7 +60,7 @@ def _packed(parts: list[str], size: int, overlap: int) -> list[str]:
     return [c for c in out if c]
 
 
-def recursive_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def recursive_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """As :func:`fixed_chunks`, split at sentence and word borders."""
 
     @F.arrow_udf("array<string>")
@@ -68,8 +68,8 @@ def recursive_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP,
         return pa.array([split_recursively(t, size, overlap) if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
 
     text = F.trim(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col), split(text).alias("c"))
-    return rows.select(id_col, F.size("c").alias("total_chunks"), F.posexplode("c").alias("chunk_index", "text")).select(id_col, "chunk_index", "text", "total_chunks")
+    rows = docs.select(id_col, *keep, split(text).alias("c"))
+    return rows.select(id_col, *keep, F.size("c").alias("total_chunks"), F.posexplode("c").alias("chunk_index", "text")).select(id_col, *keep, "chunk_index", "text", "total_chunks")
 
 
 def register_chunker(spark: SparkSession, name: str = "split_chunks") -> None:

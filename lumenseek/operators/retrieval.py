@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import dot, dynamic_alpha, fuse
 from ..functions.text import tokens
 
+#: Queries that are sent to all tasks or held by one (2 MB at 64 dimensions), and vectors in a block beyond that.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 65_536
+
 
 def top_k(rows: DataFrame, k: int, by: list[Column], per: str = "query_id") -> DataFrame:
     """The first k rows of each group, with rank; Spark cuts groups before and after the shuffle."""
@@ -15,17 +22,104 @@ def top_k(rows: DataFrame, k: int, by: list[Column], per: str = "query_id") -> D
 
 
 def dense_scores(vectors: DataFrame, queries: DataFrame, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
-    """Inner products of all vectors with a query set: query_id, variant_no, ``id_col``, score. The queries
-    are what users ask at once, a few rows beside the vectors, and are broadcast by Spark if small."""
+    """Inner products of all vectors with a query set: query_id, variant_no, ``id_col``, score. One row for each pair,
+    for query sets of a few rows; :func:`dense_search` finds the best of large ones without making the pairs."""
     asked = queries.select("query_id", "variant_no", F.col("embedding").alias("_query"))
     return vectors.crossJoin(asked).select("query_id", "variant_no", id_col, dot(F.col(vector_col), F.col("_query")).alias("score"))
 
 
+def _best_of(ids: pa.Array, x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of a block for each query: query row, block row, score; by score (9 digits), then id."""
+    who, what, scores = [], [], []
+    names = None
+    for a in range(0, len(q), 256):
+        s = q[a : a + 256] @ x.T
+        rounded, n = np.where(np.isnan(s), -np.inf, np.round(s, 9)), min(k, len(x))
+        least = np.partition(rounded, len(x) - n, axis=1)[:, len(x) - n]
+        for i in range(len(s)):
+            found = np.flatnonzero((rounded[i] >= least[i]) & (rounded[i] > -np.inf))
+            if len(found) > k:  # ties at the edge
+                names = ids.to_pylist() if names is None else names
+                found = np.array(sorted(found, key=lambda j: (-rounded[i, j], names[j]))[:k])
+            who.append(np.full(len(found), a + i))
+            what.append(found)
+            scores.append(s[i, found])
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([*who, none]), np.concatenate([*what, none]), np.concatenate([*scores, none.astype(float)])
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _schema(vectors: DataFrame, id_col: str) -> str:
+    return f"q long, id {vectors.schema[id_col].dataType.simpleString()}, score double"
+
+
+def _scan_all(vectors: DataFrame, q: np.ndarray, k: int, id_col: str, vector_col: str) -> DataFrame:
+    """The k best of each partition (rows of ``q`` by number): no vector moves."""
+    sent, dim = vectors.sparkSession.sparkContext.broadcast(q), q.shape[1]
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            if batch.num_rows:
+                row, at, score = _best_of(batch.column(0), _matrix(batch.column(1), dim), sent.value, k)
+                yield pa.RecordBatch.from_arrays([pa.array(row), batch.column(0).take(pa.array(at)), pa.array(score)], ["q", "id", "score"])
+
+    return vectors.select(id_col, vector_col).mapInArrow(run, _schema(vectors, id_col))
+
+
+def _in_blocks(vectors: DataFrame, asked: DataFrame, n: int, dim: int, k: int, id_col: str, vector_col: str) -> DataFrame:
+    """The k best of each block of vectors for each block of queries: a task multiplies two blocks."""
+    xs, ys = max(1, -(-vectors.count() // VECTOR_BLOCK)), -(-n // QUERY_BLOCK)
+    kind = vectors.schema[id_col].dataType.simpleString()
+    some = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = vectors.select(deal(id_col, xs).alias("x"), some(ys).alias("y"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("q"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    right = asked.select(some(xs).alias("x"), deal("q", ys).alias("y"), F.lit(0).alias("kind"), "q", F.lit(None).cast(kind).alias("id"), F.col("v").cast("array<double>").alias("v"))
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in stream:
+            if not batch.num_rows:
+                continue
+            x, y, kinds = (batch.column(i).to_numpy() for i in range(3))
+            cut = np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for a, b in zip([0, *cut], [*cut, len(x)], strict=True):
+                rows = batch.slice(a, b - a)
+                if (x[a], y[a]) != group:
+                    group, held = (x[a], y[a]), []
+                if kinds[a] == 0:
+                    held.append((rows.column(3).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(rows.column(5), dim)))
+                elif held:
+                    names, q = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+                    row, at, score = _best_of(rows.column(4), _matrix(rows.column(5), dim), q, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[row]), rows.column(4).take(pa.array(at)), pa.array(score)], ["q", "id", "score"])
+
+    return left.unionByName(right).repartition(xs * ys, "x", "y").sortWithinPartitions("x", "y", "kind").mapInArrow(run, _schema(vectors, id_col))
+
+
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
     """The k best of each variant, merged per query by the largest score: query_id, ``id_col``, score, rank.
-    All merged hits stay. Ties go to the smaller id. Only ids and scores are moved."""
-    scored = dense_scores(vectors, queries, id_col, vector_col)
+    All merged hits stay. Ties go to the smaller id. Vectors that are null, or not as long as the queries, take no
+    part. A query set of up to ``QUERY_BLOCK`` rows is sent to the vectors; a larger one is multiplied block by block."""
+    rows = queries.select("query_id", "variant_no", F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
     best = [F.desc(F.round("score", 9)), F.col(id_col)]
+    names = queries.select("query_id", "variant_no").schema
+    some = rows.limit(QUERY_BLOCK + 1).toArrow()  # bounded, as its size decides
+    spark = vectors.sparkSession
+    if not some.num_rows:
+        return spark.createDataFrame([], names).crossJoin(vectors.select(id_col).limit(0)).select("query_id", id_col, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    dim = len(some.column(2)[0])
+    fit = vectors.where(F.col(vector_col).isNotNull() & (F.size(vector_col) == dim))
+    if some.num_rows <= QUERY_BLOCK:
+        q = _matrix(some.column(2).combine_chunks(), dim)
+        keys = spark.createDataFrame(some.select([0, 1]).append_column("q", pa.array(np.arange(len(q)))))
+        found = _scan_all(fit, q, k, id_col, vector_col).join(F.broadcast(keys), "q")
+    else:
+        asked = rows.withColumn("q", F.xxhash64("query_id", "variant_no"))
+        found = _in_blocks(fit, asked, asked.count(), dim, k, id_col, vector_col).join(asked.select("query_id", "variant_no", "q"), "q")
+    scored = found.select("query_id", "variant_no", F.col("id").alias(id_col), "score")
     cut = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "variant_no").orderBy(*best))).where(F.col("r") <= k)
     merged = cut.groupBy("query_id", id_col).agg(F.max("score").alias("score"))
     return merged.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best)))
@@ -52,11 +146,15 @@ def overlap_score(query: Column, text: Column) -> Column:
 
 def rerank(hits: DataFrame, top: int | None, score: Column | None = None, id_col: str = "chunk_id") -> DataFrame:
     """Hits (query_id, query, text, rank, ...) ordered by a new score, cut to ``top`` if that is positive.
-    ``score`` may be any column function of query and text, a vectorised one too."""
-    scored = hits.withColumn("score", overlap_score(F.col("query"), F.col("text")) if score is None else score)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "rank", id_col)
+    ``score`` may be any column function of query and text, a vectorised one too. A query with a null score, where
+    scoring failed, keeps its hits as they were: their scores, their order, all of them."""
+    scored = hits.withColumn("_new", overlap_score(F.col("query"), F.col("text")) if score is None else score)
+    scored = scored.withColumn("_failed", F.max(F.col("_new").isNull()).over(Window.partitionBy("query_id")))
+    order = Window.partitionBy("query_id").orderBy(F.when(~F.col("_failed"), F.round("_new", 9)).desc_nulls_last(), "rank", id_col)
     out = scored.withColumn("new_rank", F.row_number().over(order))
-    return (out.where(F.col("new_rank") <= top) if top and top > 0 else out).drop("rank").withColumnRenamed("new_rank", "rank")
+    out = out.where(F.col("_failed") | (F.col("new_rank") <= top)) if top and top > 0 else out
+    new = F.when(F.col("_failed"), F.col("score")).otherwise(F.col("_new")) if "score" in hits.columns else F.col("_new")
+    return out.withColumn("score", new).drop("rank", "_new", "_failed").withColumnRenamed("new_rank", "rank")
 
 
 def query_variants(queries: DataFrame, n: int) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions import geometry, scores
 from ..functions import text as tx
 from ..operators import chunking, context, ledger, retrieval, skipping
 from ..operators.bm25 import bm25_scores, bm25_search, build_bm25
-from ..operators.vector_index import VectorIndex, needs_retraining
+from ..operators.vector_index import GROWTH, VectorIndex
 from ..operators.visualize import even_sample, plot_points, reduce_points
 from ..providers import HashingEmbedder, embed
 from ..sources import files, store
@@ -43,28 +43,22 @@ def _r(c: Column | str, digits: int = 6) -> Column:
 
 # Parts that several queries share.
 
-#: Mixed query vectors: sums of two or three stored ones, made unit length.
-_MIX = ((0, 0, (0, 1)), (0, 1, (0, 1, 2)), (0, 2, (1, 2)), (1, 0, (3, 4)), (1, 1, (3, 4, 5)), (2, 0, (6, 7)))
-
-
-def _mixed(vectors: DataFrame) -> DataFrame:
-    """query_id, variant_no, embedding of ``_MIX``."""
-    spark = vectors.sparkSession
-    parts = spark.createDataFrame([(q, v, i) for q, v, ids in _MIX for i in ids], "query_id long, variant_no int, vec_id long")
-    picked = vectors.where(F.col("vec_id") <= 7).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    grouped = F.broadcast(parts).join(picked, "vec_id").groupBy("query_id", "variant_no").agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("p"))
+def _mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """query_id, variant_no, embedding: each benchmark item asks with two vectors, mixed of the two (variant 0) and three
+    (variant 1) stored ones from its number on and made unit length."""
+    items = _read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array(*[F.struct(F.lit(v).alias("variant_no"), F.lit(i).alias("i")) for v, i in ((0, 0), (0, 1), (1, 0), (1, 1), (1, 2))])).alias("e"))
+    parts = items.select("query_id", "e.variant_no", (F.col("query_id") + F.col("e.i")).alias("vec_id"))
+    picked = _read(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    grouped = parts.join(picked, "vec_id").groupBy("query_id", "variant_no").agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("p"))
     add = F.aggregate(F.slice("p", 2, 10), F.col("p")[0]["v"], lambda s, x: F.zip_with(s, x["v"], lambda a, b: a + b))
     return grouped.select("query_id", "variant_no", scores.l2_normalize(add).alias("embedding"))
 
 
-_MIX_SQL = (
-    "mix(query_id, variant_no, ids) AS (VALUES "
-    + ", ".join(f"(CAST({q} AS BIGINT), {v}, {list(ids)})" for q, v, ids in _MIX)
-    + """), vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+_MIX_SQL = """mix AS (SELECT item_id AS query_id, 0 AS variant_no, unnest([item_id, item_id + 1]) AS vec_id FROM benchmark UNION ALL SELECT item_id, 1, unnest([item_id, item_id + 1, item_id + 2]) FROM benchmark),
+vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 added AS (SELECT query_id, variant_no, list(t ORDER BY i) AS s FROM (
-  SELECT m.query_id, m.variant_no, i, sum(v.e[i]) AS t FROM mix m JOIN vec v ON list_contains(m.ids, v.vec_id), range(1, 65) r(i) GROUP BY ALL) GROUP BY ALL),
+  SELECT query_id, variant_no, i, sum(e[i]) AS t FROM mix JOIN vec USING (vec_id), range(1, 65) r(i) GROUP BY ALL) GROUP BY ALL),
 asked AS (SELECT query_id, variant_no, list_transform(s, lambda x: x / (sqrt(list_sum(list_transform(s, lambda y: y * y))) + 1e-12)) AS q FROM added)"""
-)
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: {a}[i] * {b}[i]))"
 
 
@@ -77,14 +71,14 @@ def _words_sql(text: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({text}), '\\s+'), lambda x: x <> '')"
 
 
-_TEXT_SQL = f"asked_text AS (SELECT item_id AS query_id, array_to_string({_words_sql('text')}, ' ') AS query FROM benchmark)"
+_TEXT_SQL = f"asked_text AS (SELECT item_id AS query_id, array_to_string({_words_sql('text')}, ' ') AS query, text AS question FROM benchmark)"
 _BM25_SQL = f"""
 words AS (SELECT doc_id, unnest({_words_sql('text')}) AS term FROM documents),
 lens AS (SELECT doc_id, len({_words_sql('text')}) AS dl FROM documents),
-corpus AS (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl FROM lens),
-postings AS (SELECT term, doc_id, count(*) AS tf FROM words GROUP BY ALL),
-raw AS (SELECT term, count(*) AS df, ln((SELECT n FROM corpus) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS w FROM postings GROUP BY term),
-terms AS (SELECT term, CAST(df AS BIGINT) AS df, CASE WHEN w < 0 THEN 0.25::DOUBLE * (SELECT sum(w) / count(*) FROM raw) ELSE w END AS idf FROM raw)"""
+corpus AS MATERIALIZED (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl FROM lens),
+postings AS MATERIALIZED (SELECT term, doc_id, count(*) AS tf FROM words GROUP BY ALL),
+raw AS MATERIALIZED (SELECT term, count(*) AS df, ln((SELECT n FROM corpus) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS w FROM postings GROUP BY term),
+terms AS (SELECT term, CAST(df AS BIGINT) AS df, CASE WHEN w < 0 THEN 0.25::DOUBLE * m ELSE w END AS idf FROM raw, (SELECT sum(w) / count(*) AS m FROM raw))"""
 _HITS_SQL = """
 tokens AS (SELECT query_id, unnest(string_split(query, ' ')) AS term FROM asked_text),
 scored AS (SELECT t.query_id, p.doc_id, sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (SELECT avgdl FROM corpus)))) AS score
@@ -103,10 +97,9 @@ def q01_dense_topk(spark, sf):
     """One query: the best ids first, then their texts' rows."""
     vectors = _read(spark, sf, "embeddings")
     ids = _read(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "source")
-    asked = _mixed(vectors).where("query_id = 0 and variant_no = 0")
+    asked = _mixed(spark, sf).where("query_id = 0 and variant_no = 0")
     paired = vectors.join(ids.select("vec_id"), "vec_id", "left_semi")
-    scored = retrieval.dense_scores(paired, asked, "vec_id").orderBy(F.desc(F.round("score", 9)), "vec_id").limit(7)
-    return scored.join(ids, "vec_id").select(F.col("vec_id").alias("chunk_id"), "source", _r("score").alias("score"))
+    return retrieval.dense_search(paired, asked, 7, "vec_id").join(ids, "vec_id").select(F.col("vec_id").alias("chunk_id"), "source", _r("score").alias("score"))
 
 
 @_query(f"""WITH vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
@@ -128,7 +121,7 @@ best AS (SELECT query_id, vec_id, max(s) AS s FROM cut GROUP BY ALL)
 SELECT query_id, vec_id, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS INTEGER) AS rank FROM best""")
 def q03_multi_variant_max(spark, sf):
     vectors = _read(spark, sf, "embeddings")
-    return retrieval.dense_search(vectors, _mixed(vectors), 20, "vec_id").select("query_id", "vec_id", _r("score").alias("score"), "rank")
+    return retrieval.dense_search(vectors, _mixed(spark, sf), 20, "vec_id").select("query_id", "vec_id", _r("score").alias("score"), "rank")
 
 
 @_query("""WITH vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -177,7 +170,7 @@ def q08_fixed_chunks(spark, sf):
 @_query(f"WITH {_FIXED_SQL} SELECT source, count(DISTINCT doc_id) AS n_docs, count(*) AS n_chunks, CAST(sum(length(c)) AS BIGINT) AS n_chars, CAST(max(total) AS INTEGER) AS most FROM chunks GROUP BY source")
 def q09_chunk_totals(spark, sf):
     docs = _read(spark, sf, "documents")
-    rows = chunking.fixed_chunks(docs).join(docs.select("doc_id", "source"), "doc_id")
+    rows = chunking.fixed_chunks(docs, keep=["source"])
     per_doc = rows.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c"), F.max("total_chunks").alias("m"))
     return per_doc.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_chunks"), F.sum("c").alias("n_chars"), F.max("m").alias("most"))
 
@@ -287,30 +280,21 @@ def q17_bm25_minmax(spark, sf):
     return hits.select("query_id", F.col("id").alias("doc_id"), _r("normalized").alias("normalized"))
 
 
-#: Questions beside the mixed vectors: words of the first document of each mix.
-_ASKED_IDS = {0: 0, 1: 3, 2: 6}
-
-
 def _hybrid(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fused hits, queries, documents with vectors."""
-    vectors = _read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id"), "embedding")
-    docs = _read(spark, sf, "documents").join(vectors.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    who = F.create_map(*[F.lit(x) for d, q in ((d, q) for q, d in _ASKED_IDS.items()) for x in (d, q)])
-    words = F.slice(tx.tokens(F.col("text")), 1, 5)
-    asked = docs.where(F.col("doc_id").isin(list(_ASKED_IDS.values()))).select(who[F.col("doc_id").cast("int")].cast("long").alias("query_id"), F.array_join(words, " ").alias("query"))
-    dense = retrieval.dense_search(vectors.join(docs.select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi"), _mixed(vectors), 20)
-    keyword = bm25_search(build_bm25(docs), asked, 20)
-    return retrieval.hybrid(dense, keyword, asked, 0.7), asked, docs
+    """Fused hits, queries, documents. Every benchmark item asks, with its whole text and its mixed vectors; keywords are
+    sought in all documents, vectors among those that belong to one."""
+    vectors, docs = _read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), _read(spark, sf, "documents")
+    asked = _text_queries(spark, sf)
+    dense = retrieval.dense_search(vectors.join(docs.select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi"), _mixed(spark, sf), 20)
+    return retrieval.hybrid(dense, bm25_search(build_bm25(docs), asked, 20), asked, 0.7), asked, docs
 
 
 _ALPHA = """CASE WHEN {n} = 0 THEN greatest(0, least(1, {b})) WHEN {n} <= 3 THEN greatest(0.1::DOUBLE, least(1, {b} - 0.25::DOUBLE)) WHEN {n} >= 12 THEN greatest(0, least(1, {b} + 0.15::DOUBLE))
 ELSE greatest(0.1::DOUBLE, least(1, {b} - 0.25::DOUBLE)) + (greatest(0, least(1, {b} + 0.15::DOUBLE)) - greatest(0.1::DOUBLE, least(1, {b} - 0.25::DOUBLE))) * (({n} - 3) / 9.0::DOUBLE) END"""
 _HYBRID_SQL = (
-    f"{_MIX_SQL}, paired AS (SELECT d.* FROM documents d WHERE d.doc_id IN (SELECT vec_id FROM embeddings)), "
-    f"asked_text AS (SELECT CAST(CASE doc_id {' '.join(f'WHEN {d} THEN {q}' for q, d in _ASKED_IDS.items())} END AS BIGINT) AS query_id, array_to_string(list_slice({_words_sql('text')}, 1, 5), ' ') AS query "
-    f"FROM paired WHERE doc_id IN {tuple(_ASKED_IDS.values())}), {_BM25_SQL.replace('FROM documents', 'FROM paired')}, {_HITS_SQL}, {_NORM_SQL}"
+    f"{_MIX_SQL}, {_TEXT_SQL}, {_BM25_SQL}, {_HITS_SQL}, {_NORM_SQL}"
     + f""",
-vs AS (SELECT query_id, variant_no, vec_id, {_DOT.format(a='v.e', b='a.q')} AS s FROM vec v, asked a WHERE v.vec_id IN (SELECT doc_id FROM paired)),
+vs AS (SELECT query_id, variant_no, vec_id, {_DOT.format(a='v.e', b='a.q')} AS s FROM vec v, asked a WHERE v.vec_id IN (SELECT doc_id FROM documents)),
 cut AS (SELECT * FROM vs QUALIFY row_number() OVER (PARTITION BY query_id, variant_no ORDER BY round(s, 9) DESC, vec_id) <= 20),
 dense AS (SELECT query_id, vec_id AS chunk_id, max(s) AS d FROM cut GROUP BY ALL),
 alphas AS (SELECT query_id, query, {_ALPHA.format(n="len(string_split(query, ' '))", b='0.7::DOUBLE')} AS alpha FROM asked_text),
@@ -343,7 +327,7 @@ def q20_expansion_parse(spark, sf):
 
 
 _RERANK_SQL = f"""reranked AS (SELECT r.query_id, r.chunk_id, p.text, p.source, len(list_intersect(list_distinct(string_split(query, ' ')), list_distinct({_words_sql('p.text')}))) / CAST(len(list_distinct(string_split(query, ' '))) AS DOUBLE) AS s,
-  r.rank AS old FROM ranked r JOIN alphas USING (query_id) JOIN paired p ON p.doc_id = r.chunk_id),
+  r.rank AS old FROM ranked r JOIN alphas USING (query_id) JOIN documents p ON p.doc_id = r.chunk_id),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, old, chunk_id) AS rank FROM reranked QUALIFY rank <= 7)"""
 
 
@@ -384,8 +368,8 @@ def _prompt_sql() -> str:
     ]
     text = "\n\n".join(parts)
     out = "'" + text + "'"
-    for name in ("legend", "context", "query"):
-        out = out.replace(f"@{name}@", f"' || {name} || '")
+    for name, column in (("legend", "legend"), ("context", "context"), ("query", "question")):
+        out = out.replace(f"@{name}@", f"' || {column} || '")
     return out
 
 
@@ -412,8 +396,7 @@ def q25_growth_rule(spark, sf):
     batches = _read(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("added"))
     before = Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
     rows = batches.withColumn("present", F.coalesce(F.sum("added").over(before), F.lit(0).cast("long")))
-    assert needs_retraining(True, 10, 3) and not needs_retraining(True, 10, 2)
-    return rows.select("label", "present", "added", ((F.col("present") > 0) & (F.col("added") / F.greatest("present", F.lit(1)) > 0.2)).alias("retrain"))
+    return rows.select("label", "present", "added", ((F.col("present") > 0) & (F.col("added") / F.greatest("present", F.lit(1)) > GROWTH)).alias("retrain"))
 
 
 @_query()
@@ -421,7 +404,18 @@ def q26_ivf_search(spark, sf):
     """The best 20 per variant from 13 of 16 lists: the vectors have no clusters, so fewer lists lose neighbours."""
     vectors = _read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id"), "embedding")
     index = VectorIndex.build(vectors, "ivf", nlist=16)
-    return index.search(_mixed(vectors), 20, nprobe=13).select("query_id", "rank", "chunk_id", _r("score").alias("score"))
+    return index.search(_mixed(spark, sf), 20, nprobe=13).select("query_id", "rank", "chunk_id", _r("score").alias("score"))
+
+
+@_query(f"""WITH {_MIX_SQL},
+scored AS (SELECT query_id, variant_no, vec_id, {_DOT.format(a='v.e', b='a.q')} AS s FROM vec v, asked a),
+cut AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, variant_no ORDER BY round(s, 9) DESC, vec_id) <= 20),
+best AS (SELECT query_id, vec_id, max(s) AS s FROM cut GROUP BY ALL)
+SELECT query_id, vec_id AS chunk_id, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS INTEGER) AS rank FROM best""")
+def q26b_ivf_all_lists(spark, sf):
+    """With all lists probed the index finds what a flat scan finds."""
+    vectors = _read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return VectorIndex.build(vectors, "ivf", nlist=16).search(_mixed(spark, sf), 20, nprobe=16).select("query_id", "rank", "chunk_id", _r("score").alias("score"))
 
 
 @_query("""WITH n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS p, count(*) OVER () AS n FROM embeddings),
@@ -455,7 +449,10 @@ def q29_stream_ingest(spark, sf):
 
     from ..streaming.ingest import ingest_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenseek-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="lumenseek-stream-")
     at, source = f"{base}/stream-{uuid.uuid4().hex}", _read(spark, sf, "documents")
     path = f"{sf}/documents.parquet"
     folder, glob = (sf, "documents.parquet") if not _is_folder(spark, path) else (path, None)
@@ -505,15 +502,22 @@ def q31_html_text(spark, sf):
 @_query(f"WITH {_FIXED_SQL} SELECT source, count(*) FILTER (i >= 0 AND total >= 1) AS valid, count(*) FILTER (length(c) < 1600) AS short FROM chunks GROUP BY source")
 def q32_valid_chunks(spark, sf):
     docs = _read(spark, sf, "documents")
-    rows = store.valid_chunks(chunking.fixed_chunks(docs)).join(docs.select("doc_id", "source"), "doc_id")
+    rows = store.valid_chunks(chunking.fixed_chunks(docs, keep=["source"]))
     return rows.groupBy("source").agg(F.count("*").alias("valid"), F.count_if(F.length("text") < 1600).alias("short"))
 
 
-@_query()
+@_query(f"""WITH w AS (SELECT doc_id, md5(unnest({_words_sql('text')})) AS h FROM documents),
+c AS (SELECT doc_id, CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % 256 AS cell, sum(CASE WHEN substr(h, 9, 1) >= '8' THEN 1 ELSE -1 END) AS v FROM w GROUP BY ALL),
+every AS (SELECT doc_id, cell, coalesce(v, 0) AS v FROM (SELECT doc_id, cell FROM documents, range(0, 256) r(cell)) LEFT JOIN c USING (doc_id, cell)),
+tops AS (SELECT doc_id, cell AS top_cell FROM every QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY v DESC, cell) = 1)
+SELECT doc_id, 256 AS dim, CASE WHEN bool_or(v <> 0) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm, CAST(count(*) FILTER (v <> 0) AS INTEGER) AS n_cells, any_value(top_cell) AS top_cell
+FROM every JOIN tops USING (doc_id) GROUP BY doc_id""")
 def q33_embed_documents(spark, sf):
-    """Vectors of all documents by the offline embedder: their norms."""
+    """Vectors of all documents by the offline embedder: norm, cells in use, and the cell with the largest value."""
     rows = embed(_read(spark, sf, "documents").select("doc_id", "text"), "text", HashingEmbedder())
-    return rows.select("doc_id", F.size("embedding").alias("dim"), _r(scores.l2_norm(F.col("embedding")), 4).alias("norm"))
+    top = F.array_position("embedding", F.array_max("embedding")) - 1
+    used = F.size(F.filter("embedding", lambda x: x != 0))
+    return rows.select("doc_id", F.size("embedding").alias("dim"), _r(scores.l2_norm(F.col("embedding")), 4).alias("norm"), used.alias("n_cells"), top.alias("top_cell"))
 
 
 @_query(f"""WITH {_TEXT_SQL}, {_BM25_SQL}, tokens AS (SELECT query_id, unnest(string_split(query, ' ')) AS term FROM asked_text)
