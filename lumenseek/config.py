@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tomllib
+import warnings
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
@@ -16,6 +17,7 @@ class Settings:
     """Ingestion and retrieval settings. Names in a file are these in upper or lower case; tables of the file
     are flattened, later ones win."""
 
+    # Names and defaults of the settings.
     embed_model: str = "hashing"
     batch_size: int = 16
     batch_size_retry_divisor: int = 4
@@ -70,6 +72,8 @@ def load_settings(path: str | Path, sample: str | Path | None = None) -> Setting
     if not path.exists() and sample and Path(sample).exists():
         shutil.copyfile(sample, path)
     if not path.exists():
+        if sample:
+            warnings.warn(f"neither {path} nor {sample} exists; defaults hold", stacklevel=2)
         return Settings()
     flat: dict = {}
     for key, value in tomllib.loads(path.read_text(encoding="utf-8")).items():
@@ -82,7 +86,11 @@ def load_settings(path: str | Path, sample: str | Path | None = None) -> Setting
     return Settings(**given, extra=extra)
 
 
+#: Suffixes of model files. Fixed values.
+MODEL_SUFFIXES = (".bin", ".pt", ".onnx", ".gguf", ".json")
+
+
 def looks_like_path(value: str) -> bool:
     """Whether a model's name is a local path."""
     drive = len(value) > 2 and value[0].isalpha() and value[1] == ":" and value[2] in "\\/"
-    return drive or "\\" in value or value.startswith(("/", "~", "./", "../")) or Path(value).suffix.lower() in {".bin", ".pt", ".onnx", ".gguf", ".json"}
+    return drive or "\\" in value or value.startswith(("/", "~", "./", "../")) or Path(value).suffix.lower() in MODEL_SUFFIXES

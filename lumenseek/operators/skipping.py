@@ -15,7 +15,7 @@ SUPPORTED = (".pdf", ".html", ".htm", ".png", ".jpg", ".jpeg", ".tif", ".tiff",
 
 def skip_reason(
     name: Column, ext: Column, size: Column, seen: Column, skip_names: Iterable[str] = (), allowed: Iterable[str] | None = None,
-    max_mb: float = 200.0, pages: Column | None = None, max_pages: int = 200, has_form: Column | None = None, skip_forms: bool = True, openable: Column | None = None,
+    max_mb: float = 200.0, pages: Column | None = None, max_pages: int = 200, has_form: Column | None = None, skip_forms: bool = True, openable: Column | None = None, why: Column | None = None,
 ) -> Column:
     """The first reason that holds, or null: name on the skip list, extension, already processed, unknown size,
     too large, then what only PDFs have. Cheap tests come first; ``seen`` is a boolean from the ledger."""
@@ -32,7 +32,7 @@ def skip_reason(
     )
     pdf = ext == ".pdf"
     if openable is not None:
-        reason = reason.when(pdf & ~openable, "cannot open PDF")
+        reason = reason.when(pdf & ~openable, "cannot open PDF" if why is None else F.concat(F.lit("cannot open PDF: "), F.coalesce(why, F.lit(""))))
     if pages is not None:
         reason = reason.when(pdf & (pages > max_pages), F.format_string("PDF with %d pages", pages))
     if has_form is not None and skip_forms:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.scores import dot
 from .retrieval import dense_search
 
-#: Share of new vectors above which centroids are fitted anew.
-GROWTH = 0.2
+#: Share of new vectors above which centroids are fitted anew, and rows of a list that one task writes.
+GROWTH, LIST_ROWS = 0.2, 200_000
 
 
 def index_kind(name: str) -> str:
@@ -67,15 +69,20 @@ class VectorIndex:
         centroids = spark.createDataFrame(centers, "cluster_id int, centroid array<double>")
         return cls(_assign(rows, centroids, id_col), centroids, nlist, id_col)
 
+    def assign(self, vectors: DataFrame) -> DataFrame:
+        """New vectors with the list that each belongs to (0 in a flat index)."""
+        new = vectors.select(self.id_col, "embedding")
+        return new.withColumn("cluster_id", F.lit(0)) if self.centroids is None else _assign(new, self.centroids, self.id_col)
+
     def add(self, vectors: DataFrame) -> VectorIndex:
-        """The index with more vectors, trained anew if they are many."""
+        """The index with more vectors, trained anew if they are many; if that fails, the old centroids serve on."""
         new = vectors.select(self.id_col, "embedding")
-        if self.centroids is None:
-            return VectorIndex(self.vectors.unionByName(new.withColumn("cluster_id", F.lit(0))), None, self.nlist, self.id_col)
-        present = self.vectors.count()
-        if needs_retraining(True, present, new.count()):
-            return self._trained(self.vectors.select(self.id_col, "embedding").unionByName(new), self.nlist, self.id_col, 0)
-        return VectorIndex(self.vectors.unionByName(_assign(new, self.centroids, self.id_col)), self.centroids, self.nlist, self.id_col)
+        if self.centroids is not None and needs_retraining(True, self.vectors.count(), new.count()):
+            try:
+                return self._trained(self.vectors.select(self.id_col, "embedding").unionByName(new), self.nlist, self.id_col, 0)
+            except (PySparkException, Py4JJavaError) as e:
+                warnings.warn(f"training failed, the old centroids serve on: {str(e)[:200]}", stacklevel=2)
+        return VectorIndex(self.vectors.unionByName(self.assign(new)), self.centroids, self.nlist, self.id_col)
 
     def search(self, queries: DataFrame, k: int, nprobe: int = 16) -> DataFrame:
         """The k best per variant, merged per query; ``queries``: query_id, variant_no, embedding. A trained
@@ -92,7 +99,7 @@ class VectorIndex:
         return merged.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best)))
 
     def save(self, path: str) -> None:
-        self.vectors.repartition("cluster_id").write.mode("overwrite").partitionBy("cluster_id").parquet(f"{path}/vectors")
+        write_vectors(self.vectors, self.trained, f"{path}/vectors", self.id_col)
         empty = self.vectors.sparkSession.createDataFrame([], "cluster_id int, centroid array<double>")
         (empty if self.centroids is None else self.centroids).write.mode("overwrite").parquet(f"{path}/centroids")
 
@@ -103,6 +110,16 @@ class VectorIndex:
         return cls(spark.read.parquet(f"{path}/vectors"), centroids if trained else None, nlist, id_col)
 
 
+def write_vectors(vectors: DataFrame, trained: bool, path: str, id_col: str = "chunk_id") -> None:
+    """Flat vectors as they are dealt; those of lists as one partition a list, which several tasks share if it is
+    large."""
+    if not trained:
+        return vectors.write.mode("overwrite").parquet(path)
+    counts = vectors.groupBy("cluster_id").agg(F.count("*").alias("_n")).select("cluster_id", F.ceil(F.col("_n") / LIST_ROWS).cast("int").alias("_s"))
+    salted = vectors.join(counts, "cluster_id").withColumn("_s", F.pmod(F.xxhash64(id_col), F.col("_s")))
+    return salted.repartition("cluster_id", "_s").drop("_s").write.mode("overwrite").partitionBy("cluster_id").parquet(path)
+
+
 def _assign(rows: DataFrame, centroids: DataFrame, id_col: str) -> DataFrame:
     """Each vector with the centroid of largest inner product; the centroids are one small array."""
     every = centroids.agg(F.array_sort(F.collect_list(F.struct("cluster_id", "centroid"))).alias("_c"))

@@ -2,33 +2,42 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import preview
 
-#: Points that one plot may hold. A plot is a report of bounded size.
-MAX_POINTS = 5000
+#: Rows in a range in which positions are counted, ranges at most, and sampled ids for each: a bounded sort on the driver.
+RANGE_ROWS, MOST_RANGES, SAMPLES = 8192, 4096, 32
 
 
 def even_sample(rows: DataFrame, m: int, id_col: str = "chunk_id") -> DataFrame:
-    """At most m rows, evenly spread over the order of ids, with their position (0-based). Positions come from
-    counts of id ranges, so that no task sorts the table."""
+    """At most m rows, evenly spread over the order of ids, with their position (0-based). Ids are of any type that has
+    an order, and need not be dense. Positions come from counts of id ranges, so that no task sorts the table."""
     n = rows.count()
     if n <= m:
-        return rows.withColumn("position", F.row_number().over(Window.orderBy(id_col)) - 1)
-    numbered = _positions(rows, id_col)
+        return rows.withColumn("position", (F.row_number().over(Window.orderBy(id_col)) - 1).cast("long"))
+    numbered = _positions(rows, n, id_col)
     step = float(n - 1) / float(max(1, m - 1))
     i = F.floor(F.col("position") / step)
     at = lambda j: F.when(j >= m - 1, F.lit(n - 1).cast("long")).otherwise(F.floor(j * F.lit(step)).cast("long"))
     return numbered.where((F.col("position") == at(i)) | (F.col("position") == at(i + 1)))
 
 
-def _positions(rows: DataFrame, id_col: str, per_range: int = 8192) -> DataFrame:
-    low, high, n = rows.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
-    width = max(1, -(-(high - low + 1) // max(1, -(-n // per_range))))
-    ranged = rows.withColumn("_range", F.floor((F.col(id_col) - low) / width))
+def _positions(rows: DataFrame, n: int, id_col: str) -> DataFrame:
+    ranges = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
+    drawn = rows.select(F.col(id_col).alias("i")).where(F.col("i").isNotNull() & (F.rand(31) < min(1.0, SAMPLES * ranges / n)))
+    ids = sorted(r.i for r in drawn.collect()) if ranges > 1 else []
+    cuts = sorted({ids[len(ids) * j // ranges] for j in range(1, ranges)}) if ids else []
+    place = F.lit(0)
+    if cuts:  # how many cuts are not above the id, by binary search
+        table = F.from_json(F.lit(json.dumps(cuts)), f"array<{rows.schema[id_col].dataType.simpleString()}>")
+        steps = F.array(*[F.lit(1 << s) for s in range(len(cuts).bit_length() - 1, -1, -1)])
+        place = F.aggregate(steps, F.lit(0), lambda at, w: F.when(F.get(table, at + w - 1) <= F.col(id_col), at + w).otherwise(at))
+    ranged = rows.withColumn("_range", place)
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(id_col)) - 1
@@ -36,11 +45,13 @@ def _positions(rows: DataFrame, id_col: str, per_range: int = 8192) -> DataFrame
 
 
 def plot_points(vectors: DataFrame, chunks: DataFrame, hits: DataFrame, max_points: int, id_col: str = "chunk_id") -> DataFrame:
-    """id, source, text (a preview), score (0..1; 0 for what was not retrieved) of the sampled vectors."""
-    sample = even_sample(vectors.select(id_col), max(1, min(max_points, MAX_POINTS) - 1), id_col)
+    """id, source, chunk_idx, text (a preview), score (0..1; 0 for what was not retrieved) and position of the sampled
+    vectors. ``chunks`` without chunk_index: 0."""
+    sample = even_sample(vectors.select(id_col), max(1, max_points - 1), id_col)
     scored = sample.join(hits.select(id_col, F.col("score").alias("_s")), id_col, "left")
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("_s", F.lit(0.0))))
-    return scored.join(chunks, id_col).select(F.col(id_col).alias("id"), "source", preview(F.col("text")).alias("text"), score.alias("score"), "position")
+    index = F.col("chunk_index") if "chunk_index" in chunks.columns else F.lit(0)
+    return scored.join(chunks, id_col).select(F.col(id_col).alias("id"), "source", index.alias("chunk_idx"), preview(F.col("text")).alias("text"), score.alias("score"), "position")
 
 
 def pca(x: np.ndarray, dims: int) -> np.ndarray:
@@ -128,13 +139,16 @@ def reduce_points(x: np.ndarray, method: str = "umap", dims: int = 2) -> np.ndar
 
 
 def visualize(vectors: DataFrame, chunks: DataFrame, hits: DataFrame, query_vector: list[float], method: str = "umap", dims: int = 2, max_points: int = 1000, id_col: str = "chunk_id") -> DataFrame:
-    """Plot table: id, x, y, z (null in two dimensions), source, text, score, is_query. The query is point -1
-    and counts towards ``max_points``; the bounded sample is laid out on the driver."""
+    """Plot table: id, x, y, z (null in two dimensions), source, chunk_idx, text, score, is_query and the row's key.
+    ``id`` is a point's place among all vectors; the query is point -1 and counts towards ``max_points``. The sample, of
+    the size asked for, is laid out on the driver."""
+    if max_points < 1:
+        raise ValueError("max_points must be positive")
     points = plot_points(vectors, chunks, hits, max_points, id_col)
     rows = points.join(vectors.select(F.col(id_col).alias("id"), "embedding"), "id").orderBy("position").collect()
     x = np.array([query_vector, *(r.embedding for r in rows)], dtype=np.float64)
     at = reduce_points(x, method, dims)
     place = lambda i: [float(v) for v in at[i]] + [None] * (3 - dims)
-    table = [(-1, *place(0), None, "QUERY", 1.0, True)]
-    table += [(r.id, *place(i + 1), r.source, r.text, r.score, False) for i, r in enumerate(rows)]
-    return vectors.sparkSession.createDataFrame(table, "id long, x double, y double, z double, source string, text string, score double, is_query boolean")
+    table = [(-1, *place(0), None, -1, "QUERY", 1.0, True, None)]
+    table += [(r.position, *place(i + 1), r.source, r.chunk_idx, r.text, r.score, False, str(r.id)) for i, r in enumerate(rows)]
+    return vectors.sparkSession.createDataFrame(table, "id long, x double, y double, z double, source string, chunk_idx int, text string, score double, is_query boolean, key string")

@@ -1,26 +1,33 @@
 """The engine: ingest a folder or a table, then search, answer and plot over what is stored.
 
 A search is one plan for any number of queries: variants, dense scores, keyword scores, fusion, reranking;
-texts join last, for the hits alone.
+texts join last, for the hits alone. Ingestion adds to what is stored: rules that need names alone come before
+any byte is read, bytes are hashed where they are read and never move, and only new texts are chunked,
+embedded and counted.
 """
 
 from __future__ import annotations
 
+import os
+import warnings
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings, looks_like_path
+from ..functions.text import basename, parse_expansions, parse_extensions
 from ..operators import chunking, context, ledger, retrieval, skipping
 from ..operators.bm25 import Bm25Index, bm25_search, build_bm25
-from ..operators.vector_index import VectorIndex
+from ..operators.vector_index import VectorIndex, needs_retraining, trainable, write_vectors
 from ..operators.visualize import visualize
-from ..providers import Embedder, ExtractiveModel, HashingEmbedder, LanguageModel, TextExtractor, embed
+from ..providers import Embedder, ExtractiveModel, HashingEmbedder, LanguageModel, Reranker, TextExtractor, embed, generate_column, rerank_column
 from ..sources import files, store
 
 NEEDED = "query_id long, query string"
+#: Rows of new files up to which they are broadcast to the listing that reads their bytes.
+BROADCAST_FILES = 500_000
 
 
 class NothingIngested(RuntimeError):
@@ -49,22 +56,34 @@ class Engine:
     embedder: Embedder = field(default_factory=HashingEmbedder)
     extractor: TextExtractor | None = None
     model: LanguageModel = field(default_factory=ExtractiveModel)
+    reranker: Reranker | None = None
 
     def __post_init__(self):
         self.store = store.Store(self.spark, self.root)
+        self._checked = 0
+        for provider in (self.model, self.extractor):
+            if hasattr(provider, "configure"):  # limits and options from the settings
+                provider.configure(self.settings)
 
     # Ingestion
 
     def ingest(self, folder: str, recurse: bool = True, filetypes: str | None = None, fresh: bool = False, on_stale: str = "append") -> IngestReport:
         """Reads new files of a folder. ``on_stale`` (fail, fresh, clean, append): what to do about ledger rows
-        whose files are gone."""
-        files.check_root(folder)
-        if fresh:
+        whose files are gone. A state whose ledger is missing is discarded."""
+        files.check_root(folder, self.spark)
+        before = self.store.manifest()
+        if fresh or (before and not all(self.store.exists(p) for p in before.ledger)):
             self.store.reset()
-        from ..functions.text import parse_extensions
-
-        wanted = parse_extensions(filetypes, set(self.settings.extensions))
-        listed = files.with_file_columns(files.list_files(self.spark, folder, recurse=recurse))
+        self.store.delete("errors")
+        s, wanted = self.settings, parse_extensions(filetypes, set(self.settings.extensions))
+        allowed = sorted(wanted) if wanted else None
+        # Rules by name and extension come first: what they refuse is never opened.
+        listing = files.list_files(self.spark, folder, recurse=recurse)
+        early = skipping.skip_reason(F.col("name"), F.col("ext"), F.col("size"), F.lit(False), s.skip_files, allowed, float("inf"))
+        work = self.store.new_part("work")
+        looked = files.with_file_columns(listing.where(early.isNull()), self.extractor)
+        looked.write.parquet(f"{self.root}/{work}/hashed")
+        listed = self.spark.read.parquet(f"{self.root}/{work}/hashed")
         known = self.store.ledger()
         stale = ledger.stale_entries(known, listed)
         drop = None
@@ -76,100 +95,184 @@ class Engine:
                 known = self.store.ledger()
             else:
                 drop = stale
-        s = self.settings
-        judged = ledger.mark_seen(listed, known).withColumn("reason", skipping.skip_reason(F.col("name"), F.col("ext"), F.col("size"), F.col("seen"), s.skip_files, sorted(wanted) if wanted else None, s.max_file_mb))
-        taken = files.extract_text(judged.where("reason is null"), self.extractor).dropDuplicates(["file_hash"]).cache()
+        seen = {c: F.col(c) for c in ("openable", "pages", "has_form", "why") if c in listed.columns}
+        reason = skipping.skip_reason(
+            F.col("name"), F.col("ext"), F.col("size"), F.col("seen"), s.skip_files, allowed, s.max_file_mb, max_pages=s.max_pdf_pages, skip_forms=s.skip_form_pdfs, **seen)
+        judged = ledger.mark_seen(listed, known).withColumn("reason", reason).select("path", "file_hash", "file_type", "reason")
+        judged.write.parquet(f"{self.root}/{work}/judged")
+        judged = self.spark.read.parquet(f"{self.root}/{work}/judged")
+        new = judged.where("reason is null").groupBy("file_hash").agg(F.min("path").alias("path"), F.first("file_type").alias("file_type"))
+        content = listing.where(early.isNull()).select("path", "ext", "content")
+        if new.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:  # bytes of other files are not read into texts
+            taken = files.extract_text(content.join(F.broadcast(new), "path"), self.extractor)
+        else:  # most of the files: texts move, bytes don't
+            taken = files.extract_text(content, self.extractor).join(new, "path")
+        taken.select("path", "file_hash", "file_type", "text", "error", "message", "traceback").write.parquet(f"{self.root}/{work}/taken")
+        taken = self.spark.read.parquet(f"{self.root}/{work}/taken")
         texts = taken.where("error is null").select(F.col("path").alias("source"), "file_hash", "file_type", "text")
         n = self._write(texts, drop)
-        failed = taken.where("error is not null").select("path", "error")
-        if not failed.isEmpty():  # dead letters, beside the versions
-            failed.withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{self.root}/errors")
-        outcome = judged.select("path", "reason").join(failed.withColumnRenamed("error", "failure"), "path", "left")
+        failed = taken.where("error is not null").select("path", "error", "message", "traceback")
+        failed.withColumn("at", F.current_timestamp()).write.mode("overwrite").parquet(f"{self.root}/errors")
+        # All copies of a failed file count as failed.
+        hashes = taken.where("error is not null").select("file_hash", F.col("error").alias("failure"))
+        outcome = judged.join(hashes, "file_hash", "left").select("path", "reason", "failure").unionByName(
+            listing.where(early.isNotNull()).select("path", early.alias("reason"), F.lit(None).cast("string").alias("failure")))
+        # Reports are a row, and a row for each kind of reason: they outlive the tables that they count.
+        kept = lambda frame: self.spark.createDataFrame(frame.toArrow())
         report = IngestReport(
-            skipping.run_counters(outcome, failed=F.col("failure").isNotNull()),
-            skipping.skip_breakdown(outcome.select(F.coalesce("reason", "failure").alias("reason"))), failed, n,
+            kept(skipping.run_counters(outcome, failed=F.col("failure").isNotNull())),
+            kept(skipping.skip_breakdown(outcome.select(F.coalesce("reason", "failure").alias("reason")))), self.spark.read.parquet(f"{self.root}/errors"), n,
         )
-        if not n and self.store.version() is None:
+        self.store.delete(work)
+        if not n and self.store.manifest() is None:
             raise NothingIngested(folder)
         return report
 
     def ingest_table(self, docs: DataFrame, source: Column, text: Column) -> int:
         """Chunks of a table's new texts; returns how many."""
         rows = docs.select(source.cast("string").alias("source"), F.sha2(F.encode(text, "UTF-8"), 256).alias("file_hash"), F.lit("unknown").alias("file_type"), text.alias("text"))
-        new = ledger.new_files(rows.where("text is not null"), self.store.ledger()).dropDuplicates(["file_hash"])
+        new = ledger.new_files(rows.where("text is not null"), self.store.ledger()).groupBy("file_hash").agg(F.min("source").alias("source"), F.first("file_type").alias("file_type"), F.first("text").alias("text"))
         return self._write(new, None)
 
     def _write(self, texts: DataFrame, drop: DataFrame | None) -> int:
-        """Adds texts (source, file_hash, file_type, text) to the state, as a new version."""
-        s, before, version = self.settings, self.store.version(), self.store.begin()
+        """Adds texts (source, file_hash, file_type, text) to the state; returns how many chunks they have."""
+        s, st, old = self.settings, self.store, self.store.manifest() or store.Manifest()
         cut = chunking.recursive_chunks if s.enable_semantic_chunking else chunking.fixed_chunks
-        pieces = cut(texts, s.chunk_size, s.chunk_overlap, "file_hash").join(texts.select("file_hash", "source", "file_type"), "file_hash")
-        new = pieces.select(
-            F.xxhash64("file_hash", "chunk_index").alias("chunk_id"), "source", "chunk_index", "text", "file_hash", F.current_timestamp().alias("created_at"), "file_type", "total_chunks"
-        )
-        old, ledger_rows = self.store.chunks(), self.store.ledger()
-        if drop is not None:
-            old, ledger_rows = ledger.without_stale(old, drop), ledger.without_stale(ledger_rows, drop)
-        old.unionByName(new).write.parquet(f"{version}/chunks")
-        from ..functions.text import basename
-
+        pieces = cut(texts, s.chunk_size, s.chunk_overlap, "file_hash", keep=["source", "file_type"])
+        # 128 bits name a chunk, whatever the size of the corpus.
+        key = F.substring(F.sha2(F.concat_ws(":", "file_hash", "chunk_index"), 256), 1, 32)
+        new = pieces.select(key.alias("chunk_id"), "source", "chunk_index", "text", "file_hash", F.current_timestamp().alias("created_at"), "file_type", "total_chunks")
+        state = old if drop is None else self._without(old, drop)
+        part = st.write(new, "chunks")
+        chunks = store.read_chunks(self.spark, f"{st.root}/{part}")
+        n = chunks.count()
+        if not n and not old.number:
+            return 0  # no manifest: nobody reads it
         added = texts.select("file_hash", basename(F.col("source")).alias("filename"))
-        ledger_rows.unionByName(added).write.parquet(f"{version}/ledger")
-        chunks = store.read_chunks(self.spark, f"{version}/chunks")
-        if before is None and chunks.isEmpty():
-            return 0  # an unnamed version: nobody reads it
-        present = None if before is None else VectorIndex.load(self.spark, f"{before}/index", s.nlist)
-        if present is None:
-            index = VectorIndex.build(embed(chunks.select("chunk_id", "text"), "text", self.embedder, batch=s.batch_size), s.index_type, s.nlist)
+        state = replace(state, ledger=[*state.ledger, st.write(added, "ledger")])
+        if n:
+            state = replace(state, chunks=[*state.chunks, part])
+            vectors = st.write(embed(chunks.select("chunk_id", "text"), "text", self.embedder, batch=s.batch_size, divisor=s.batch_size_retry_divisor).select("chunk_id", "embedding"), "work")
+            state = self._with_vectors(state, self.spark.read.parquet(f"{st.root}/{vectors}"))
+            st.delete(vectors)
+            if s.enable_hybrid_search:
+                state = self._with_words(state, build_bm25(chunks, "chunk_id"))
+        st.commit(self._compacted(state))
+        return n
+
+    def _with_vectors(self, state: store.Manifest, new: DataFrame) -> store.Manifest:
+        """The vector table with more rows: assigned to its lists, or all anew where centroids are fitted."""
+        s, st, present = self.settings, self.store, self._index(state)
+        if present is not None:
+            have, more = present.vectors.count(), new.count()
+            train = needs_retraining(True, have, more) if present.trained else s.index_type == "ivf" and trainable(have + more, s.nlist)
+            if not train:
+                part = st.new_part("vectors")
+                write_vectors(present.assign(new), present.trained, f"{st.root}/{part}")
+                return replace(state, vectors=[*state.vectors, part])
+            index = present.add(new) if present.trained else VectorIndex.build(present.vectors.select("chunk_id", "embedding").unionByName(new), s.index_type, s.nlist)
         else:
-            kept = present.vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-            fresh = chunks.join(present.vectors.select("chunk_id"), "chunk_id", "left_anti")
-            vectors = embed(fresh.select("chunk_id", "text"), "text", self.embedder, batch=s.batch_size)
-            if present.trained or s.index_type != "ivf":
-                index = VectorIndex(kept, present.centroids, s.nlist).add(vectors)
-            else:  # enough vectors may be there by now
-                index = VectorIndex.build(kept.select("chunk_id", "embedding").unionByName(vectors.select("chunk_id", "embedding")), s.index_type, s.nlist)
-        index.save(f"{version}/index")
-        if s.enable_hybrid_search:
-            build_bm25(chunks, "chunk_id").save(f"{version}/bm25")
-        self.store.commit(version)
-        return chunks.count() - (0 if before is None else old.count())
+            index = VectorIndex.build(new, s.index_type, s.nlist)
+        part = st.new_part("vectors")
+        write_vectors(index.vectors, index.trained, f"{st.root}/{part}")
+        return replace(state, vectors=[part], centroids=st.write(index.centroids, "centroids") if index.trained else None)
+
+    def _with_words(self, state: store.Manifest, new: Bm25Index) -> store.Manifest:
+        """Postings of the new chunks beside the old ones; terms and sums of both."""
+        st, part, terms = self.store, self.store.new_part("postings"), self.store.new_part("terms")
+        new.save_postings(f"{st.root}/{part}")
+        old = self._words(state)
+        (new if old is None else old.with_more(new)).save_terms(f"{st.root}/{terms}")
+        return replace(state, postings=[*(state.postings if old else []), part], terms=terms)
+
+    def _without(self, state: store.Manifest, drop: DataFrame) -> store.Manifest:
+        """The state without the rows of stale files: all tables anew."""
+        st = self.store
+        chunks = ledger.without_stale(st.chunks(), drop)
+        out = replace(state, chunks=[st.write(chunks, "chunks")], ledger=[st.write(ledger.without_stale(st.ledger(), drop), "ledger")])
+        index, left = self._index(state), store.read_chunks(self.spark, f"{st.root}/{out.chunks[0]}")
+        if index is not None:
+            part = st.new_part("vectors")
+            write_vectors(index.vectors.join(left.select("chunk_id"), "chunk_id", "left_semi"), index.trained, f"{st.root}/{part}")
+            out = replace(out, vectors=[part])
+        if self._words(state) is not None:
+            out = self._with_words(replace(out, postings=[], terms=None), build_bm25(left, "chunk_id"))
+        return out
+
+    def _compacted(self, state: store.Manifest) -> store.Manifest:
+        """Tables of many parts as one."""
+        st = self.store
+        for table in ("chunks", "ledger", "postings"):
+            if len(parts := getattr(state, table)) > store.PARTS:
+                rows = st.read(parts)
+                rows = rows.repartitionByRange("term").sortWithinPartitions("term") if table == "postings" else rows
+                state = replace(state, **{table: [st.write(rows, table)]})
+        if len(state.vectors) > store.PARTS:
+            index, part = self._index(state), st.new_part("vectors")
+            write_vectors(index.vectors, index.trained, f"{st.root}/{part}")
+            state = replace(state, vectors=[part])
+        return state
+
+    def _index(self, state: store.Manifest) -> VectorIndex | None:
+        if not state.vectors:
+            return None
+        vectors = self.store.read_each(state.vectors)
+        if "cluster_id" not in vectors.columns:
+            vectors = vectors.withColumn("cluster_id", F.lit(0))
+        return VectorIndex(vectors, self.store.read([state.centroids]) if state.centroids else None, self.settings.nlist)
+
+    def _words(self, state: store.Manifest) -> Bm25Index | None:
+        if not state.postings or not state.terms:
+            return None
+        return Bm25Index.of(self.spark, [f"{self.root}/{p}" for p in state.postings], f"{self.root}/{state.terms}")
 
     # Retrieval
 
-    def _state(self) -> tuple[str, DataFrame, VectorIndex]:
-        at = self.store.version()
-        if at is None:
+    def _state(self) -> tuple[store.Manifest, DataFrame, VectorIndex]:
+        """What is stored. A state is checked when it is first used: every chunk has a vector, and the other way round."""
+        at = self.store.manifest()
+        if at is None or not at.chunks:
             raise FileNotFoundError(f"nothing is ingested at {self.root}")
-        return at, self.store.chunks(), VectorIndex.load(self.spark, f"{at}/index", self.settings.nlist)
+        chunks, index = self.store.chunks(), self._index(at)
+        if index is None:
+            raise ValueError(f"no vectors at {self.root}: ingest again")
+        if self._checked != at.number:
+            row = store.consistency(chunks, index.vectors).first()
+            if row.chunks_without_vector or row.vectors_without_chunk:
+                raise ValueError(f"{row.chunks_without_vector} chunks without vector, {row.vectors_without_chunk} vectors without chunk: ingest again")
+            self._checked = at.number
+        return at, chunks, index
 
     def validate(self) -> None:
         """Settings against what is stored: local model paths exist, indexes are there."""
-        import os
-
         if looks_like_path(self.settings.embed_model) and not os.path.exists(os.path.expanduser(self.settings.embed_model)):
             raise FileNotFoundError(self.settings.embed_model)
         at, _, _ = self._state()
-        if self.settings.enable_hybrid_search and Bm25Index.load(self.spark, f"{at}/bm25") is None:
-            raise FileNotFoundError(f"no keyword index at {at}")
+        if self.settings.enable_hybrid_search and self._words(at) is None:
+            raise FileNotFoundError(f"no keyword index at {self.root}")
 
     def queries(self, texts: Iterable[str]) -> DataFrame:
         """query_id, query of the texts that are not blank."""
         return self.spark.createDataFrame([(i, t) for i, t in enumerate(texts) if t.strip()], NEEDED)
 
     def expand(self, queries: DataFrame) -> DataFrame:
-        """query_id, variant_no, variant: what a user asks, and variants of it from the model. An unavailable
-        model, or no usable answer, leaves the query alone."""
-        from ..functions.text import parse_expansions
-
+        """query_id, variant_no, variant: what a user asks, and variants of it from the model, which is asked where the
+        queries are. An unavailable or failing model, or no usable answer, leaves the query alone."""
         s = self.settings
-        if not s.enable_query_expansion or isinstance(self.model, ExtractiveModel) or not self.model.is_available():
+        if not s.enable_query_expansion or isinstance(self.model, ExtractiveModel) or not self._available():
             return retrieval.query_variants(queries.withColumn("variants", F.lit(None).cast("array<string>")), 0)
-        asked = queries.collect()  # what users ask at once
-        answers = [(r.query_id, r.query, self.model.generate(f"Write {s.query_expansion_count} different ways to ask, one a line:\n{r.query}")) for r in asked]
-        rows = self.spark.createDataFrame(answers, NEEDED + ", answer string")
+        prompt = F.concat(F.lit(f"Write {s.query_expansion_count} different ways to ask, one a line:\n"), "query")
+        rows = queries.withColumn("answer", generate_column(self.model, prompt))
         rows = rows.withColumn("variants", F.when(F.col("answer").startswith("Warning:"), F.array().cast("array<string>")).otherwise(parse_expansions(F.col("answer"), s.query_expansion_count)))
-        return retrieval.query_variants(rows, s.query_expansion_count)
+        # Kept, as a model may answer differently when it is asked again.
+        return retrieval.query_variants(rows, s.query_expansion_count).persist()
+
+    def _available(self) -> bool:
+        try:
+            return self.model.is_available()
+        except Exception as e:
+            warnings.warn(f"the language model failed: {e}", stacklevel=2)
+            return False
 
     def dense_search(self, queries: DataFrame, k: int | None = None) -> DataFrame:
         """Dense hits alone: query_id, rank, chunk_id, score and the chunk."""
@@ -185,28 +288,40 @@ class Engine:
         width = s.rerank_top_k if s.enable_reranking else s.top_k(k)
         vectors = embed(self.expand(asked), "variant", self.embedder)
         hits = index.search(vectors, width, s.nprobe).withColumn("faiss_score", F.col("score"))
-        words = Bm25Index.load(self.spark, f"{at}/bm25") if s.enable_hybrid_search else None
+        words = self._words(at) if s.enable_hybrid_search else None
         if words is not None:
             fused = retrieval.hybrid(hits.drop("faiss_score"), bm25_search(words, asked, width), asked, s.hybrid_alpha)
             hits = fused.select("query_id", "chunk_id", F.col("fused_score").alias("score"), F.col("dense_score").alias("faiss_score"), "bm25_score", "fused_score", "rank")
         full = hits.join(chunks, "chunk_id").join(asked.select("query_id", "query"), "query_id")
-        return retrieval.rerank(full, s.top_k(k)) if s.enable_reranking else full
+        if not s.enable_reranking:
+            return full
+        return retrieval.rerank(full, s.top_k(k), None if self.reranker is None else rerank_column(self.reranker))
+
+    def answers(self, queries: DataFrame, k: int | None = None) -> DataFrame:
+        """query_id, query, answer and sources (array of source, chunk_index, total_chunks, score, in rank order) of any
+        number of queries (query_id, query); the model is asked where the prompts are."""
+        hits = self.search(queries, k)
+        prompts = context.build_prompt(context.build_context(hits), queries)
+        source = F.struct("rank", "source", "chunk_index", "total_chunks", "score")
+        named = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(source)).alias("sources"))
+        said = prompts.select("query_id", generate_column(self.model, F.col("prompt")).alias("answer"))
+        out = queries.select("query_id", "query").join(said, "query_id", "left").join(named, "query_id", "left")
+        return out.withColumn("answer", F.coalesce("answer", F.lit(context.NO_ANSWER)))
 
     def answer(self, texts: Iterable[str], k: int | None = None) -> list[dict]:
         """Answer and sources of each question, in order."""
-        asked = self.queries(texts)
-        hits = self.search(asked, k).cache()
-        prompts = context.build_prompt(context.build_context(hits), asked).collect()
-        sources: dict[int, list[str]] = {}
-        for r in hits.orderBy("query_id", "rank").collect():
-            sources.setdefault(r.query_id, []).append(f"{r.source} (chunk {r.chunk_index + 1}/{r.total_chunks}, score {r.score:.3f})")
-        hits.unpersist()
-        said = {r.query_id: self.model.generate(r.prompt) for r in prompts}
-        return [{"query": r.query, "answer": said.get(r.query_id, context.NO_ANSWER), "sources": sources.get(r.query_id, [])} for r in asked.orderBy("query_id").collect()]
+        said = self.answers(self.queries(texts), k).orderBy("query_id").collect()
+        line = lambda r: f"{r.source} (chunk {r.chunk_index + 1}/{r.total_chunks}, score {r.score:.3f})"
+        return [{"query": r.query, "answer": r.answer, "sources": [line(x) for x in r.sources or []]} for r in said]
+
+    def search_json(self, queries: DataFrame, k: int | None = None) -> DataFrame:
+        """query_id, rank, hit: each hit as a JSON object, without what it doesn't have."""
+        hits = self.search(queries, k)
+        return hits.select("query_id", "rank", F.to_json(F.struct(*[c for c in hits.columns if c != "query_id"])).alias("hit"))
 
     def health(self) -> dict:
         """Whether anything is loaded, how much, and by which index."""
-        if self.store.version() is None:
+        if not (at := self.store.manifest()) or not at.chunks:
             return {"loaded": False, "chunks": 0, "sources": 0, "index": None}
         _, chunks, index = self._state()
         n, sources = chunks.agg(F.count("*"), F.countDistinct("source")).first()

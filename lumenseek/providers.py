@@ -6,13 +6,14 @@ rerankers, OCR engines and language models are written against the same protocol
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import time
 import urllib.error
 import urllib.request
-import zlib
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -34,10 +35,11 @@ class Reranker(Protocol):
 
 
 class TextExtractor(Protocol):
-    """PDF and image text. ``pages`` gives, for each page: its text layer, the text of its embedded images, and
-    a function that recognises the rendered page."""
+    """PDF and image text. ``pages`` gives, for each page: its text layer, the text of its embedded images, and the
+    text of the rendered page; the latter two as strings, or as functions, called only for a page whose text
+    layer doesn't serve. An extractor may also have ``inspect(content)``: pages, and whether a PDF has a form."""
 
-    def pages(self, content: bytes) -> list[tuple[str, str, str]]: ...
+    def pages(self, content: bytes) -> Iterable[tuple[str, str | Callable[[], str], str | Callable[[], str]]]: ...
 
     def image(self, content: bytes) -> str: ...
 
@@ -49,17 +51,22 @@ class LanguageModel(Protocol):
 
 
 class HashingEmbedder:
-    """Signed hashed words, unit length: texts that share words are near each other."""
+    """Signed hashed words, unit length: texts that share words are near each other. A word's cell and sign come from
+    its MD5, once for each distinct word of a batch."""
 
-    def __init__(self, dim: int = 64):
+    def __init__(self, dim: int = 256):
         self.dim = dim
 
     def encode(self, texts: list[str]) -> np.ndarray:
+        words = [(t or "").lower().split() for t in texts]
+        distinct: dict[str, int] = {}
+        at = np.array([distinct.setdefault(w, len(distinct)) for ws in words for w in ws], dtype=np.int64)
+        digests = [hashlib.md5(w.encode("utf-8", "surrogatepass")).digest() for w in distinct]
+        cell = np.array([int.from_bytes(d[:4], "big") % self.dim for d in digests], dtype=np.int64)
+        sign = np.array([1.0 if d[4] & 128 else -1.0 for d in digests])
         out = np.zeros((len(texts), self.dim), dtype=np.float64)
-        for row, text in zip(out, texts, strict=True):
-            for word in (text or "").lower().split():
-                h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-                row[h % self.dim] += 1.0 if h >> 31 else -1.0
+        if len(at):
+            np.add.at(out, (np.repeat(np.arange(len(texts)), [len(w) for w in words]), cell[at]), sign[at])
         norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return (out / (norm + 1e-12)).astype(np.float32)
 
@@ -95,6 +102,11 @@ class HttpModel:
         self.url, self.model, self.timeout, self.options, self.attempts = url.rstrip("/"), model, timeout, options or {}, attempts
         self._available: bool | None = None
 
+    def configure(self, settings) -> None:
+        """Takes the request's time limit and the sampling options from the settings."""
+        self.timeout = float(settings.request_timeout)
+        self.options = {"temperature": settings.temperature, "top_p": settings.top_p, "num_predict": settings.max_tokens, **self.options}
+
     def _call(self, path: str, body: dict | None = None) -> dict:
         data = None if body is None else json.dumps(body).encode()
         request = urllib.request.Request(self.url + path, data, {"Content-Type": "application/json"})
@@ -127,9 +139,9 @@ class HttpModel:
         return self._available
 
 
-def embed(rows: DataFrame, text_col: str, embedder: Embedder, out_col: str = "embedding", batch: int = 256) -> DataFrame:
-    """Adds unit vectors of a text column, encoded in batches; a batch that does not fit memory is halved by 4
-    down to single texts."""
+def embed(rows: DataFrame, text_col: str, embedder: Embedder, out_col: str = "embedding", batch: int = 256, divisor: int = 4) -> DataFrame:
+    """Adds unit vectors of a text column, encoded in batches; a batch that does not fit memory is taken in
+    parts smaller by ``divisor``, down to single texts."""
 
     def encoded(texts: list[str], size: int) -> Iterator[np.ndarray]:
         for a in range(0, len(texts), size):
@@ -140,7 +152,7 @@ def embed(rows: DataFrame, text_col: str, embedder: Embedder, out_col: str = "em
             except MemoryError:
                 if size == 1:
                     raise
-                yield from encoded(part, max(1, size // 4))
+                yield from encoded(part, max(1, size // max(2, divisor)))
 
     @F.arrow_udf("array<float>")
     def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -152,10 +164,31 @@ def embed(rows: DataFrame, text_col: str, embedder: Embedder, out_col: str = "em
 
 
 def rerank_column(reranker: Reranker) -> Column:
-    """Score of (query, text) columns by a model, in batches, for :func:`operators.retrieval.rerank`."""
+    """Score of (query, text) columns by a model, in batches, for :func:`operators.retrieval.rerank`. A batch that the
+    model fails on has null scores."""
 
     @F.arrow_udf("double")
     def scores(query: pa.Array, text: pa.Array) -> pa.Array:
-        return pa.array([float(s) for s in reranker.score(query.to_pylist(), text.to_pylist())], pa.float64())
+        try:
+            return pa.array([float(s) for s in reranker.score(query.to_pylist(), text.to_pylist())], pa.float64())
+        except Exception as e:  # reranking is an improvement, not a condition: hits stay as they are
+            warnings.warn(f"reranking failed: {e}", stacklevel=2)
+            return pa.nulls(len(query), pa.float64())
 
     return scores(F.col("query"), F.col("text"))
+
+
+def generate_column(model: LanguageModel, prompt: Column) -> Column:
+    """A model's answer to each prompt, where the rows are. A model that raises answers with a warning."""
+
+    @F.arrow_udf("string")
+    def answers(prompts: pa.Array) -> pa.Array:
+        out = []
+        for p in prompts.to_pylist():
+            try:
+                out.append(None if p is None else str(model.generate(p)))
+            except Exception as e:
+                out.append(f"Warning: the language model failed ({e})")
+        return pa.array(out, pa.string())
+
+    return answers(prompt)

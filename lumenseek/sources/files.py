@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import traceback
 from collections.abc import Iterable
 from html.parser import HTMLParser
 from pathlib import Path
@@ -19,14 +20,26 @@ EXCLUDED_DIRS = (".venv", "venv", ".git", ".hg", ".svn", "node_modules", "__pyca
 DROPPED_ELEMENTS = frozenset({"script", "style", "noscript"})
 
 
-def check_root(folder: str) -> Path:
-    """A folder that may be indexed: it exists, and is neither the root, nor the home folder, nor above it."""
-    path, home = Path(folder).resolve(), Path.home().resolve()
+def check_root(folder: str, spark: SparkSession | None = None) -> str:
+    """A folder that may be indexed: it exists, and is neither the root, nor the home folder, nor above it. A path with
+    a scheme is looked up in its own store."""
+    scheme = folder.partition("://")[0] if "://" in folder else ""
+    if scheme and scheme != "file":
+        if spark is None:
+            raise ValueError(f"no session to look up {folder}")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
+            raise ValueError(f"not a folder: {folder}")
+        if at.getParent() is None or fs.makeQualified(at).toString() == fs.makeQualified(fs.getHomeDirectory()).toString():
+            raise ValueError(f"refusing to index {folder}")
+        return folder
+    path, home = Path(folder.removeprefix("file://")).resolve(), Path.home().resolve()
     if not path.is_dir():
         raise ValueError(f"not a folder: {folder}")
     if path == Path(path.anchor) or path == home or path in home.parents:
         raise ValueError(f"refusing to index {path}")
-    return path
+    return str(path)
 
 
 def list_files(spark: SparkSession, root: str, extensions: Iterable[str] | None = None, recurse: bool = True, excluded: Iterable[str] = EXCLUDED_DIRS) -> DataFrame:
@@ -36,7 +49,11 @@ def list_files(spark: SparkSession, root: str, extensions: Iterable[str] | None
     if recurse:
         reader = reader.option("recursiveFileLookup", True)
     rows = reader.load(root).select("path", basename(F.col("path")).alias("name"), extension(F.col("path")).alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
-    below = F.slice(F.split(F.regexp_replace(F.col("path"), "^[a-z]+:/*", ""), "/"), len([p for p in Path(root.split(":")[-1]).parts if p != "/"]) + 1, 1_000)
+    # Folders between the root and the file: what follows the root's own path.
+    whole = root.partition("://")[2].partition("/")[2] if "://" in root else root
+    depth = len([p for p in Path(whole).parts if p not in ("/", ".")])
+    inside = F.split(F.regexp_replace(F.col("path"), "^[a-z0-9+.-]+:(//[^/]*)?/*", ""), "/")
+    below = F.slice(inside, depth + 1, 1_000) if whole.startswith("/") or "://" in root else inside
     rows = rows.where(~F.arrays_overlap(below, F.array(*[F.lit(d) for d in excluded])))
     return rows if extensions is None else rows.where(F.col("ext").isin([e.lower() for e in extensions]))
 
@@ -86,24 +103,26 @@ def extract_text(files: DataFrame, extractor: TextExtractor | None = None) -> Da
     """Adds text (cleaned) and error (null, or why extraction failed) to rows with content and ext.
 
     A PDF page's text layer counts if it is usable, else the text of its images, else recognition of the
-    rendered page; a page that fails is left out.
+    rendered page; a page that fails is left out. ``message`` and ``traceback`` say more about an error.
     """
     engine = extractor or NoExtractor()
 
-    @F.arrow_udf("text string, error string")
+    @F.arrow_udf("text string, error string, message string, traceback string")
     def extract(kinds: pa.Array, contents: pa.Array) -> pa.Array:
         texts, errors = [], []
+        none = (None, None, None)
         for kind, content in zip(kinds.to_pylist(), contents.to_pylist(), strict=True):
             try:
                 texts.append(_extract(engine, kind, content or b""))
-                errors.append(None)
+                errors.append(none)
             except Exception as e:  # one bad file must not end the run: its row says why
                 texts.append(None)
-                errors.append(type(e).__name__)
-        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["text", "error"])
+                errors.append((type(e).__name__, str(e), traceback.format_exc()))
+        columns = [pa.array(texts, pa.string()), *(pa.array([e[i] for e in errors], pa.string()) for i in range(3))]
+        return pa.StructArray.from_arrays(columns, ["text", "error", "message", "traceback"])
 
     done = files.withColumn("_x", extract(route(F.col("ext")), F.col("content")))
-    return done.withColumn("text", clean_text(F.col("_x.text"))).withColumn("error", F.col("_x.error")).drop("_x")
+    return done.withColumn("text", clean_text(F.col("_x.text"))).select("*", "_x.error", "_x.message", "_x.traceback").drop("_x", "content")
 
 
 def usable(text: str) -> bool:
@@ -120,11 +139,41 @@ def _extract(engine: TextExtractor, kind: str, content: bytes) -> str:
     if kind == "image":
         return engine.image(content)
     out = []
-    for native, embedded, rendered in engine.pages(content):
-        out.append(native if usable(native) else embedded if embedded.strip() else rendered)
+    for native, *others in engine.pages(content):
+        try:
+            out.append(_page_text(native, others))
+        except (MemoryError, OSError, RuntimeError, ValueError):  # the page is left out
+            continue
     return "\n".join(out)
 
 
-def with_file_columns(files: DataFrame) -> DataFrame:
-    """Adds file_hash (SHA-256 of the content) and file_type."""
-    return files.withColumn("file_hash", F.sha2("content", 256)).withColumn("file_type", file_type(F.col("path")))
+def _page_text(native: str, others: list) -> str:
+    """A usable text layer, else what the images hold, else the rendered page; the latter two are strings, or
+    functions that are called only if it comes to that."""
+    if usable(native):
+        return native
+    embedded, rendered = others
+    found = embedded() if callable(embedded) else embedded
+    return found if found.strip() else rendered() if callable(rendered) else rendered
+
+
+def with_file_columns(files: DataFrame, extractor: TextExtractor | None = None) -> DataFrame:
+    """``files`` without content, and with file_hash (SHA-256), file_type, and, if the extractor can ``inspect``, what
+    rules ask of PDFs: openable, pages, has_form (null for other files, or if it can't)."""
+    named = files.withColumn("file_hash", F.sha2("content", 256)).withColumn("file_type", file_type(F.col("path")))
+    look = getattr(extractor, "inspect", None)
+    if look is None:
+        return named.drop("content")
+
+    @F.arrow_udf("openable boolean, pages int, has_form boolean, why string")
+    def inspected(kinds: pa.Array, contents: pa.Array) -> pa.Array:
+        rows = []
+        for kind, content in zip(kinds.to_pylist(), contents, strict=True):
+            try:
+                rows.append((True, *look(content.as_py() or b""), None) if kind == "pdf" else (None, None, None, None))
+            except (OSError, RuntimeError, ValueError) as e:
+                rows.append((False, None, None, str(e)))
+        types = (pa.bool_(), pa.int32(), pa.bool_(), pa.string())
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["openable", "pages", "has_form", "why"])
+
+    return named.withColumn("_x", inspected(route(F.col("ext")), F.col("content"))).select("*", "_x.openable", "_x.pages", "_x.has_form", "_x.why").drop("_x", "content")

@@ -7,6 +7,7 @@ pages have ``width``, ``height`` (points), ``render(dpi, clip) -> image`` and ``
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -78,3 +79,44 @@ def tile_clips(width: float, height: float, dpi: int, tile_px: int, overlap: int
     low = lambda i: i * tile - over * (i > 0)
     high = lambda i, n, size: min((i + 1) * tile + over * (i + 1 < n), size)
     return [(low(x), low(y), high(x, nx, width), high(y, ny, height)) for y in range(ny) for x in range(nx)]
+
+
+def page_dpi(width: float, height: float, max_pixels: int, max_side: int, base_dpi: int) -> int:
+    """:func:`functions.geometry.safe_dpi` for one page."""
+    w, h = width * (base_dpi / 72.0), height * (base_dpi / 72.0)
+    if not width or not height:
+        return 96
+    scale = math.sqrt(max_pixels / (w * h)) if w * h > max_pixels else 1.0
+    for side in (w, h):
+        if side * scale > max_side:
+            scale *= max_side / (side * scale)
+    return max(72, int(base_dpi * scale))
+
+
+@dataclass
+class OcrExtractor:
+    """A text extractor (:class:`providers.TextExtractor`) around a PDF reader and a recogniser.
+
+    ``open_pdf`` gives a document's pages, which beside what a recogniser needs have ``text() -> str`` and
+    ``has_form() -> bool``; ``open_image`` gives an image. Nothing is rendered for a page whose text layer serves.
+    """
+
+    recognizer: Recognizer
+    open_pdf: Callable[[bytes], Iterable[Any]]
+    open_image: Callable[[bytes], Any]
+    base_dpi: int = 150
+    max_pixels: int = 400_000
+    max_side: int = 2000
+
+    def pages(self, content: bytes) -> Iterator[tuple[str, Callable[[], str], Callable[[], str]]]:
+        for page in self.open_pdf(content):
+            dpi = page_dpi(page.width, page.height, self.max_pixels, self.max_side, self.base_dpi)
+            yield page.text(), lambda p=page: self.recognizer.embedded(p), lambda p=page, d=dpi: self.recognizer.page(p, d)
+
+    def image(self, content: bytes) -> str:
+        return self.recognizer.image(self.open_image(content))
+
+    def inspect(self, content: bytes) -> tuple[int, bool]:
+        """Pages, and whether any has interactive fields."""
+        pages = list(self.open_pdf(content))
+        return len(pages), any(p.has_form() for p in pages)

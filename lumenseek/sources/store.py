@@ -1,23 +1,53 @@
-"""The stored state: chunks, vectors, keyword index and ledger, in versioned folders under one root.
+"""The stored state: chunks, vectors, keyword index and ledger, as folders of rows named by a manifest.
 
-A version is written whole, then a pointer file names it; readers follow the pointer, so they never see
-tables of different versions. Rows carry keys; nothing depends on positions.
+A run adds folders (parts) to the tables and then a manifest with the next number, which lists all parts; the
+manifest with the largest number is the state. So a run writes what is new, readers never see tables of
+different runs, and a run that ends early leaves only folders that no manifest names. Tables of many small
+parts are written anew as one (``PARTS``). Rows carry keys; nothing depends on positions.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
+from dataclasses import dataclass, field
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNKS = T.StructType([
-    T.StructField("chunk_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("chunk_index", T.IntegerType()),
+    T.StructField("chunk_id", T.StringType()), T.StructField("source", T.StringType()), T.StructField("chunk_index", T.IntegerType()),
     T.StructField("text", T.StringType()), T.StructField("file_hash", T.StringType()), T.StructField("created_at", T.TimestampType()),
     T.StructField("file_type", T.StringType()), T.StructField("total_chunks", T.IntegerType()),
 ])
 LEDGER = "file_hash string, filename string"
+#: Parts of a table, beyond which the next run writes it as one.
+PARTS = 32
+_NUMBER = re.compile(r"manifest-(\d+)\.json")
+
+
+TABLES = ("chunks", "ledger", "vectors", "postings", "centroids", "terms")
+
+
+class ConcurrentRun(RuntimeError):
+    """Another run has committed since this one began."""
+
+
+@dataclass
+class Manifest:
+    """Folders of each table, under the store's root."""
+
+    number: int = 0
+    chunks: list[str] = field(default_factory=list)
+    ledger: list[str] = field(default_factory=list)
+    vectors: list[str] = field(default_factory=list)
+    postings: list[str] = field(default_factory=list)
+    centroids: str | None = None
+    terms: str | None = None
 
 
 class Store:
@@ -30,53 +60,93 @@ class Store:
     def _fs(self):
         return self._path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def version(self) -> str | None:
-        """Folder of the current version."""
-        fs, pointer = self._fs(), self._path(f"{self.root}/CURRENT")
-        if not fs.exists(pointer):
+    def exists(self, name: str) -> bool:
+        return self._fs().exists(self._path(f"{self.root}/{name}"))
+
+    def manifest(self) -> Manifest | None:
+        """The state, or None before the first run."""
+        fs, folder = self._fs(), self._path(f"{self.root}/manifests")
+        if not fs.exists(folder):
+            return None
+        names = [_NUMBER.fullmatch(f.getPath().getName()) for f in fs.listStatus(folder)]
+        numbers = [int(m[1]) for m in names if m]
+        if not numbers:
             return None
-        name = self.spark.read.text(f"{self.root}/CURRENT").first()
-        return f"{self.root}/{name.value}" if name else None
-
-    def begin(self) -> str:
-        """Folder for a new version."""
-        return f"{self.root}/v-{uuid.uuid4().hex}"
-
-    def commit(self, folder: str) -> None:
-        """Makes a version current; the pointer is replaced by one rename."""
-        fs, temporary = self._fs(), self._path(f"{self.root}/CURRENT.{uuid.uuid4().hex}")
-        out = fs.create(temporary, True)
-        out.write(bytearray((folder.rsplit("/", 1)[1] + "\n").encode()))
+        text = "".join(r.value for r in self.spark.read.text(f"{self.root}/manifests/manifest-{max(numbers)}.json").collect())
+        return Manifest(**json.loads(text))
+
+    def new_part(self, table: str) -> str:
+        """Name of a folder for new rows."""
+        return f"{table}/{uuid.uuid4().hex}"
+
+    def write(self, frame: DataFrame, table: str, **options) -> str:
+        """Writes rows as a part of a table; its name."""
+        name = self.new_part(table)
+        frame.write.parquet(f"{self.root}/{name}", **options)
+        return name
+
+    def commit(self, state: Manifest) -> Manifest:
+        """Makes ``state`` current, as the successor of the manifest that it was made from. The file is written aside
+        and appears under its number by one rename, which does not replace."""
+        state = Manifest(**{**vars(state), "number": state.number + 1})
+        fs, target = self._fs(), self._path(f"{self.root}/manifests/manifest-{state.number}.json")
+        aside = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}")
+        out = fs.create(aside, True)
+        out.write(bytearray((json.dumps(vars(state)) + "\n").encode()))
         out.close()
-        target = self._path(f"{self.root}/CURRENT")
-        fs.delete(target, False)
-        fs.rename(temporary, target)
+        if fs.exists(target) or not fs.rename(aside, target):
+            fs.delete(aside, False)
+            raise ConcurrentRun(f"manifest {state.number} is there already")
+        return state
 
     def reset(self) -> None:
-        """Deletes all versions."""
-        self._fs().delete(self._path(self.root), True)
+        """Deletes the state, the manifests first."""
+        for name in ("manifests", *TABLES):
+            self.delete(name)
+
+    def delete(self, name: str) -> None:
+        self._fs().delete(self._path(f"{self.root}/{name}"), True)
+
+    def read(self, parts: list[str], schema: T.StructType | str | None = None) -> DataFrame:
+        """Rows of a table's parts."""
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(*[f"{self.root}/{p}" for p in parts])
+
+    def read_each(self, parts: list[str]) -> DataFrame:
+        """As :meth:`read`, for parts that are partitioned folders."""
+        return reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.root}/{p}") for p in parts])
 
     def chunks(self) -> DataFrame:
-        """Chunk table of the current version; empty without one. A missing column: ValueError."""
-        at = self.version()
-        return self.spark.createDataFrame([], CHUNKS) if at is None else read_chunks(self.spark, f"{at}/chunks")
+        """Chunk table; empty before the first run. A missing column: ValueError."""
+        at = self.manifest()
+        return read_chunks(self.spark, *[f"{self.root}/{p}" for p in at.chunks]) if at and at.chunks else self.spark.createDataFrame([], CHUNKS)
 
     def ledger(self) -> DataFrame:
-        at = self.version()
-        return self.spark.createDataFrame([], LEDGER) if at is None else self.spark.read.schema(LEDGER).parquet(f"{at}/ledger")
+        at = self.manifest()
+        return self.read(at.ledger, LEDGER) if at and at.ledger else self.spark.createDataFrame([], LEDGER)
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    found = spark.read.parquet(path)
+def read_chunks(spark: SparkSession, *paths: str) -> DataFrame:
+    found = spark.read.parquet(*paths)
     if missing := [n for n in CHUNKS.names if n not in found.columns]:
         raise ValueError(f"chunk table lacks {', '.join(missing)}: ingest again")
     return found.select(*CHUNKS.names)
 
 
 def read_ledger_text(spark: SparkSession, path: str) -> DataFrame:
-    """A ledger kept as text, a line ``hash|name`` each; other lines are ignored."""
+    """A ledger kept as text, a line ``hash|name`` each; other lines are ignored. Text that is no UTF-8 is taken for
+    the usual Western code page."""
+    lines = spark.read.text(path)
+    if not lines.where(~F.is_valid_utf8("value")).isEmpty():
+
+        @F.arrow_udf("string")
+        def western(contents: pa.Array) -> pa.Array:
+            return pa.array([c.decode("cp1252", "ignore") for c in contents.to_pylist()], pa.string())
+
+        raw = spark.read.format("binaryFile").load(path).select(western("content").alias("t"))
+        lines = raw.select(F.explode(F.split("t", r"\r?\n")).alias("value"))
     cut = F.split("value", r"\|", 2)
-    return spark.read.text(path).where(F.col("value").contains("|")).select(F.trim(cut[0]).alias("file_hash"), cut[1].alias("filename"))
+    return lines.where(F.col("value").contains("|")).select(F.trim(cut[0]).alias("file_hash"), cut[1].alias("filename"))
 
 
 def valid_chunks(chunks: DataFrame) -> DataFrame:

@@ -239,3 +239,44 @@ def test_visualize(spark, vectors):
     assert by_id[0].score == 1.0 and by_id[7].score == 0.0 and all(r.z is None for r in rows)
     with pytest.raises(ValueError):
         reduce_points([[1.0]], "other")
+
+
+@pytest.mark.parametrize("key", ["xxhash64(id)", "if(id = 3, -9223372036854775808, if(id = 4, 9223372036854775807, id))", "md5(string(id))", "if(id = 7, 1L << 62, id)"])
+def test_even_sample_of_ids_of_any_kind(spark, key, monkeypatch):
+    from lumenseek.operators import visualize as module
+
+    monkeypatch.setattr(module, "RANGE_ROWS", 100)
+    rows = spark.range(3000).selectExpr(f"{key} AS chunk_id")
+    ids = sorted(r.chunk_id for r in rows.collect())
+    got = even_sample(rows, 500).collect()
+    assert len(got) == 500 and all(ids[r.position] == r.chunk_id for r in got)
+    assert {0, 2999} <= {r.position for r in got}
+
+
+def test_blocks_of_queries_find_the_same(spark, vectors, monkeypatch):
+    from lumenseek.operators import retrieval
+
+    asked = vectors.where("chunk_id % 9 = 0").selectExpr("chunk_id AS query_id", "0 AS variant_no", "embedding")
+    named = vectors.selectExpr("concat('c', chunk_id) AS chunk_id", "embedding").union(spark.createDataFrame([("n", None), ("s", [1.0]), ("z", [float("nan")] * 64)], "chunk_id string, embedding array<float>"))
+    rows = lambda: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in retrieval.dense_search(named, asked, 5).collect())
+    sent = rows()
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 100)
+    assert rows() == sent and len(sent) == 5 * asked.count()
+    assert retrieval.dense_search(named, asked.limit(0), 5).columns == ["query_id", "chunk_id", "score", "rank"]
+    assert retrieval.dense_search(named, asked.limit(0), 5).count() == 0
+
+
+def test_broken_keyword_index_is_none(spark, tmp_path):
+    build_bm25(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).save(str(tmp_path / "ix"))
+    spark.range(1).write.mode("overwrite").parquet(str(tmp_path / "ix" / "terms" / "terms"))
+    assert Bm25Index.load(spark, str(tmp_path / "ix")) is None
+    for f in (tmp_path / "ix" / "terms" / "corpus").glob("*.parquet"):
+        f.write_bytes(b"nothing")
+    with pytest.warns(UserWarning, match="dense search only"):
+        assert Bm25Index.load(spark, str(tmp_path / "ix")) is None
+
+
+def test_flat_and_listed_vectors_are_written_by_many_tasks(spark, vectors, tmp_path):
+    VectorIndex.build(vectors.repartition(5), "flat").save(str(tmp_path / "flat"))
+    assert len(list((tmp_path / "flat" / "vectors").glob("*.parquet"))) == 5
