@@ -10,7 +10,7 @@ here on. (2) Bands of equal coordinates propose candidates: each bucket is reduc
 its members, so no bucket is expanded into its pairs. (3) Those links are confirmed on the full sets.
 (4) What the buckets join but the confirmed links don't is compared exhaustively in blocks: the documents
 outside a cluster's largest confirmed component against all others of the cluster, with an inverted index
-for each block. Nothing is capped: a pair that shares a band is always either confirmed, refuted, or
+for each block. In (3) and (4) pairs whose sizes alone refute them are left out. Nothing is capped: a pair that shares a band is always either confirmed, refuted, or
 already joined by confirmed links. A pair at similarity 0.8 shares no band with probability 5e-7.
 """
 
@@ -200,9 +200,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     clusters = scratch.keep(connected(near.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), scratch))
     texts = scratch.keep(only_ids(rows, clusters.select(F.col("node").alias("id")), "id").distinct())
+    # What sizes alone refute is not compared: a similarity is at most the smaller size over the larger.
+    sizes = classes.groupBy(F.col("rep").alias("node")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    sized = near.join(sizes.select(F.col("node").alias("rep"), "least", "most"), "rep").join(sizes.select(F.col("node").alias("pivot"), F.col("least").alias("least_p"), F.col("most").alias("most_p")), "pivot")
+    sized = sized.where(F.least("most", "most_p") * 100 >= F.greatest("least", "least_p") * percent)
 
     # Documents around one pivot are dealt over several tasks, by its bucket's size, each with the pivot's text.
-    salted = near.withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / 256)).cast("int"))
+    salted = sized.withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / 256)).cast("int"))
     heads = salted.select("pivot", "salt").distinct().withColumn("kind", F.lit(0)).withColumn("id", F.col("pivot"))
     members = salted.select("pivot", "salt", F.lit(1).alias("kind"), F.col("rep").alias("id"))
     confirmed = scratch.keep(
@@ -213,15 +217,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = scratch.keep(connected(confirmed, scratch))
 
     # Per cluster: blocks of the largest confirmed component (negative numbers) and of the rest.
-    sizes = classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n"))
     nodes = scratch.keep(
         clusters.select("node", F.col("component").alias("cluster")).join(parts, "node", "left").join(sizes, "node")
-        .select("cluster", "node", "n", F.coalesce("component", "node").alias("comp"))
+        .select("cluster", "node", "least", "most", F.coalesce("component", "node").alias("comp"))
     )
-    by_part = nodes.groupBy("cluster", "comp").agg(F.sum("n").alias("n"))
-    split = by_part.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("main_n"), F.sum("n").alias("all_n"), F.count("*").alias("comps")).where("comps > 1")
-    split = split.select("cluster", "main", F.ceil(F.col("main_n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all_n") - F.col("main_n")) / BLOCK).cast("int").alias("rests"))
-    placed = nodes.join(split, "cluster").withColumn(
+    by_part = nodes.groupBy("cluster", "comp").agg(F.sum("most").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    split = by_part.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+    # Of the largest component only documents of a size that one of the others may match are compared.
+    others = by_part.join(split, "cluster").groupBy("cluster", "main").agg(
+        F.min(F.when(F.col("comp") != F.col("main"), F.col("least"))).alias("from"), F.max(F.when(F.col("comp") != F.col("main"), F.col("most"))).alias("to"))
+    fit = nodes.join(others, "cluster").where((F.col("comp") != F.col("main")) | ((F.col("most") * 100 >= F.col("from") * percent) & (F.col("to") * 100 >= F.col("least") * percent)))
+    fit = scratch.keep(fit.select("cluster", "node", "comp", "main", F.col("most").alias("n")))
+    is_main = F.col("comp") == F.col("main")
+    blocks = lambda mine: F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(F.when(mine, F.col("n"))), F.lit(0)) / BLOCK)).cast("int")
+    split = fit.groupBy("cluster").agg(blocks(is_main).alias("mains"), blocks(~is_main).alias("rests"))
+    placed = fit.join(split, "cluster").withColumn(
         "block",
         F.when(F.col("comp") == F.col("main"), -1 - F.pmod(F.xxhash64("node"), F.col("mains")).cast("int"))
         .otherwise(F.pmod(F.xxhash64("node"), F.col("rests")).cast("int")),
@@ -240,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .mapInArrow(_exhaust(shingle_words, percent), "a long, b long")
     )
     joined = scratch.keep(connected(confirmed.unionByName(more), scratch))
-    scratch.drop(near, texts, nodes, confirmed, more, parts, clusters)
+    scratch.drop(near, texts, nodes, fit, confirmed, more, parts, clusters)
 
     named = classes.select("h1", "h2", "n", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(
         "h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
