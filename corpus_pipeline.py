@@ -34,7 +34,8 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
         return without_ids(docs, gone, "doc_id")
     # Ids repeat: each document takes a number of its own, and ids only say which of a group stays.
     number, digest = max(docs.columns, key=len) + "_number", F.md5(F.encode("text", "UTF-8"))
-    same = Window.partitionBy("doc_id", digest).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    others = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]  # maps have no order
+    same = Window.partitionBy("doc_id", digest).orderBy(*others, F.monotonically_increasing_id())
     rows = docs.withColumn(number, F.row_number().over(same)).where(F.col("doc_id").isNull() | (F.col(number) == 1))
     rows = scratch.keep(rows.withColumn(number, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())))
     found = near_duplicates(rows, id_col=number, shingle_words=5, percent=80).where("component_id is not null").select(number, "component_id")

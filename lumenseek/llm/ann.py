@@ -107,7 +107,7 @@ class Forest:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
 
 
 def _with_leaves(forest, dim: int):
@@ -210,8 +210,10 @@ def nearest(
     """
     spark = vectors.sparkSession
     scratch, number = Scratch(spark), F.col("v")
+    # Vectors travel as they are stored; every product is of double precision.
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
     good = number.isNotNull() & (F.size("v") > 0) & F.forall(number, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(number, lambda c: c != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asked")).where(F.col("id").isNotNull() & good)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"), F.coalesce(queries, F.lit(False)).alias("asked")).where(F.col("id").isNotNull() & good)
     rows = scratch.keep(rows.groupBy("id").agg(F.min("v").alias("v"), F.max("asked").alias("asked")))
     lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     empty = spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
@@ -221,7 +223,7 @@ def nearest(
     rows = rows.where(F.size("v") == dim)
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
     classes = scratch.keep(ranked.groupBy("v").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids")))
-    n, norm = classes.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))).first()
+    n, norm = classes.agg(F.count("*"), F.max(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda s, c: s + c * c))).first()
     sample = _matrix(classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").toArrow().column(0).combine_chunks(), dim)
     model = Forest(sample, float(np.sqrt(norm)), n, trees, leaf)
     forest = spark.sparkContext.broadcast(model)
@@ -233,9 +235,9 @@ def nearest(
     asked = scratch.keep(rows.where("asked").select("id", "v"))
     # One search for each distinct query vector, named by its least query id.
     single = asked.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
-    probed = scratch.keep(single.mapInArrow(_with_groups(forest, dim, take, bits), "id long, v array<double>, groups array<struct<t: int, g: bigint, bits: binary>>"))
+    probed = scratch.keep(single.mapInArrow(_with_groups(forest, dim, take, bits), f"id long, v {kind}, groups array<struct<t: int, g: bigint, bits: binary>>"))
     blocks = max(1, -(-probed.count() // QUERY_BLOCK))
-    left = classes.select(F.col("rep").alias("id"), "v").mapInArrow(_with_leaves(forest, dim), "id long, v array<double>, leaves array<long>")
+    left = classes.select(F.col("rep").alias("id"), "v").mapInArrow(_with_leaves(forest, dim), f"id long, v {kind}, leaves array<long>")
     left = left.select("id", "v", F.posexplode("leaves").alias("t", "leaf"), F.lit(None).cast("binary").alias("bits"))
     left = left.select("t", F.shiftright("leaf", bits).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("y"), F.lit(0).alias("kind"), F.col("leaf").bitwiseAND(F.lit((1 << bits) - 1)).alias("at"), "id", "v", "bits")
     right = probed.select("id", "v", F.explode("groups").alias("e"))
