@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 
 from .config import Settings, load_settings
 from .plans.engine import Engine, NothingIngested, StaleEntries
+from .plans.session import session
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -38,8 +39,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, *
     """Runs a command; ``providers`` (embedder, extractor, model, reranker) go to the engine."""
     args = _parser().parse_args(argv)
     settings = load_settings(args.settings, args.sample) if args.settings else Settings()
-    session = spark or SparkSession.builder.appName("lumenseek").getOrCreate()
-    engine = Engine(session, args.state, settings, **providers)
+    engine = Engine(spark or session(), args.state, settings, **providers)
     try:
         return {"ingest": _ingest, "ask": _ask, "health": lambda e, a: print(json.dumps(e.health())) or 0}[args.command](engine, args)
     except (NothingIngested, StaleEntries, FileNotFoundError, ValueError) as e:

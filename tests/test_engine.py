@@ -476,3 +476,15 @@ def test_missing_sample_warns(tmp_path):
 def test_ledger_of_another_encoding(spark, tmp_path):
     (tmp_path / "l.txt").write_bytes("h1|früh.pdf\r\nh2|b\n".encode("cp1252"))
     assert sorted(map(tuple, store.read_ledger_text(spark, str(tmp_path / "l.txt")).collect())) == [("h1", "früh.pdf"), ("h2", "b")]
+
+
+def test_session_settings(spark):
+    from lumenseek.plans.session import SETTINGS, session
+
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    try:
+        got = session(spark__sql__shuffle__partitions=spark.conf.get("spark.sql.shuffle.partitions"))
+        assert got.sparkContext is spark.sparkContext and all(got.conf.get(k) == v for k, v in SETTINGS.items())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
