@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import public_tokenizers
@@ -94,3 +95,24 @@ def test_digest_of_ids_is_little_endian(spark):
     row = encode_documents(spark.createDataFrame([(1, "hello world")], "doc_id long, text string")).first()
     assert row.ids == b"".join(i.to_bytes(4, "little") for i in (31373, 995))
     assert len(hashlib.sha256(row.ids).hexdigest()) == 64
+
+
+def test_long_words_and_texts_through_spark(spark):
+    rng = random.Random(11)
+    letters = "".join(rng.choice("abcdefghijklmnop") for _ in range(120_000))
+    texts = [letters, "x" * 200_000, "é漢" * 50_000, "-" * 100_000, letters[:50_000] + " word" * 100_000, " " * 100_000, "\n" * 50_000 + "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS ids", "3 AS n_tokens", "4 AS decoded", "5 AS score")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r.doc_id: r for r in encode_documents(docs, decode=True).collect()}
+    for i, t in enumerate(texts):
+        want = library.encode(t, add_special_tokens=False).ids
+        assert bytes(got[i].ids) == b"".join(x.to_bytes(4, "little") for x in want) and got[i].decoded == t
+    counted = {r.doc_id: r.n_tokens for r in count_tokens(docs).collect()}
+    assert counted.keys() == got.keys() and min(counted.values()) > 100
+
+
+@pytest.mark.parametrize(("change", "what"), [({"normalizer": {"type": "NFC"}}, "normalizer"), ({"pre_tokenizer": {"type": "Whitespace"}}, "pre_tokenizer"), ({"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, "pre_tokenizer")])
+def test_files_that_ask_for_more_are_refused(change, what):
+    spec = json.loads(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read()) | change
+    with pytest.raises(ValueError, match=what):
+        ByteBpe(json.dumps(spec).encode())
