@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import bound_batches
-from .words import pieces, tidy
+from .words import held, pieces, tidy
 
 #: The published pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -190,8 +190,8 @@ class ByteBpe:
         return b"".join(map(self.text.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
 
-def _loaded(source: bytes, cache: dict[str, ByteBpe] = {}) -> ByteBpe:  # noqa: B006
-    key = hashlib.md5(source).hexdigest()
+def _loaded(source: bytes) -> ByteBpe:
+    cache, key = held("bpe"), hashlib.md5(source).hexdigest()
     if key not in cache:
         cache[key] = ByteBpe(source)
     return cache[key]
@@ -248,9 +248,11 @@ def token_count(spark: SparkSession, text: Column, path: str | None = None) -> C
         source = spark.sparkContext.broadcast(f.read())
 
     @F.arrow_udf("long")
-    def count(texts: pa.Array) -> pa.Array:
+    @tidy
+    def count(stream: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _loaded(source.value)
-        return pa.array([len(ids) // 4 for part in portions(texts) for ids in model.encode(part)], pa.int64())
+        for texts in stream:
+            yield pa.array([len(ids) // 4 for part in portions(texts) for ids in model.encode(part)], pa.int64())
 
     return count(text)
 

@@ -20,11 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import bound_batches
-from .words import mix, pieces, text_buffers, tidy, word_hashes
+from .words import held, mix, pieces, text_buffers, tidy, word_hashes
 
 #: Cells of trigrams, cells of word pairs, and codes of four words up to renaming (2 * 3 * 4).
 TRIGRAMS, PAIRS, SHAPES = 2048, 2048, 24
 TERMS = TRIGRAMS + PAIRS + SHAPES
+#: Documents whose counts are held at once.
+ROWS = 256
 LABELLED = 3000
 DIMENSIONS, NEIGHBOURS = 64, 15
 
@@ -45,7 +47,7 @@ def _shapes(words: np.ndarray) -> np.ndarray:
 def term_counts(texts: pa.Array) -> Iterator[np.ndarray]:
     """Counts of all terms, one row for each text, a piece of documents at a time."""
     raw, offsets = text_buffers(texts)
-    for a, b in pieces(offsets):
+    for a, b in ((x, min(x + ROWS, b)) for a, b in pieces(offsets) for x in range(a, b, ROWS)):
         data, ends = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         cells = np.zeros(len(data), dtype=np.int64)
         if len(data) > 2:
@@ -71,6 +73,7 @@ def term_counts(texts: pa.Array) -> Iterator[np.ndarray]:
 def _document_counts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with each term, and documents, of one partition."""
     found, n = np.zeros(TERMS, dtype=np.int64), 0
+    held("quality")
     for batch in stream:
         for counts in term_counts(batch.column(0)):
             found += (counts > 0).sum(axis=0)
@@ -200,7 +203,10 @@ def with_scores(docs: DataFrame, model: Latent, text_col: str = "text", score_co
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        return pa.array(np.concatenate([*(sent.value.score(c) for c in term_counts(texts)), np.zeros(0)]))
+    @tidy
+    def score(stream: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held("quality")
+        for texts in stream:
+            yield pa.array(np.concatenate([*(sent.value.score(c) for c in term_counts(texts)), np.zeros(0)]))
 
     return docs.withColumn(score_col, score(F.col(text_col).cast("string")))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bpe import portions
 from .scratch import bound_batches
-from .words import tidy
+from .words import held, tidy
 
 # Names and formats of credentials, and words that stand beside what is none.
 SECRET_NAMES = ("token", "secret", "passw", "pwd", "apikey", "api_key", "api-key", "access_key", "access-key", "auth", "credential", "private_key", "bearer")
@@ -319,8 +319,8 @@ def _scan(features: Features, model: SecretModel, texts: list[str]) -> Iterator[
         yield len(spans), judged, "".join([*parts, t[edge:]]) if judged else t
 
 
-def _worker(sent, cache: dict = {}) -> tuple[Features, SecretModel]:  # noqa: B006
-    model = sent.value
+def _worker(sent) -> tuple[Features, SecretModel]:
+    model, cache = sent.value, held("secrets")
     if cache.get("words") != model.words:
         cache["words"], cache["features"] = model.words, Features(model.words)
     return cache["features"], model
@@ -362,9 +362,11 @@ def redact(docs: DataFrame, model: SecretModel | None = None, text_col: str = "t
     sent = docs.sparkSession.sparkContext.broadcast(model or default_model())
 
     @F.arrow_udf("string")
-    def cleaned(texts: pa.Array) -> pa.Array:
+    @tidy
+    def cleaned(stream: Iterator[pa.Array]) -> Iterator[pa.Array]:
         features, m = _worker(sent)
-        out = [redacted for part in portions(texts) for _, _, redacted in _scan(features, m, part)]
-        return pa.array([None if z else t for z, t in zip(texts.is_null().to_pylist(), out, strict=True)], pa.string())
+        for texts in stream:
+            out = [redacted for part in portions(texts) for _, _, redacted in _scan(features, m, part)]
+            yield pa.array([None if z else t for z, t in zip(texts.is_null().to_pylist(), out, strict=True)], pa.string())
 
     return docs.withColumn(text_col, cleaned(F.col(text_col).cast("string")))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .bpe import portions
 from .scratch import bound_batches
-from .words import tidy
+from .words import held, tidy
 
 MARK = "▁"
 #: What the tokenizers library takes off the least score for an unknown character.
@@ -106,8 +106,8 @@ class UnigramCounter:
         return tokens, total, n
 
 
-def _loaded(pieces: list[tuple[str, float]], cache: dict[str, UnigramCounter] = {}) -> UnigramCounter:  # noqa: B006
-    key = hashlib.md5(repr(pieces).encode()).hexdigest()
+def _loaded(pieces: list[tuple[str, float]]) -> UnigramCounter:
+    cache, key = held("unigram"), hashlib.md5(repr(pieces).encode()).hexdigest()
     if key not in cache:
         cache[key] = UnigramCounter(pieces)
     return cache[key]

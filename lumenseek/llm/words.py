@@ -104,6 +104,17 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
+_held: dict[str, dict] = {}
+
+
+def held(kind: str) -> dict:
+    """What a worker keeps from task to task for one kind of stage. Workers outlive stages and stand beside an executor's
+    own memory, so what another kind kept is dropped."""
+    for other in [k for k in _held if k != kind]:
+        _held.pop(other).clear()
+    return _held.setdefault(kind, {})
+
+
 def tidy(stage: Callable) -> Callable:
     """A batch function that, when its task ends, gives freed memory back to the system: workers live on for
     other stages, beside an executor's own memory."""
