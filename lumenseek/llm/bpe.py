@@ -174,8 +174,8 @@ class ByteBpe:
             out += [part] if i % 2 else self.word.findall(part)
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def _encoded(self, texts: list[str]) -> Iterator[Iterator[bytes]]:
+        """The ids of each text's words."""
         if self.known_bytes > REMEMBER:
             self.known, self.known_bytes = {}, 0
         for t, i in self.special.items():
@@ -183,7 +183,16 @@ class ByteBpe:
         split = [self.split(t) for t in texts]
         self.learn({w for words in split for w in words})
         for words in split:
-            yield b"".join(map(self.known.__getitem__, words))
+            yield map(self.known.__getitem__, words)
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        yield from map(b"".join, self._encoded(texts))
+
+    def count(self, texts: list[str]) -> Iterator[int]:
+        """How many ids each text has."""
+        for ids in self._encoded(texts):
+            yield sum(map(len, ids)) // 4
 
     def decode(self, ids: bytes) -> str:
         """Text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -252,7 +261,7 @@ def token_count(spark: SparkSession, text: Column, path: str | None = None) -> C
     def count(stream: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _loaded(source.value)
         for texts in stream:
-            yield pa.array([len(ids) // 4 for part in portions(texts) for ids in model.encode(part)], pa.int64())
+            yield pa.array([n for part in portions(texts) for n in model.count(part)], pa.int64())
 
     return count(text)
 
