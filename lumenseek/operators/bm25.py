@@ -7,8 +7,11 @@ Very common terms take a positive floor: a quarter of the mean weight of all ter
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,8 +19,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import minmax
 from ..functions.text import tokens
+from .retrieval import best_columns
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Words asked for, and weights (terms by queries), up to which a query set is sent to all tasks: 32 MB.
+ASKED, WEIGHTS = 200_000, 4_000_000
 
 
 @dataclass
@@ -29,6 +35,12 @@ class Bm25Index:
     terms: DataFrame
     corpus: DataFrame
     words: DataFrame | None = None
+    kept: DataFrame | None = None
+
+    def release(self) -> None:
+        """Frees what building keeps in memory or on executors' disks; what is needed later is computed again."""
+        if self.kept is not None:
+            self.kept.unpersist()
 
     def postings_of(self, terms: DataFrame | None = None) -> DataFrame:
         """Postings, or those of ``terms`` (distinct) alone: words that nobody asks for are never counted."""
@@ -94,11 +106,12 @@ def build_bm25(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # A document's distinct terms, and one more for the document itself, which no word equals: one pass and one shuffle
     # of partial counts give document frequencies, how many documents there are, and their lengths.
     each = worded.select(F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("words"))).alias("term"))
-    every = each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("len"))
+    # A row for each distinct term, which weights read several times: kept, so that texts are read once.
+    every = each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("len")).persist()
     size = every.where("term = ''").agg(F.coalesce(F.max("df"), F.lit(0)).alias("n"), F.max("len").alias("len"))
     terms, corpus = _weighed(every.where("term <> ''").select("term", "df"), size)
     words = worded.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).select("term", "id", "dl")
-    return Bm25Index(None, terms, corpus, words)
+    return Bm25Index(None, terms, corpus, words, every)
 
 
 def bm25_scores(index: Bm25Index, queries: DataFrame) -> DataFrame:
@@ -110,10 +123,80 @@ def bm25_scores(index: Bm25Index, queries: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
+def _counted_rows(index: Bm25Index, terms: DataFrame) -> DataFrame:
+    """id, dl, no, tf of ``terms`` (term, no), a document's rows behind each other. Words of a text are so already; where
+    postings are stored by term, those asked for are dealt by document."""
+    if index.words is not None:
+        return index.words.join(F.broadcast(terms), "term").select("id", "dl", "no", F.lit(1).cast("long").alias("tf"))
+    rows = index.postings.join(F.broadcast(terms), "term").select("id", "dl", "no", "tf")
+    return rows.repartition("id").sortWithinPartitions("id")
+
+
+def _score_blocks(weights: np.ndarray, avgdl: float, k: int, docs: int = 1024):
+    """The k best of every ``docs`` documents for each query; ``weights``: a row for each term, a column for each query."""
+
+    def best(ids: list, rows: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
+        q, at, score = best_columns(np.stack(rows, axis=1), lambda: ids, k, 0.0)
+        return pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids, kind).take(pa.array(at)), pa.array(score)], ["q", "id", "score"])
+
+    def row(dl: int, no: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        terms, place = np.unique(no, return_inverse=True)
+        times = np.bincount(place, weights=tf)
+        return (times * (K1 + 1) / (times + K1 * (1 - B + B * dl / avgdl))) @ weights[terms]
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows, kind = [], [], None
+        held: tuple | None = None  # a document whose rows may go on in the next batch
+        for batch in stream:
+            if not batch.num_rows:
+                continue
+            kind = batch.column(0).type
+            dl, no, tf = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            which = batch.column(0).dictionary_encode().indices.to_numpy()
+            heads = np.concatenate([[0], np.flatnonzero(which[1:] != which[:-1]) + 1])
+            names = batch.column(0).take(pa.array(heads)).to_pylist()
+            for name, a, b in zip(names, heads.tolist(), [*heads[1:].tolist(), len(which)], strict=True):
+                if held and held[0] == name:
+                    held = (held[0], held[1], np.concatenate([held[2], no[a:b]]), np.concatenate([held[3], tf[a:b]]))
+                    continue
+                if held:
+                    ids.append(held[0])
+                    rows.append(row(*held[1:]))
+                    if len(ids) >= docs:
+                        yield best(ids, rows, kind)
+                        ids, rows = [], []
+                held = (name, int(dl[a]), no[a:b], tf[a:b])
+        if held:
+            yield best([*ids, held[0]], [*rows, row(*held[1:])], kind)
+
+    return run
+
+
 def bm25_search(index: Bm25Index, queries: DataFrame, k: int) -> DataFrame:
     """The k best of each query with a positive score: query_id, id, score, rank, normalized (0..1 among them).
-    Ties go to the smaller id; blank queries have no hits."""
-    scored = bm25_scores(index, queries).where("score > 0")
+    Ties go to the smaller id; blank queries have no hits. A query set whose weights fill up to ``WEIGHTS`` numbers is
+    sent to the documents, each of which is scored for all queries where it is; a larger one is joined by term."""
+    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    some = asked.limit(ASKED + 1).toArrow()
+    names, terms = some.column("query_id").unique(), some.column("term").unique()
+    if 0 < some.num_rows <= ASKED and len(names) * len(terms) <= WEIGHTS:
+        spark, number = queries.sparkSession, {t: i for i, t in enumerate(terms.to_pylist())}
+        wanted = spark.createDataFrame(pa.table({"term": terms, "no": pa.array(range(len(terms)), pa.int32())}))
+        idf = np.zeros(len(terms))
+        for r in index.terms.join(F.broadcast(wanted), "term").select("no", "idf").collect():
+            idf[r.no] = r.idf
+        place = {q: i for i, q in enumerate(names.to_pylist())}
+        weights = np.zeros((len(terms), len(names)))
+        for q, t, n in zip(*(some.column(c).to_pylist() for c in ("query_id", "term", "times")), strict=True):
+            weights[number[t], place[q]] = n * idf[number[t]]
+        avgdl = index.corpus.select("avgdl").first()
+        rows = _counted_rows(index, wanted)
+        run = _score_blocks(weights, (avgdl and avgdl[0]) or 1.0, k)
+        found = rows.mapInArrow(run, f"q long, id {rows.schema['id'].dataType.simpleString()}, score double")
+        keys = spark.createDataFrame(pa.table({"q": pa.array(range(len(names)), pa.int64()), "query_id": names}), f"q long, query_id {asked.schema['query_id'].dataType.simpleString()}")
+        scored = found.join(F.broadcast(keys), "q").select("query_id", "id", "score")
+    else:
+        scored = bm25_scores(index, queries).where("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return top.withColumn("normalized", minmax(F.col("score"), "query_id"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,24 +29,30 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, id_col: str = "chunk_id
     return vectors.crossJoin(asked).select("query_id", "variant_no", id_col, dot(F.col(vector_col), F.col("_query")).alias("score"))
 
 
-def _best_of(ids: pa.Array, x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of a block for each query: query row, block row, score; by score (9 digits), then id."""
-    who, what, scores = [], [], []
-    names = None
-    for a in range(0, len(q), 256):
-        s = q[a : a + 256] @ x.T
-        rounded, n = np.where(np.isnan(s), -np.inf, np.round(s, 9)), min(k, len(x))
-        least = np.partition(rounded, len(x) - n, axis=1)[:, len(x) - n]
-        for i in range(len(s)):
-            found = np.flatnonzero((rounded[i] >= least[i]) & (rounded[i] > -np.inf))
-            if len(found) > k:  # ties at the edge
-                names = ids.to_pylist() if names is None else names
-                found = np.array(sorted(found, key=lambda j: (-rounded[i, j], names[j]))[:k])
-            who.append(np.full(len(found), a + i))
-            what.append(found)
-            scores.append(s[i, found])
+def best_columns(scores: np.ndarray, names: Callable[[], list], k: int, least_score: float = -np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best columns of each row of ``scores``, above ``least_score``: row, column, score; by score (9 digits), then
+    name."""
+    who, what, found_scores = [], [], []
+    rounded, n = np.where(np.isnan(scores), -np.inf, np.round(scores, 9)), min(k, scores.shape[1])
+    least = np.partition(rounded, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
+    for i in range(len(scores)):
+        found = np.flatnonzero((rounded[i] >= least[i]) & (scores[i] > least_score))
+        if len(found) > k:  # ties at the edge
+            every = names()
+            found = np.array(sorted(found, key=lambda j: (-rounded[i, j], every[j]))[:k])
+        who.append(np.full(len(found), i))
+        what.append(found)
+        found_scores.append(scores[i, found])
     none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([*who, none]), np.concatenate([*what, none]), np.concatenate([*scores, none.astype(float)])
+    return np.concatenate([*who, none]), np.concatenate([*what, none]), np.concatenate([*found_scores, none.astype(float)])
+
+
+def _best_of(ids: pa.Array, x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of a block for each query: query row, block row, score."""
+    names = cache(ids.to_pylist)
+    parts = [best_columns(q[a : a + 256] @ x.T, names, k) for a in range(0, len(q), 256)]
+    rows = [p[0] + a for p, a in zip(parts, range(0, len(q), 256), strict=True)]
+    return np.concatenate(rows), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:

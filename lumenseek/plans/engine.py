@@ -183,6 +183,7 @@ class Engine:
         new.save_postings(f"{st.root}/{part}")
         old = self._words(state)
         (new if old is None else old.with_more(new)).save_terms(f"{st.root}/{terms}")
+        new.release()
         return replace(state, postings=[*(state.postings if old else []), part], terms=terms)
 
     def _without(self, state: store.Manifest, drop: DataFrame) -> store.Manifest:

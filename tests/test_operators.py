@@ -280,3 +280,23 @@ def test_broken_keyword_index_is_none(spark, tmp_path):
 def test_flat_and_listed_vectors_are_written_by_many_tasks(spark, vectors, tmp_path):
     VectorIndex.build(vectors.repartition(5), "flat").save(str(tmp_path / "flat"))
     assert len(list((tmp_path / "flat" / "vectors").glob("*.parquet"))) == 5
+
+
+def test_keyword_scores_of_one_task_equal_joined_ones(spark, monkeypatch, tmp_path):
+    from lumenseek.operators import bm25
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").repartition(3)
+    asked = spark.read.parquet(f"{SF}/benchmark.parquet").selectExpr("item_id AS query_id", "text AS query").union(spark.createDataFrame([(-1, " "), (-2, "nobodyhasthis"), (-3, "the the of")], "query_id long, query string"))
+    built = build_bm25(docs)
+    built.save(str(tmp_path / "ix"))
+    stored = Bm25Index.load(spark, str(tmp_path / "ix"))
+    rows = lambda ix: sorted((r.query_id, r["rank"], r.id, round(r.score, 8)) for r in bm25_search(ix, asked, 9).collect())
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")  # documents go on from batch to batch
+    sent = rows(built)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert rows(stored) == sent and {q for q, *_ in sent}.isdisjoint({-1, -2}) and len(sent) > 300
+    monkeypatch.setattr(bm25, "WEIGHTS", 10)
+    assert rows(built) == sent == rows(stored)
+    built.release()
+    assert rows(built) == sent
