@@ -45,16 +45,16 @@ def check_root(folder: str, spark: SparkSession | None = None) -> str:
 def list_files(spark: SparkSession, root: str, extensions: Iterable[str] | None = None, recurse: bool = True, excluded: Iterable[str] = EXCLUDED_DIRS) -> DataFrame:
     """path, name, ext, size, modified, content of the files under ``root``. Unless content is used, Spark reads
     metadata only."""
+    root = root if "://" in root else str(Path(root).resolve())
     reader = spark.read.format("binaryFile")
     if recurse:
         reader = reader.option("recursiveFileLookup", True)
     rows = reader.load(root).select("path", basename(F.col("path")).alias("name"), extension(F.col("path")).alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
     # Folders between the root and the file: what follows the root's own path.
     whole = root.partition("://")[2].partition("/")[2] if "://" in root else root
-    depth = len([p for p in Path(whole).parts if p not in ("/", ".")])
+    depth = len([p for p in Path(whole).parts if p != "/"])
     inside = F.split(F.regexp_replace(F.col("path"), "^[a-z0-9+.-]+:(//[^/]*)?/*", ""), "/")
-    below = F.slice(inside, depth + 1, 1_000) if whole.startswith("/") or "://" in root else inside
-    rows = rows.where(~F.arrays_overlap(below, F.array(*[F.lit(d) for d in excluded])))
+    rows = rows.where(~F.arrays_overlap(F.slice(inside, depth + 1, 1_000), F.array(*[F.lit(d) for d in excluded])))
     return rows if extensions is None else rows.where(F.col("ext").isin([e.lower() for e in extensions]))
 
 
