@@ -63,17 +63,25 @@ def _schema(vectors: DataFrame, id_col: str) -> str:
     return f"q long, id {vectors.schema[id_col].dataType.simpleString()}, score double"
 
 
-def _scan_all(vectors: DataFrame, q: np.ndarray, k: int, id_col: str, vector_col: str) -> DataFrame:
-    """The k best of each partition (rows of ``q`` by number): no vector moves."""
-    sent, dim = vectors.sparkSession.sparkContext.broadcast(q), q.shape[1]
+def _scan_all(vectors: DataFrame, q: np.ndarray, k: int, id_col: str, vector_col: str, lists: np.ndarray | None = None) -> DataFrame:
+    """The k best of each batch for each row of ``q``, by number: no vector moves. ``lists`` (query, list): which lists'
+    vectors, by cluster_id, count for a query."""
+    sent, dim = vectors.sparkSession.sparkContext.broadcast((q, lists)), q.shape[1]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, allowed = sent.value
         for batch in stream:
             if batch.num_rows:
-                row, at, score = _best_of(batch.column(0), _matrix(batch.column(1), dim), sent.value, k)
-                yield pa.RecordBatch.from_arrays([pa.array(row), batch.column(0).take(pa.array(at)), pa.array(score)], ["q", "id", "score"])
+                ids, x = batch.column(0), _matrix(batch.column(1), dim)
+                if allowed is None:
+                    row, at, score = _best_of(ids, x, queries, k)
+                else:
+                    scores = np.where(allowed[:, batch.column(2).to_numpy()], queries @ x.T, -np.inf)
+                    row, at, score = best_columns(scores, cache(ids.to_pylist), k)
+                yield pa.RecordBatch.from_arrays([pa.array(row), ids.take(pa.array(at)), pa.array(score)], ["q", "id", "score"])
 
-    return vectors.select(id_col, vector_col).mapInArrow(run, _schema(vectors, id_col))
+    columns = [id_col, vector_col] if lists is None else [id_col, vector_col, F.col("cluster_id").cast("int")]
+    return vectors.select(*columns).mapInArrow(run, _schema(vectors, id_col))
 
 
 def _in_blocks(vectors: DataFrame, asked: DataFrame, n: int, dim: int, k: int, id_col: str, vector_col: str) -> DataFrame:
@@ -106,10 +114,15 @@ def _in_blocks(vectors: DataFrame, asked: DataFrame, n: int, dim: int, k: int, i
     return left.unionByName(right).repartition(xs * ys, "x", "y").sortWithinPartitions("x", "y", "kind").mapInArrow(run, _schema(vectors, id_col))
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
+def dense_search(
+    vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "embedding",
+    probes: Callable[[np.ndarray, DataFrame], tuple[np.ndarray, DataFrame]] | None = None,
+) -> DataFrame | None:
     """The k best of each variant, merged per query by the largest score: query_id, ``id_col``, score, rank.
     All merged hits stay. Ties go to the smaller id. Vectors that are null, or not as long as the queries, take no
-    part. A query set of up to ``QUERY_BLOCK`` rows is sent to the vectors; a larger one is multiplied block by block."""
+    part. A query set of up to ``QUERY_BLOCK`` rows is sent to the vectors; a larger one is multiplied block by block.
+    ``probes`` says, for a sent query set, which lists of an index count for each query, and gives the vectors of those
+    lists; with it a larger set has no answer here (None)."""
     rows = queries.select("query_id", "variant_no", F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
     best = [F.desc(F.round("score", 9)), F.col(id_col)]
     names = queries.select("query_id", "variant_no").schema
@@ -121,8 +134,11 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
     fit = vectors.where(F.col(vector_col).isNotNull() & (F.size(vector_col) == dim))
     if some.num_rows <= QUERY_BLOCK:
         q = _matrix(some.column(2).combine_chunks(), dim)
+        lists, fit = probes(q, fit) if probes else (None, fit)
         keys = spark.createDataFrame(some.select([0, 1]).append_column("q", pa.array(np.arange(len(q)))))
-        found = _scan_all(fit, q, k, id_col, vector_col).join(F.broadcast(keys), "q")
+        found = _scan_all(fit, q, k, id_col, vector_col, lists).join(F.broadcast(keys), "q")
+    elif probes:
+        return None
     else:
         asked = rows.withColumn("q", F.xxhash64("query_id", "variant_no"))
         found = _in_blocks(fit, asked, asked.count(), dim, k, id_col, vector_col).join(asked.select("query_id", "variant_no", "q"), "q")
