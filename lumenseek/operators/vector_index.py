@@ -5,7 +5,6 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
-import numpy as np
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.ml.clustering import KMeans
@@ -90,9 +89,6 @@ class VectorIndex:
         index reads the ``nprobe`` lists nearest each variant only (partitions, when loaded from disk)."""
         if self.centroids is None:
             return dense_search(self.vectors, queries, k, self.id_col)
-        sent = dense_search(self.vectors, queries, k, self.id_col, probes=lambda q, rows: self._probes(q, rows, nprobe))
-        if sent is not None:
-            return sent
         near = Window.partitionBy("query_id", "variant_no").orderBy(F.desc("_near"), "cluster_id")
         probes = queries.crossJoin(F.broadcast(self.centroids)).withColumn("_near", dot(F.col("embedding"), F.col("centroid")))
         probes = probes.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= nprobe).select("query_id", "variant_no", F.col("embedding").alias("_query"), "cluster_id")
@@ -102,16 +98,6 @@ class VectorIndex:
         merged = cut.groupBy("query_id", self.id_col).agg(F.max("score").alias("score"))
         return merged.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best)))
 
-    def _probes(self, q: np.ndarray, rows: DataFrame, nprobe: int) -> tuple[np.ndarray, DataFrame]:
-        """For each query the ``nprobe`` lists with the nearest centroids, and the rows of all these lists."""
-        known = self.centroids.orderBy("cluster_id").collect()  # nlist rows
-        names = np.array([r.cluster_id for r in known])
-        near = q @ np.array([r.centroid for r in known], dtype=np.float64).T
-        order = np.argsort(-near, axis=1, kind="stable")[:, :nprobe]
-        lists = np.zeros((len(q), int(names.max()) + 1), dtype=bool)
-        lists[np.arange(len(q))[:, None], names[order]] = True
-        return lists, rows.where(F.col("cluster_id").isin([int(n) for n in np.flatnonzero(lists.any(axis=0))]))
-
     def save(self, path: str) -> None:
         write_vectors(self.vectors, self.trained, f"{path}/vectors", self.id_col)
         empty = self.vectors.sparkSession.createDataFrame([], "cluster_id int, centroid array<double>")
