@@ -1,4 +1,4 @@
-"""Training-data operators: ten building blocks for corpus preparation.
+"""Training-data operators: building blocks for corpus preparation.
 
 Nothing else in the library imports this subpackage.
 """

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .bpe import encode_documents
 from .chat import digest_windows, format_windows
+from .fim import FIM_SQL, fill_in_middle, restore
+from .merkle import MERKLE_SQL, manifest, verify
 from .minhash import NEAR_SQL, near_duplicates
 from .mixing import MIX_SQL, plan_mixture
 from .quality import fit, score_documents
+from .records import read_records, write_records
+from .scratch import Scratch
 from .secrets import scan_secrets
 from .simhash import edited_likeness
 from .suffix import remove_repeats
@@ -97,13 +101,40 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut into prefix, middle and suffix, and what its output gives back, as digests."""
+    cut = fill_in_middle(_table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+        digest(restore(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+def op12_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text, written as record files and read back."""
+    folder = f"{Scratch(spark).root}/records"
+    write_records(_table(spark, sf_dir, "documents"), folder)
+    return read_records(spark, folder).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, tree and proof of every document; the proofs of a fifth are tried with changed texts."""
+    docs = _table(spark, sf_dir, "documents")
+    fifth = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return verify(manifest(docs, tampered={"text": F.when(fifth, lower).otherwise(F.col("text"))})).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_chat_windows, op2_quality_knn, op3_suffix_dedup, op4_secret_scan, op5_source_mixing, op6_projection_forest, op7_minhash_dedup,
-        op8_simhash_fingerprints, op9_bpe_roundtrip, op10_token_counts,
+        op8_simhash_fingerprints, op9_bpe_roundtrip, op10_token_counts, op11_fill_in_middle, op12_binary_records, op13_merkle_manifest,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": MIX_SQL, "op7_minhash_dedup": NEAR_SQL}
+    return {"op5_source_mixing": MIX_SQL, "op7_minhash_dedup": NEAR_SQL, "op11_fill_in_middle": FIM_SQL, "op13_merkle_manifest": MERKLE_SQL}

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    got, want = queries.queries()[name](spark, SF).toPandas(), con.execute(queries.oracle_sql()[name]).df()
-    assert sorted(got.columns) == sorted(want.columns)
-    rows = lambda frame: sorted(map(str, frame[sorted(frame.columns)].astype(str).itertuples(index=False, name=None)))
+    got, want = queries.queries()[name](spark, SF).toArrow(), con.execute(queries.oracle_sql()[name]).to_arrow_table()
+    assert sorted(got.column_names) == sorted(want.column_names)
+    rows = lambda table: sorted(map(str, zip(*(table.column(c).to_pylist() for c in sorted(table.column_names)), strict=True)))
     assert rows(got) == rows(want)
