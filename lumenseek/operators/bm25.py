@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import minmax
@@ -35,12 +35,6 @@ class Bm25Index:
     terms: DataFrame
     corpus: DataFrame
     words: DataFrame | None = None
-    kept: DataFrame | None = None
-
-    def release(self) -> None:
-        """Frees what building keeps in memory or on executors' disks; what is needed later is computed again."""
-        if self.kept is not None:
-            self.kept.unpersist()
 
     def postings_of(self, terms: DataFrame | None = None) -> DataFrame:
         """Postings, or those of ``terms`` (distinct) alone: words that nobody asks for are never counted."""
@@ -54,8 +48,9 @@ class Bm25Index:
         self.save_postings(f"{path}/postings")
         self.save_terms(f"{path}/terms")
 
-    def save_postings(self, path: str) -> None:
-        self.postings_of().repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+    def save_postings(self, path: str, *more: Column) -> None:
+        """Postings and ``more`` columns."""
+        self.postings_of().select("*", *more).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
 
     def save_terms(self, path: str) -> None:
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
@@ -79,24 +74,58 @@ class Bm25Index:
         whole = {"term", "id", "tf", "dl"} <= set(found.postings.columns) and {"term", "df", "idf"} <= set(found.terms.columns)
         return found if whole and {"n", "len", "avgdl"} <= set(found.corpus.columns) else None
 
-    def with_more(self, other: Bm25Index) -> Bm25Index:
-        """The index of this one's documents and those of ``other``, which has none of them. Of this index only terms
-        and sums are read, no posting."""
-        both = self.terms.select("term", "df").unionByName(other.terms.select("term", "df")).groupBy("term").agg(F.sum("df").alias("df"))
-        size = self.corpus.select("n", "len").unionByName(other.corpus.select("n", "len")).agg(F.sum("n").alias("n"), F.sum("len").alias("len"))
-        terms, corpus = _weighed(both, size)
-        return Bm25Index(None if self.postings is None or other.postings is None else self.postings.unionByName(other.postings), terms, corpus)
+    @classmethod
+    def counted(cls, postings: DataFrame, counts: DataFrame, n: int, length: int, mean_idf: float) -> Bm25Index:
+        """The index of ``postings`` from counts (term, df), which are added up where a term has several (negative ones are
+        of documents that are gone), and the sums that :func:`shape_mean` needs to have been asked for."""
+        spark = counts.sparkSession
+        summed = counts.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        corpus = spark.range(1).select(
+            F.lit(n).cast("long").alias("n"), F.lit(length).cast("long").alias("len"), (F.lit(float(length)) / n if n else F.lit(None).cast("double")).alias("avgdl"), F.lit(mean_idf).alias("mean_idf")
+        )
+        raw = _weight(F.lit(n), F.col("df"))
+        return cls(postings, summed.select("term", "df", F.when(raw < 0, F.lit(mean_idf * EPSILON)).otherwise(raw).alias("idf")), corpus)
+
+    def counts(self) -> DataFrame:
+        return self.terms.select("term", "df")
+
+    def sums(self) -> tuple[int, int]:
+        """Documents, and words in them."""
+        row = self.corpus.select("n", "len").first()
+        return (row.n or 0, row.len or 0) if row else (0, 0)
+
+
+def _weight(n: Column, df: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
+
+def moved_counts(shape: DataFrame | None, before: DataFrame | None, delta: DataFrame) -> DataFrame:
+    """How many terms have each document frequency (df, c), after ``delta`` (term, df: how much more) is added to ``before``,
+    whose shape is ``shape``. Of ``before`` only the terms of ``delta`` count."""
+    if before is None or shape is None:
+        moved = delta.select(F.lit(0).cast("long").alias("was"), F.col("df").alias("now"))
+    else:
+        old = before.join(delta.select("term"), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("was"))
+        moved = delta.join(old, "term", "left").select(F.coalesce("was", F.lit(0)).alias("was"), (F.coalesce("was", F.lit(0)) + F.col("df")).alias("now"))
+    ends = F.array(F.struct(F.col("was").alias("df"), F.lit(-1).cast("long").alias("c")), F.struct(F.col("now").alias("df"), F.lit(1).cast("long").alias("c")))
+    rows = moved.select(F.explode(ends).alias("e")).select("e.df", "e.c").where("df > 0")
+    return (rows if shape is None else rows.unionByName(shape)).groupBy("df").agg(F.sum("c").alias("c")).where("c <> 0")
+
+
+def shape_mean(shape: DataFrame, n: int) -> float:
+    """The mean weight of all terms among ``n`` documents, from how many terms share each df, added up in order of df."""
+    parts = shape.agg(F.array_sort(F.collect_list(F.struct("df", F.col("c"), _weight(F.lit(n), F.col("df")).alias("w")))).alias("p"), F.sum("c").alias("terms"))
+    return parts.select(F.aggregate("p", F.lit(0.0), lambda s, x: s + x["w"] * x["c"]) / F.col("terms")).first()[0] or 0.0
 
 
 def _weighed(counted: DataFrame, size: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Terms with idf, and the corpus row, from document frequencies (term, df) and one row of sums (n, len)."""
-    weigh = lambda n, df: F.log(n - df + 0.5) - F.log(df + 0.5)
     # The mean over terms, from how many terms share each df: few rows, added up in a fixed order.
     shared = counted.groupBy("df").agg(F.count("*").alias("c")).crossJoin(F.broadcast(size.select("n")))
-    parts = shared.agg(F.array_sort(F.collect_list(F.struct("df", F.col("c"), weigh(F.col("n"), F.col("df")).alias("w")))).alias("p"), F.sum("c").alias("terms"))
+    parts = shared.agg(F.array_sort(F.collect_list(F.struct("df", F.col("c"), _weight(F.col("n"), F.col("df")).alias("w")))).alias("p"), F.sum("c").alias("terms"))
     mean = parts.select((F.aggregate("p", F.lit(0.0), lambda s, x: s + x["w"] * x["c"]) / F.col("terms")).alias("mean_idf"))
     corpus = size.select("n", "len", F.when(F.col("n") > 0, F.col("len") / F.col("n")).alias("avgdl")).crossJoin(F.broadcast(mean))
-    raw = counted.crossJoin(F.broadcast(corpus.select("n", "mean_idf"))).withColumn("raw", weigh(F.col("n"), F.col("df")))
+    raw = counted.crossJoin(F.broadcast(corpus.select("n", "mean_idf"))).withColumn("raw", _weight(F.col("n"), F.col("df")))
     return raw.select("term", "df", F.when(F.col("raw") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw")).alias("idf")), corpus
 
 
@@ -106,12 +135,13 @@ def build_bm25(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # A document's distinct terms, and one more for the document itself, which no word equals: one pass and one shuffle
     # of partial counts give document frequencies, how many documents there are, and their lengths.
     each = worded.select(F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("words"))).alias("term"))
-    # A row for each distinct term, which weights read several times: kept, so that texts are read once.
-    every = each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("len")).persist()
-    size = every.where("term = ''").agg(F.coalesce(F.max("df"), F.lit(0)).alias("n"), F.max("len").alias("len"))
-    terms, corpus = _weighed(every.where("term <> ''").select("term", "df"), size)
+    # A row for each distinct term, which weights read several times. What is asked of it is asked of sums, which can't
+    # move below the shuffle, so all of it reads one and the same shuffle and texts are read once.
+    every = each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("len"))
+    size = every.where("len is not null").agg(F.coalesce(F.max("df"), F.lit(0)).alias("n"), F.max("len").alias("len"))
+    terms, corpus = _weighed(every.where("len is null").select("term", "df"), size)
     words = worded.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).select("term", "id", "dl")
-    return Bm25Index(None, terms, corpus, words, every)
+    return Bm25Index(None, terms, corpus, words)
 
 
 def bm25_scores(index: Bm25Index, queries: DataFrame) -> DataFrame:
@@ -183,7 +213,8 @@ def bm25_search(index: Bm25Index, queries: DataFrame, k: int) -> DataFrame:
         spark, number = queries.sparkSession, {t: i for i, t in enumerate(terms.to_pylist())}
         wanted = spark.createDataFrame(pa.table({"term": terms, "no": pa.array(range(len(terms)), pa.int32())}))
         idf = np.zeros(len(terms))
-        for r in index.terms.join(F.broadcast(wanted), "term").select("no", "idf").collect():
+        # The first join goes below the sums of a stored index, so that only terms asked for are added up.
+        for r in index.terms.join(F.broadcast(wanted.select("term")), "term", "left_semi").join(F.broadcast(wanted), "term").select("no", "idf").collect():
             idf[r.no] = r.idf
         place = {q: i for i, q in enumerate(names.to_pylist())}
         weights = np.zeros((len(terms), len(names)))

@@ -47,7 +47,7 @@ def best_columns(scores: np.ndarray, names: Callable[[], list], k: int, least_sc
     return np.concatenate([*who, none]), np.concatenate([*what, none]), np.concatenate([*found_scores, none.astype(float)])
 
 
-def _best_of(ids: pa.Array, x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of(ids: pa.Array, x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of a block for each query: query row, block row, score."""
     names = cache(ids.to_pylist)
     parts = [best_columns(q[a : a + 256] @ x.T, names, k) for a in range(0, len(q), 256)]
@@ -55,7 +55,43 @@ def _best_of(ids: pa.Array, x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.nd
     return np.concatenate(rows), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+class Best:
+    """The k best of each query among all that a task sees: by score (9 digits), then id. What it holds between two cuts is
+    bounded by queries x k and one batch."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least = k, np.full(queries, -np.inf)  # a query's k-th best so far
+        self.parts: list[pa.Table] = []
+        self.rows, self.room = 0, max(4 * queries * k, 4096)
+
+    def add(self, query: np.ndarray, ids: pa.Array, at: np.ndarray, score: np.ndarray) -> None:
+        """Scores of the rows ``at`` of ``ids``."""
+        rounded = np.round(score, 9)
+        good = np.flatnonzero(rounded >= self.least[query])
+        if len(good):
+            self.parts.append(pa.table({"q": query[good], "r": -rounded[good], "id": ids.take(pa.array(at[good])), "s": score[good]}))
+            self.rows += len(good)
+        if self.rows > self.room:
+            self._cut()
+
+    def _cut(self) -> None:
+        whole = pa.concat_tables(self.parts)
+        whole = whole.sort_by([("q", "ascending"), ("r", "ascending"), ("id", "ascending")])
+        q = whole.column("q").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        last = place == self.k - 1
+        self.least[q[last]] = -whole.column("r").to_numpy()[last]
+        self.parts = [whole.filter(pa.array(place < self.k)).combine_chunks()]
+        self.rows = self.parts[0].num_rows
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self._cut()
+            yield from self.parts[0].select(["q", "id", "s"]).rename_columns(["q", "id", "score"]).to_batches()
+
+
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
@@ -64,14 +100,16 @@ def _schema(vectors: DataFrame, id_col: str) -> str:
 
 
 def _scan_all(vectors: DataFrame, q: np.ndarray, k: int, id_col: str, vector_col: str) -> DataFrame:
-    """The k best of each partition (rows of ``q`` by number): no vector moves."""
+    """The k best of each task (rows of ``q`` by number), over all its batches: no vector moves."""
     sent, dim = vectors.sparkSession.sparkContext.broadcast(q), q.shape[1]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(sent.value), k)
         for batch in stream:
             if batch.num_rows:
-                row, at, score = _best_of(batch.column(0), _matrix(batch.column(1), dim), sent.value, k)
-                yield pa.RecordBatch.from_arrays([pa.array(row), batch.column(0).take(pa.array(at)), pa.array(score)], ["q", "id", "score"])
+                row, at, score = best_of(batch.column(0), matrix(batch.column(1), dim), sent.value, k)
+                best.add(row, batch.column(0), at, score)
+        yield from best.batches()
 
     return vectors.select(id_col, vector_col).mapInArrow(run, _schema(vectors, id_col))
 
@@ -97,10 +135,10 @@ def _in_blocks(vectors: DataFrame, asked: DataFrame, n: int, dim: int, k: int, i
                 if (x[a], y[a]) != group:
                     group, held = (x[a], y[a]), []
                 if kinds[a] == 0:
-                    held.append((rows.column(3).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(rows.column(5), dim)))
+                    held.append((rows.column(3).to_numpy(zero_copy_only=False).astype(np.int64), matrix(rows.column(5), dim)))
                 elif held:
                     names, q = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-                    row, at, score = _best_of(rows.column(4), _matrix(rows.column(5), dim), q, k)
+                    row, at, score = best_of(rows.column(4), matrix(rows.column(5), dim), q, k)
                     yield pa.RecordBatch.from_arrays([pa.array(names[row]), rows.column(4).take(pa.array(at)), pa.array(score)], ["q", "id", "score"])
 
     return left.unionByName(right).repartition(xs * ys, "x", "y").sortWithinPartitions("x", "y", "kind").mapInArrow(run, _schema(vectors, id_col))
@@ -110,8 +148,7 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
     """The k best of each variant, merged per query by the largest score: query_id, ``id_col``, score, rank.
     All merged hits stay. Ties go to the smaller id. Vectors that are null, or not as long as the queries, take no
     part. A query set of up to ``QUERY_BLOCK`` rows is sent to the vectors; a larger one is multiplied block by block."""
-    rows = queries.select("query_id", "variant_no", F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
-    best = [F.desc(F.round("score", 9)), F.col(id_col)]
+    rows = asked_vectors(queries)
     names = queries.select("query_id", "variant_no").schema
     some = rows.limit(QUERY_BLOCK + 1).toArrow()  # bounded, as its size decides
     spark = vectors.sparkSession
@@ -120,13 +157,22 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
     dim = len(some.column(2)[0])
     fit = vectors.where(F.col(vector_col).isNotNull() & (F.size(vector_col) == dim))
     if some.num_rows <= QUERY_BLOCK:
-        q = _matrix(some.column(2).combine_chunks(), dim)
+        q = matrix(some.column(2).combine_chunks(), dim)
         keys = spark.createDataFrame(some.select([0, 1]).append_column("q", pa.array(np.arange(len(q)))))
         found = _scan_all(fit, q, k, id_col, vector_col).join(F.broadcast(keys), "q")
     else:
         asked = rows.withColumn("q", F.xxhash64("query_id", "variant_no"))
         found = _in_blocks(fit, asked, asked.count(), dim, k, id_col, vector_col).join(asked.select("query_id", "variant_no", "q"), "q")
-    scored = found.select("query_id", "variant_no", F.col("id").alias(id_col), "score")
+    return merged_variants(found.select("query_id", "variant_no", F.col("id").alias(id_col), "score"), k, id_col)
+
+
+def asked_vectors(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", "variant_no", F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
+
+
+def merged_variants(scored: DataFrame, k: int, id_col: str) -> DataFrame:
+    """The k best of each variant (query_id, variant_no, ``id_col``, score), merged per query by the largest score, with rank."""
+    best = [F.desc(F.round("score", 9)), F.col(id_col)]
     cut = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "variant_no").orderBy(*best))).where(F.col("r") <= k)
     merged = cut.groupBy("query_id", id_col).agg(F.max("score").alias("score"))
     return merged.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best)))

@@ -157,8 +157,10 @@ def embed(rows: DataFrame, text_col: str, embedder: Embedder, out_col: str = "em
     @F.arrow_udf("array<float>")
     def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = [list(map(float, v)) for x in encoded([t or "" for t in texts.to_pylist()], batch) for v in x]
-            yield pa.array(rows, pa.list_(pa.float32()))
+            x = [np.asarray(v, dtype=np.float32) for v in encoded([t or "" for t in texts.to_pylist()], batch)]
+            width = x[0].shape[1] if x else 0
+            offsets = pa.array(np.arange(len(texts) + 1) * width, pa.int32())
+            yield pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([v.ravel() for v in x]) if x else [], pa.float32()))
 
     return rows.withColumn(out_col, vectors(F.col(text_col)))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import traceback
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 from pathlib import Path
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import basename, clean_text, extension, file_type
 from ..providers import NoExtractor, TextExtractor
+from . import walk
 
 #: Directories whose files are never read. Fixed values.
 EXCLUDED_DIRS = (".venv", "venv", ".git", ".hg", ".svn", "node_modules", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", "dist", "build", ".eggs")
@@ -31,7 +32,10 @@ def check_root(folder: str, spark: SparkSession | None = None) -> str:
         fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
             raise ValueError(f"not a folder: {folder}")
-        if at.getParent() is None or fs.makeQualified(at).toString() == fs.makeQualified(fs.getHomeDirectory()).toString():
+        whole, home = fs.makeQualified(at), fs.makeQualified(fs.getHomeDirectory())
+        while home is not None and home.toString() != whole.toString():  # the home folder, then those above it
+            home = home.getParent()
+        if at.getParent() is None or home is not None:
             raise ValueError(f"refusing to index {folder}")
         return folder
     path, home = Path(folder.removeprefix("file://")).resolve(), Path.home().resolve()
@@ -42,6 +46,20 @@ def check_root(folder: str, spark: SparkSession | None = None) -> str:
     return str(path)
 
 
+def find_files(spark: SparkSession, root: str, recurse: bool = True, excluded: Iterable[str] = EXCLUDED_DIRS) -> DataFrame:
+    """path, name, ext, size, modified of the files under ``root``, without entering excluded directories."""
+    if not walk.opens(root):
+        return list_files(spark, root, recurse=recurse, excluded=excluded).drop("content")
+    found = walk.walked(spark, root if "://" in root else str(Path(root).resolve()), recurse, excluded)
+    return found.select("path", basename(F.col("path")).alias("name"), extension(F.col("path")).alias("ext"), "size", "modified")
+
+
+def arriving(spark: SparkSession, root: str, recurse: bool = True, excluded: Iterable[str] = EXCLUDED_DIRS, files_per_batch: int = 1000) -> DataFrame:
+    """As :func:`find_files`, as a stream of the files that arrive."""
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", recurse)
+    return _described(reader.load(root), root, excluded).drop("content")
+
+
 def list_files(spark: SparkSession, root: str, extensions: Iterable[str] | None = None, recurse: bool = True, excluded: Iterable[str] = EXCLUDED_DIRS) -> DataFrame:
     """path, name, ext, size, modified, content of the files under ``root``. Unless content is used, Spark reads
     metadata only."""
@@ -49,13 +67,76 @@ def list_files(spark: SparkSession, root: str, extensions: Iterable[str] | None
     reader = spark.read.format("binaryFile")
     if recurse:
         reader = reader.option("recursiveFileLookup", True)
-    rows = reader.load(root).select("path", basename(F.col("path")).alias("name"), extension(F.col("path")).alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+    rows = _described(reader.load(root), root, excluded)
+    return rows if extensions is None else rows.where(F.col("ext").isin([e.lower() for e in extensions]))
+
+
+def _described(read: DataFrame, root: str, excluded: Iterable[str]) -> DataFrame:
+    rows = read.select("path", basename(F.col("path")).alias("name"), extension(F.col("path")).alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
     # Folders between the root and the file: what follows the root's own path.
     whole = root.partition("://")[2].partition("/")[2] if "://" in root else root
     depth = len([p for p in Path(whole).parts if p != "/"])
     inside = F.split(F.regexp_replace(F.col("path"), "^[a-z0-9+.-]+:(//[^/]*)?/*", ""), "/")
-    rows = rows.where(~F.arrays_overlap(F.slice(inside, depth + 1, 1_000), F.array(*[F.lit(d) for d in excluded])))
-    return rows if extensions is None else rows.where(F.col("ext").isin([e.lower() for e in extensions]))
+    return rows.where(~F.arrays_overlap(F.slice(inside, depth + 1, 1_000), F.array(*[F.lit(d) for d in excluded])))
+
+
+#: What extraction adds to a file, and what looking at one does.
+TAKEN = "text string, error string, message string, traceback string"
+LOOKED = "file_hash string, openable boolean, pages int, has_form boolean, why string, looked boolean, unread string"
+
+
+def _taken(engine: TextExtractor, kind: str, content: Callable[[], bytes]) -> tuple:
+    try:
+        return _extract(engine, kind, content()), None, None, None
+    except Exception as e:  # one bad file must not end the run: its row says why
+        return None, type(e).__name__, str(e), traceback.format_exc()
+
+
+def _by_path(files: DataFrame, added: str, run: Callable[[str, str], tuple]) -> DataFrame:
+    """``files`` (path, ext, size, ...) with what ``run`` makes of each path and kind of route, in the task that opens it."""
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema]
+
+    def rows(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for i in range(batch.num_rows):  # a file's text may be long: each goes on by itself
+                one = batch.slice(i, 1)
+                made = run(one.column(0)[0].as_py(), one.column(1)[0].as_py())
+                yield pa.RecordBatch.from_arrays([*one.columns[2:], *(pa.array([x], t) for x, t in zip(made, types, strict=True))], names)
+
+    empty = files.sparkSession.createDataFrame([], added)
+    names = [*files.columns, *empty.columns]
+    types = [{"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}[f.dataType.simpleString()] for f in empty.schema]
+    sent = walk.dealt(files).select(F.col("path").alias("_p"), route(F.col("ext")).alias("_k"), *files.columns)
+    return sent.mapInArrow(rows, ", ".join(kinds) + ", " + added)
+
+
+def extract_paths(files: DataFrame, extractor: TextExtractor | None = None) -> DataFrame:
+    """As :func:`extract_text`, for files (path, ext, size, ...) that tasks open by their paths: no other file is read, and
+    no content leaves its task."""
+    engine = extractor or NoExtractor()
+    done = _by_path(files, TAKEN, lambda path, kind: _taken(engine, kind, lambda: walk.read_file(path)))
+    return done.withColumn("text", clean_text(F.col("text")))
+
+
+def look_at(files: DataFrame, extractor: TextExtractor | None = None) -> DataFrame:
+    """``files`` (path, ext, size, ...) with their SHA-256 and, if the extractor can ``inspect``, what rules ask of PDFs. Files
+    are read in pieces; ``unread`` names the error of one that can't be."""
+    look = getattr(extractor, "inspect", None)
+
+    def run(path: str, kind: str) -> tuple:
+        try:
+            found = walk.file_sha256(path)
+            if kind != "pdf" or look is None:
+                return found, None, None, None, None, look is not None, None
+            content = walk.read_file(path)
+        except OSError as e:
+            return None, None, None, None, None, False, type(e).__name__
+        try:
+            return found, True, *look(content), None, True, None
+        except (OSError, RuntimeError, ValueError) as e:
+            return found, False, None, None, str(e), True, None
+
+    return _by_path(files, LOOKED, run)
 
 
 class _Text(HTMLParser):
@@ -107,19 +188,10 @@ def extract_text(files: DataFrame, extractor: TextExtractor | None = None) -> Da
     """
     engine = extractor or NoExtractor()
 
-    @F.arrow_udf("text string, error string, message string, traceback string")
+    @F.arrow_udf(TAKEN)
     def extract(kinds: pa.Array, contents: pa.Array) -> pa.Array:
-        texts, errors = [], []
-        none = (None, None, None)
-        for kind, content in zip(kinds.to_pylist(), contents.to_pylist(), strict=True):
-            try:
-                texts.append(_extract(engine, kind, content or b""))
-                errors.append(none)
-            except Exception as e:  # one bad file must not end the run: its row says why
-                texts.append(None)
-                errors.append((type(e).__name__, str(e), traceback.format_exc()))
-        columns = [pa.array(texts, pa.string()), *(pa.array([e[i] for e in errors], pa.string()) for i in range(3))]
-        return pa.StructArray.from_arrays(columns, ["text", "error", "message", "traceback"])
+        rows = [_taken(engine, kind, lambda c=content: c or b"") for kind, content in zip(kinds.to_pylist(), contents.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], ["text", "error", "message", "traceback"])
 
     done = files.withColumn("_x", extract(route(F.col("ext")), F.col("content")))
     return done.withColumn("text", clean_text(F.col("_x.text"))).select("*", "_x.error", "_x.message", "_x.traceback").drop("_x", "content")

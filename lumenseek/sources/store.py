@@ -4,15 +4,21 @@ A run adds folders (parts) to the tables and then a manifest with the next numbe
 manifest with the largest number is the state. So a run writes what is new, readers never see tables of
 different runs, and a run that ends early leaves only folders that no manifest names. Tables of many small
 parts are written anew as one (``PARTS``). Rows carry keys; nothing depends on positions.
+
+Rows also carry the number of the manifest that they came with (``epoch``). What is deleted is named by tombstones
+(file_hash, chunk_id, epoch): a row is dead if a tombstone of its key has its epoch or a later one, so content that comes
+back after it was deleted lives. Tables leave dead rows out when they are read, and lose them when they are written anew.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
+import time
 import uuid
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +31,17 @@ CHUNKS = T.StructType([
     T.StructField("file_type", T.StringType()), T.StructField("total_chunks", T.IntegerType()),
 ])
 LEDGER = "file_hash string, filename string"
+TOMBS = "file_hash string, chunk_id string, epoch long"
+#: What is known of a file without opening it again: a file of the same path, size and time is taken to be the same.
+PRINTS = "path string, size long, modified timestamp, file_hash string, openable boolean, pages int, has_form boolean, why string, looked boolean"
 #: Parts of a table, beyond which the next run writes it as one.
 PARTS = 32
 _NUMBER = re.compile(r"manifest-(\d+)\.json")
 
 
-TABLES = ("chunks", "ledger", "vectors", "postings", "centroids", "terms")
+TABLES = ("chunks", "ledger", "vectors", "postings", "centroids", "terms", "shapes", "tombs", "prints")
+#: Manifests that stay readable, and how old a folder must be that none of them names, before a vacuum deletes it.
+RETAINED, AGE_S = 2, 86_400.0
 
 
 class ConcurrentRun(RuntimeError):
@@ -39,15 +50,27 @@ class ConcurrentRun(RuntimeError):
 
 @dataclass
 class Manifest:
-    """Folders of each table, under the store's root."""
+    """Folders of each table, under the store's root, and what is known of them: how many chunks live and how many are dead,
+    the sums of the keyword index (n, len, mean), and the last batch of each stream."""
 
     number: int = 0
     chunks: list[str] = field(default_factory=list)
     ledger: list[str] = field(default_factory=list)
     vectors: list[str] = field(default_factory=list)
     postings: list[str] = field(default_factory=list)
+    terms: list[str] = field(default_factory=list)
+    tombs: list[str] = field(default_factory=list)
+    prints: list[str] = field(default_factory=list)
     centroids: str | None = None
-    terms: str | None = None
+    shape: str | None = None
+    words: dict = field(default_factory=dict)
+    n_chunks: int = 0
+    n_dead: int = 0
+    batches: dict[str, int] = field(default_factory=dict)
+
+    def folders(self) -> set[str]:
+        lists = (self.chunks, self.ledger, self.vectors, self.postings, self.terms, self.tombs, self.prints)
+        return {p for parts in lists for p in parts} | {p for p in (self.centroids, self.shape) if p}
 
 
 class Store:
@@ -63,16 +86,20 @@ class Store:
     def exists(self, name: str) -> bool:
         return self._fs().exists(self._path(f"{self.root}/{name}"))
 
-    def manifest(self) -> Manifest | None:
-        """The state, or None before the first run."""
+    def numbers(self) -> list[int]:
+        """Numbers of the manifests that are there."""
         fs, folder = self._fs(), self._path(f"{self.root}/manifests")
-        if not fs.exists(folder):
-            return None
-        names = [_NUMBER.fullmatch(f.getPath().getName()) for f in fs.listStatus(folder)]
-        numbers = [int(m[1]) for m in names if m]
-        if not numbers:
-            return None
-        text = "".join(r.value for r in self.spark.read.text(f"{self.root}/manifests/manifest-{max(numbers)}.json").collect())
+        names = [_NUMBER.fullmatch(f.getPath().getName()) for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(int(m[1]) for m in names if m)
+
+    def manifest(self, number: int | None = None) -> Manifest | None:
+        """The state, or None before the first run; with a number, an earlier one that is retained."""
+        if number is None:
+            numbers = self.numbers()
+            if not numbers:
+                return None
+            number = numbers[-1]
+        text = "".join(r.value for r in self.spark.read.text(f"{self.root}/manifests/manifest-{number}.json").collect())
         return Manifest(**json.loads(text))
 
     def new_part(self, table: str) -> str:
@@ -86,19 +113,56 @@ class Store:
         return name
 
     def commit(self, state: Manifest) -> Manifest:
-        """Makes ``state`` current, as the successor of the manifest that it was made from. The file is written aside
-        and appears under its number by one rename, which does not replace."""
+        """Makes ``state`` current, as the successor of the manifest that it was made from. The file is written aside and
+        appears under its number whole: by a hard link on a local disk, else by a rename; neither replaces a file. (Stores
+        of objects that copy when they rename need one writer at a time.)"""
         state = Manifest(**{**vars(state), "number": state.number + 1})
         fs, target = self._fs(), self._path(f"{self.root}/manifests/manifest-{state.number}.json")
         aside = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}")
         out = fs.create(aside, True)
         out.write(bytearray((json.dumps(vars(state)) + "\n").encode()))
         out.close()
-        if fs.exists(target) or not fs.rename(aside, target):
+        try:
+            taken = not self._appears(fs, aside, target)
+        finally:
             fs.delete(aside, False)
+        if taken:
             raise ConcurrentRun(f"manifest {state.number} is there already")
         return state
 
+    def _appears(self, fs, aside, target) -> bool:
+        if fs.makeQualified(target).toUri().getScheme() != "file":
+            return not fs.exists(target) and fs.rename(aside, target)
+        local = [fs.makeQualified(p).toUri().getPath() for p in (aside, target)]
+        try:
+            os.link(*local)  # the driver's own disk; fails if the name is taken
+        except FileExistsError:
+            return False
+        return True
+
+    def vacuum(self, retain: int = RETAINED, older_than_s: float = AGE_S) -> list[str]:
+        """Deletes the manifests before the last ``retain``, and folders that no other manifest names: parts that a later one
+        replaced, and what runs left that ended early. What is younger than ``older_than_s`` stays, as a run may be writing
+        it or a reader may have begun with it. Names of what is gone. Folders are listed by the driver: there are as many as
+        runs since the last vacuum."""
+        fs, numbers = self._fs(), self.numbers()
+        before = (time.time() - older_than_s) * 1000
+        aged = lambda f: f.getModificationTime() <= before
+        # A manifest goes only if it is old itself: all that stay keep what they name.
+        old = [n for n in (numbers[:-retain] if retain else numbers[:-1]) if aged(fs.getFileStatus(self._path(f"{self.root}/manifests/manifest-{n}.json")))]
+        named = set().union(*[self.manifest(n).folders() for n in numbers if n not in old])
+        gone = [f"manifests/manifest-{n}.json" for n in old]
+        for table in (*TABLES, "work", "manifests"):
+            folder = self._path(f"{self.root}/{table}")
+            for f in fs.listStatus(folder) if fs.exists(folder) else []:
+                name = f"{table}/{f.getPath().getName()}"
+                left = f.getPath().getName().startswith(".") if table == "manifests" else name not in named
+                if left and aged(f):
+                    gone.append(name)
+        for name in gone:  # manifests first: none of them ever names what is gone
+            self.delete(name)
+        return gone
+
     def reset(self) -> None:
         """Deletes the state, the manifests first."""
         for name in ("manifests", *TABLES):
@@ -114,23 +178,39 @@ class Store:
 
     def read_each(self, parts: list[str]) -> DataFrame:
         """As :meth:`read`, for parts that are partitioned folders."""
-        return reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.root}/{p}") for p in parts])
-
-    def chunks(self) -> DataFrame:
+        return reduce(partial(DataFrame.unionByName, allowMissingColumns=True), [self.spark.read.parquet(f"{self.root}/{p}") for p in parts])
+
+    def living(self, rows: DataFrame, at: Manifest | None, key: str, name: str | None = None) -> DataFrame:
+        """Rows (with epoch, where they have one) without those that are dead, and without epoch. ``key``, file_hash or
+        chunk_id, is in their column ``name``."""
+        if at is None or not at.tombs:
+            return rows.drop("epoch")
+        dead = self.read(at.tombs, TOMBS).where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_dead")).agg(F.max("epoch").alias("_until"))
+        rows = rows if "epoch" in rows.columns else rows.withColumn("epoch", F.lit(0).cast("long"))
+        return rows.join(dead, (F.col(name or key) == F.col("_dead")) & (F.coalesce("epoch", F.lit(0)) <= F.col("_until")), "left_anti").drop("epoch")
+
+    def chunks(self, at: Manifest | None = None) -> DataFrame:
         """Chunk table; empty before the first run. A missing column: ValueError."""
-        at = self.manifest()
-        return read_chunks(self.spark, *[f"{self.root}/{p}" for p in at.chunks]) if at and at.chunks else self.spark.createDataFrame([], CHUNKS)
+        at = at or self.manifest()
+        if not at or not at.chunks:
+            return self.spark.createDataFrame([], CHUNKS)
+        return self.living(read_chunks(self.spark, *[f"{self.root}/{p}" for p in at.chunks], epoch=bool(at.tombs)), at, "file_hash")
+
+    def ledger(self, at: Manifest | None = None) -> DataFrame:
+        at = at or self.manifest()
+        return self.living(self.read(at.ledger, LEDGER + ", epoch long"), at, "file_hash") if at and at.ledger else self.spark.createDataFrame([], LEDGER)
 
-    def ledger(self) -> DataFrame:
-        at = self.manifest()
-        return self.read(at.ledger, LEDGER) if at and at.ledger else self.spark.createDataFrame([], LEDGER)
+    def prints(self, at: Manifest | None = None) -> DataFrame:
+        """What is known of files, a row for each path, size and time."""
+        at = at or self.manifest()
+        return self.read(at.prints, PRINTS) if at and at.prints else self.spark.createDataFrame([], PRINTS)
 
 
-def read_chunks(spark: SparkSession, *paths: str) -> DataFrame:
+def read_chunks(spark: SparkSession, *paths: str, epoch: bool = False) -> DataFrame:
     found = spark.read.parquet(*paths)
     if missing := [n for n in CHUNKS.names if n not in found.columns]:
         raise ValueError(f"chunk table lacks {', '.join(missing)}: ingest again")
-    return found.select(*CHUNKS.names)
+    return found.select(*CHUNKS.names, *(["epoch"] if epoch and "epoch" in found.columns else []))
 
 
 def read_ledger_text(spark: SparkSession, path: str) -> DataFrame:

@@ -23,3 +23,10 @@ def ingest_stream(spark: SparkSession, folder: str, schema: str, checkpoint: str
         reader = reader.option("pathGlobFilter", glob)
     new = unseen_documents(reader.parquet(folder))
     return new.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def into(stream: DataFrame, take: Callable[[DataFrame, int], object], checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Hands each batch of a stream and its number to ``take``, which must leave out a number that it has stored. ``once``: what
+    has arrived, in batches, then it stops."""
+    writer = stream.writeStream.foreachBatch(lambda rows, number: take(rows, number) and None).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

@@ -208,18 +208,10 @@ def test_a_run_that_ends_early_changes_nothing(spark, folder, tmp_path, monkeypa
     before = engine.store.manifest()
     (folder / "new.html").write_text("<p>Tidal plants use the moon.</p>")
 
-    class NoRename:
-        def __init__(self, fs):
-            self.fs = fs
+    def killed(*args):
+        raise RuntimeError("killed")
 
-        def __getattr__(self, name):
-            return getattr(self.fs, name)
-
-        def rename(self, *paths):
-            raise RuntimeError("killed")
-
-    real = store.Store._fs
-    monkeypatch.setattr(store.Store, "_fs", lambda self: NoRename(real(self)))
+    monkeypatch.setattr(store.Store, "_appears", killed)
     with pytest.raises(RuntimeError, match="killed"):
         engine.ingest(str(folder))
     monkeypatch.undo()
