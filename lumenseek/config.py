@@ -44,14 +44,19 @@ class Settings:
     temperature: float = 0.1
     top_p: float = 0.9
     max_tokens: int = 500
+    expansion_timeout: int = 30
+    expansion_temperature: float = 0.7
+    expansion_top_p: float = 0.9
+    expansion_max_tokens: int = 150
+    model_calls: int = 4
     extra: dict = field(default_factory=dict, compare=False)
 
     def __post_init__(self):
         object.__setattr__(self, "index_type", index_kind(self.index_type))
-        for name in ("batch_size", "nlist", "nprobe", "base_dpi", "default_top_k", "query_expansion_count", "rerank_top_k", "request_timeout", "max_tokens", "batch_size_retry_divisor"):
+        for name in ("batch_size", "nlist", "nprobe", "base_dpi", "default_top_k", "query_expansion_count", "rerank_top_k", "request_timeout", "max_tokens", "batch_size_retry_divisor", "expansion_timeout", "expansion_max_tokens", "model_calls"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive")
-        for name, most in (("hybrid_alpha", 1.0), ("top_p", 1.0), ("temperature", 2.0)):
+        for name, most in (("hybrid_alpha", 1.0), ("top_p", 1.0), ("temperature", 2.0), ("expansion_top_p", 1.0), ("expansion_temperature", 2.0)):
             if not 0 <= getattr(self, name) <= most:
                 raise ValueError(f"{name} must be between 0 and {most}")
         if self.chunk_size < 1 or self.chunk_overlap < 0:

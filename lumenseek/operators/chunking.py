@@ -73,10 +73,23 @@ def recursive_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP,
 
 
 def register_chunker(spark: SparkSession, name: str = "split_chunks") -> None:
-    """A table function for SQL: ``SELECT ... FROM docs, LATERAL split_chunks(text, size, overlap)``."""
+    """Table functions for SQL. For whole tables, in batches: ``SELECT * FROM split_chunks_table(TABLE(SELECT key, text, size,
+    overlap FROM ...))``, whose rows have the key (a string) of the text that they are of. For single texts, row by row, as
+    Spark joins no batches laterally: ``SELECT ... FROM docs, LATERAL split_chunks(text, size, overlap)``."""
 
     class Chunker:
         def eval(self, text: str | None, size: int, overlap: int) -> Iterator[tuple[int, str]]:
             yield from enumerate(split_recursively(text.strip(), size, overlap) if text and text.strip() else [])
 
+    class TableChunker:
+        def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+            texts, sizes, overlaps = (batch.column(c).to_pylist() for c in ("text", "size", "overlap"))
+            found = [split_recursively(t.strip(), s, o) if t and t.strip() else [] for t, s, o in zip(texts, sizes, overlaps, strict=True)]
+            rows = pa.array([i for i, c in enumerate(found) for _ in c], pa.int64())
+            yield pa.table({
+                "key": batch.column("key").cast(pa.string()).take(rows),
+                "chunk_index": pa.array([i for c in found for i in range(len(c))], pa.int32()), "text": pa.array([x for c in found for x in c], pa.string()),
+            })
+
     spark.udtf.register(name, F.udtf(Chunker, returnType="chunk_index int, text string"))
+    spark.udtf.register(f"{name}_table", F.arrow_udtf(TableChunker, returnType="key string, chunk_index int, text string"))

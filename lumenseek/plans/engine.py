@@ -25,7 +25,7 @@ from ..operators import chunking, context, ledger, retrieval, skipping
 from ..operators.bm25 import Bm25Index, bm25_search, build_bm25, moved_counts, shape_mean
 from ..operators.vector_index import VectorIndex, needs_retraining, trainable, write_vectors
 from ..operators.visualize import visualize
-from ..providers import Embedder, ExtractiveModel, HashingEmbedder, LanguageModel, Reranker, TextExtractor, embed, generate_column, rerank_column
+from ..providers import Embedder, ExtractiveModel, HashingEmbedder, LanguageModel, Reranker, TextExtractor, embed, for_purpose, generate_column, rerank_column
 from ..sources import files, store, walk
 from ..streaming import ingest
 
@@ -117,8 +117,8 @@ class Engine:
         seen = {c: F.col(c) for c in ("openable", "pages", "has_form", "why")} if inspects else {}
         reason = skipping.skip_reason(
             F.col("name"), F.col("ext"), F.col("size"), F.col("seen"), s.skip_files, allowed, s.max_file_mb, max_pages=s.max_pdf_pages, skip_forms=s.skip_form_pdfs, **seen)
-        judged = kept(ledger.mark_seen(listed, known).withColumn("reason", reason).select("path", "ext", "size", "file_hash", "file_type", "reason", "unread"), "judged")
-        new = judged.where("reason is null and file_hash is not null").groupBy("file_hash").agg(F.min_by(F.struct("path", "ext", "size", "file_type"), "path").alias("f")).select("f.path", "f.ext", "f.size", "file_hash", "f.file_type")
+        judged = kept(ledger.mark_seen(listed, known).withColumn("reason", reason).select("path", "ext", "size", "file_hash", "file_type", "pages", "reason", "unread"), "judged")
+        new = judged.where("reason is null and file_hash is not null").groupBy("file_hash").agg(F.min_by(F.struct("path", "ext", "size", "file_type", "pages"), "path").alias("f")).select("f.path", "f.ext", "f.size", "file_hash", "f.file_type", "f.pages")
         taken = kept(self._extract(folder, new).select("path", "file_hash", "file_type", "text", "error", "message", "traceback"), "taken")
         texts = taken.where("error is null").select(F.col("path").alias("source"), "file_hash", "file_type", "text")
         n = self._write(texts, drop, looked.where("file_hash is not null"), batch)
@@ -362,7 +362,7 @@ class Engine:
         if not s.enable_query_expansion or isinstance(self.model, ExtractiveModel) or not self._available():
             return retrieval.query_variants(queries.withColumn("variants", F.lit(None).cast("array<string>")), 0)
         prompt = F.concat(F.lit(f"Write {s.query_expansion_count} different ways to ask, one a line:\n"), "query")
-        rows = queries.withColumn("answer", generate_column(self.model, prompt))
+        rows = queries.withColumn("answer", generate_column(for_purpose(self.model, "expansion"), prompt, s.model_calls))
         rows = rows.withColumn("variants", F.when(F.col("answer").startswith("Warning:"), F.array().cast("array<string>")).otherwise(parse_expansions(F.col("answer"), s.query_expansion_count)))
         # Written, as a model may answer differently when it is asked again; a vacuum deletes it.
         return self.store.read([self.store.write(retrieval.query_variants(rows, s.query_expansion_count), "work")], "query_id long, variant_no int, variant string")
@@ -404,7 +404,7 @@ class Engine:
         prompts = context.build_prompt(context.build_context(hits), queries)
         source = F.struct("rank", "source", "chunk_index", "total_chunks", "score")
         named = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(source)).alias("sources"))
-        said = prompts.select("query_id", generate_column(self.model, F.col("prompt")).alias("answer"))
+        said = prompts.select("query_id", generate_column(self.model, F.col("prompt"), self.settings.model_calls).alias("answer"))
         out = queries.select("query_id", "query").join(said, "query_id", "left").join(named, "query_id", "left")
         return out.withColumn("answer", F.coalesce("answer", F.lit(context.NO_ANSWER)))
 

@@ -6,6 +6,7 @@ rerankers, OCR engines and language models are written against the same protocol
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import json
 import re
@@ -14,6 +15,7 @@ import urllib.error
 import urllib.request
 import warnings
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import numpy as np
@@ -37,7 +39,8 @@ class Reranker(Protocol):
 class TextExtractor(Protocol):
     """PDF and image text. ``pages`` gives, for each page: its text layer, the text of its embedded images, and the
     text of the rendered page; the latter two as strings, or as functions, called only for a page whose text
-    layer doesn't serve. An extractor may also have ``inspect(content)``: pages, and whether a PDF has a form."""
+    layer doesn't serve. An extractor may also have ``inspect(content)``: pages, and whether a PDF has a form; and
+    ``page_range(content, first, count)``: as ``pages``, of some pages alone, so that tasks can share a long PDF."""
 
     def pages(self, content: bytes) -> Iterable[tuple[str, str | Callable[[], str], str | Callable[[], str]]]: ...
 
@@ -101,11 +104,21 @@ class HttpModel:
     def __init__(self, url: str, model: str, timeout: float = 180.0, options: dict | None = None, attempts: int = 3):
         self.url, self.model, self.timeout, self.options, self.attempts = url.rstrip("/"), model, timeout, options or {}, attempts
         self._available: bool | None = None
+        self._given, self.purposes = dict(self.options), {}
 
     def configure(self, settings) -> None:
-        """Takes the request's time limit and the sampling options from the settings."""
+        """Takes the request's time limit and the sampling options, and those for expansion, from the settings; options that
+        the model was made with stay."""
         self.timeout = float(settings.request_timeout)
-        self.options = {"temperature": settings.temperature, "top_p": settings.top_p, "num_predict": settings.max_tokens, **self.options}
+        self.options = {"temperature": settings.temperature, "top_p": settings.top_p, "num_predict": settings.max_tokens, **self._given}
+        wider = {"temperature": settings.expansion_temperature, "top_p": settings.expansion_top_p, "num_predict": settings.expansion_max_tokens}
+        self.purposes = {"expansion": (float(settings.expansion_timeout), {**wider, **self._given})}
+
+    def for_purpose(self, purpose: str) -> HttpModel:
+        """The same model with the time limit and options of a purpose."""
+        out = copy.copy(self)
+        out.timeout, out.options = self.purposes.get(purpose, (self.timeout, self.options))
+        return out
 
     def _call(self, path: str, body: dict | None = None) -> dict:
         data = None if body is None else json.dumps(body).encode()
@@ -180,17 +193,27 @@ def rerank_column(reranker: Reranker) -> Column:
     return scores(F.col("query"), F.col("text"))
 
 
-def generate_column(model: LanguageModel, prompt: Column) -> Column:
-    """A model's answer to each prompt, where the rows are. A model that raises answers with a warning."""
+def for_purpose(model: LanguageModel, purpose: str) -> LanguageModel:
+    """The model with its options for a purpose, where it has such."""
+    special = getattr(model, "for_purpose", None)
+    return model if special is None else special(purpose)
+
+
+def generate_column(model: LanguageModel, prompt: Column, calls: int = 1) -> Column:
+    """A model's answer to each prompt, where the rows are. A model that raises answers with a warning. Of a batch's equal
+    prompts one is asked, and up to ``calls`` at once (a model's own limit: servers queue what they can't take)."""
+
+    def answer(prompt: str) -> str:
+        try:
+            return str(model.generate(prompt))
+        except Exception as e:
+            return f"Warning: the language model failed ({e})"
 
     @F.arrow_udf("string")
     def answers(prompts: pa.Array) -> pa.Array:
-        out = []
-        for p in prompts.to_pylist():
-            try:
-                out.append(None if p is None else str(model.generate(p)))
-            except Exception as e:
-                out.append(f"Warning: the language model failed ({e})")
-        return pa.array(out, pa.string())
+        asked = list(dict.fromkeys(p for p in prompts.to_pylist() if p is not None))
+        with ThreadPoolExecutor(max_workers=max(1, calls)) as pool:
+            said = dict(zip(asked, pool.map(answer, asked), strict=True))
+        return pa.array([said.get(p) for p in prompts.to_pylist()], pa.string())
 
     return answers(prompt)

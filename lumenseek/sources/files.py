@@ -80,6 +80,8 @@ def _described(read: DataFrame, root: str, excluded: Iterable[str]) -> DataFrame
     return rows.where(~F.arrays_overlap(F.slice(inside, depth + 1, 1_000), F.array(*[F.lit(d) for d in excluded])))
 
 
+#: Pages of a PDF that one task takes; a longer one is shared out, if the extractor can open a range of pages.
+PAGES = 32
 #: What extraction adds to a file, and what looking at one does.
 TAKEN = "text string, error string, message string, traceback string"
 LOOKED = "file_hash string, openable boolean, pages int, has_form boolean, why string, looked boolean, unread string"
@@ -92,21 +94,22 @@ def _taken(engine: TextExtractor, kind: str, content: Callable[[], bytes]) -> tu
         return None, type(e).__name__, str(e), traceback.format_exc()
 
 
-def _by_path(files: DataFrame, added: str, run: Callable[[str, str], tuple]) -> DataFrame:
-    """``files`` (path, ext, size, ...) with what ``run`` makes of each path and kind of route, in the task that opens it."""
+def _by_path(files: DataFrame, added: str, run: Callable[[str, str, int], tuple], first: str | None = None) -> DataFrame:
+    """``files`` (path, ext, size, ...) with what ``run`` makes of each path, kind of route and number in the column ``first``,
+    in the task that opens it."""
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema]
 
     def rows(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for i in range(batch.num_rows):  # a file's text may be long: each goes on by itself
                 one = batch.slice(i, 1)
-                made = run(one.column(0)[0].as_py(), one.column(1)[0].as_py())
-                yield pa.RecordBatch.from_arrays([*one.columns[2:], *(pa.array([x], t) for x, t in zip(made, types, strict=True))], names)
+                made = run(*(one.column(j)[0].as_py() for j in range(3)))
+                yield pa.RecordBatch.from_arrays([*one.columns[3:], *(pa.array([x], t) for x, t in zip(made, types, strict=True))], names)
 
     empty = files.sparkSession.createDataFrame([], added)
     names = [*files.columns, *empty.columns]
     types = [{"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}[f.dataType.simpleString()] for f in empty.schema]
-    sent = walk.dealt(files).select(F.col("path").alias("_p"), route(F.col("ext")).alias("_k"), *files.columns)
+    sent = walk.dealt(files).select(F.col("path").alias("_p"), route(F.col("ext")).alias("_k"), (F.col(first) if first else F.lit(0)).alias("_n"), *files.columns)
     return sent.mapInArrow(rows, ", ".join(kinds) + ", " + added)
 
 
@@ -114,16 +117,38 @@ def extract_paths(files: DataFrame, extractor: TextExtractor | None = None) -> D
     """As :func:`extract_text`, for files (path, ext, size, ...) that tasks open by their paths: no other file is read, and
     no content leaves its task."""
     engine = extractor or NoExtractor()
-    done = _by_path(files, TAKEN, lambda path, kind: _taken(engine, kind, lambda: walk.read_file(path)))
+    many = F.coalesce(F.col("pages") > PAGES, F.lit(False)) if "pages" in files.columns and hasattr(engine, "page_range") else F.lit(False)
+    done = _by_path(files.where(~many), TAKEN, lambda path, kind, first: _taken(engine, kind, lambda: walk.read_file(path)))
+    if "pages" in files.columns and hasattr(engine, "page_range"):
+        done = done.unionByName(_in_ranges(files.where(many), engine))
     return done.withColumn("text", clean_text(F.col("text")))
 
 
+def _in_ranges(files: DataFrame, engine: TextExtractor) -> DataFrame:
+    """Long PDFs, ``PAGES`` pages a row and task, put together in order of the pages. A page that fails is left out; a range
+    that can't be opened fails its file, as a whole file would."""
+    ranges = files.withColumn("_first", F.explode(F.sequence(F.lit(0), F.col("pages") - 1, F.lit(PAGES))))
+
+    def some(path: str, kind: str, first: int) -> tuple:
+        try:
+            return _joined(engine.page_range(walk.read_file(path), first, PAGES)), None, None, None
+        except Exception as e:  # as in _taken
+            return None, type(e).__name__, str(e), traceback.format_exc()
+
+    read = _by_path(ranges, TAKEN, some, "_first")
+    failed = F.min_by(F.struct("error", "message", "traceback"), F.when(F.col("error").isNotNull(), F.col("_first")))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("_first", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
+    whole = read.groupBy(*files.columns).agg(failed.alias("_e"), F.array_join(texts, "\n").alias("text"))
+    error = F.when(F.col("_e.error").isNotNull(), F.col("_e"))
+    return whole.select(*files.columns, F.when(error.isNull(), F.col("text")).alias("text"), error["error"].alias("error"), error["message"].alias("message"), error["traceback"].alias("traceback"))
+
+
 def look_at(files: DataFrame, extractor: TextExtractor | None = None) -> DataFrame:
     """``files`` (path, ext, size, ...) with their SHA-256 and, if the extractor can ``inspect``, what rules ask of PDFs. Files
     are read in pieces; ``unread`` names the error of one that can't be."""
     look = getattr(extractor, "inspect", None)
 
-    def run(path: str, kind: str) -> tuple:
+    def run(path: str, kind: str, first: int) -> tuple:
         try:
             found = walk.file_sha256(path)
             if kind != "pdf" or look is None:
@@ -210,8 +235,12 @@ def _extract(engine: TextExtractor, kind: str, content: bytes) -> str:
         return html_to_text(content.decode("utf-8", "ignore"))
     if kind == "image":
         return engine.image(content)
+    return _joined(engine.pages(content))
+
+
+def _joined(pages: Iterable) -> str:
     out = []
-    for native, *others in engine.pages(content):
+    for native, *others in pages:
         try:
             out.append(_page_text(native, others))
         except (MemoryError, OSError, RuntimeError, ValueError):  # the page is left out

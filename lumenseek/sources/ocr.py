@@ -6,6 +6,7 @@ pages have ``width``, ``height`` (points), ``render(dpi, clip) -> image`` and ``
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -109,7 +110,14 @@ class OcrExtractor:
     max_side: int = 2000
 
     def pages(self, content: bytes) -> Iterator[tuple[str, Callable[[], str], Callable[[], str]]]:
-        for page in self.open_pdf(content):
+        return self._each(self.open_pdf(content))
+
+    def page_range(self, content: bytes, first: int, count: int) -> Iterator[tuple[str, Callable[[], str], Callable[[], str]]]:
+        """As :meth:`pages`, of ``count`` pages from ``first`` on."""
+        return self._each(itertools.islice(self.open_pdf(content), first, first + count))
+
+    def _each(self, pages: Iterable[Any]) -> Iterator[tuple[str, Callable[[], str], Callable[[], str]]]:
+        for page in pages:
             dpi = page_dpi(page.width, page.height, self.max_pixels, self.max_side, self.base_dpi)
             yield page.text(), lambda p=page: self.recognizer.embedded(p), lambda p=page, d=dpi: self.recognizer.page(p, d)
 

@@ -149,3 +149,150 @@ def test_entry_goes_on_without_the_training_operators(monkeypatch):
     monkeypatch.setattr(importlib, "import_module", missing)
     assert set(__spark_entry__.queries()) == set(catalogue.queries()) and set(__spark_entry__.oracle_sql()) == set(catalogue.oracle_sql())
     assert "pipeline" not in __spark_entry__.queries() and sys.modules  # nothing else is asked of it
+
+
+# SQL functions and table functions
+
+
+def test_sql_functions_equal_columns(spark):
+    from lumenseek.functions import geometry, scores, sql
+    from lumenseek.functions import text as tx
+
+    assert set(sql.install(spark)) == set(sql.FUNCTIONS) and sql.install(spark)
+    texts = [None, "", "  ", "one", "a b c", "What is\tthe \x1fpoint of it all, really and truly now please tell", "x " * 60, "ab" * 90, "1. first line\n- second line\n* x\n2) third one here", "a/b\\c.tar.GZ", ".hidden", "dir.d/name", "long " * 80]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    pairs = {
+        "clean_text(t)": tx.clean_text(F.col("t")), "tokenize(t)": tx.tokens(F.col("t")), "text_usable(t)": tx.text_usable(F.col("t")), "base_name(t)": tx.basename(F.col("t")),
+        "file_extension(t)": tx.extension(F.col("t")), "file_type(t)": tx.file_type(F.col("t")), "text_preview(t)": tx.preview(F.col("t")), "parse_expansions(t, 2)": tx.parse_expansions(F.col("t"), 2),
+        "dynamic_alpha(t, 0.7D)": scores.dynamic_alpha(F.col("t"), 0.7), "dynamic_alpha(t, 0.05D)": scores.dynamic_alpha(F.col("t"), 0.05),
+    }
+    for text, column in pairs.items():
+        got = rows.select("i", F.expr(text).alias("a"), column.alias("b")).orderBy("i").collect()
+        assert [r.a for r in got] == [r.b for r in got], text
+    numbers = spark.createDataFrame([(0.2, 0.0, 3.0), (0.8, 1.0, 1.0), (0.55, 0.4, 0.9), (0.0, 792.0, 612.0), (612.0, 792.0, 5.0), (30000.0, 20.0, 1.0)], "x double, y double, z double")
+    pairs = {
+        "dense_rescale(x)": scores.dense_rescale(F.col("x")), "fuse_scores(z, x, y)": scores.fuse(F.col("z"), F.col("x"), F.col("y")), "vector_norm(array(x, y, z))": scores.l2_norm(F.array("x", "y", "z")),
+        "vector_normalize(array(x, y, z))": scores.l2_normalize(F.array("x", "y", "z")), "vector_dot(array(x, y), array(y, z))": scores.dot(F.array("x", "y"), F.array("y", "z")),
+        "safe_dpi(x, y, 400000, 2000, 150)": geometry.safe_dpi(F.col("x"), F.col("y"), 400_000, 2000), "safe_dpi(x, z, 90000, 300, 96)": geometry.safe_dpi(F.col("x"), F.col("z"), 90_000, 300, 96),
+        "min_max(x, min(x) OVER (), max(x) OVER ())": scores.minmax(F.col("x")),
+    }
+    for text, column in pairs.items():
+        got = numbers.select(F.expr(text).alias("a"), column.alias("b")).collect()
+        assert [r.a for r in got] == pytest.approx([r.b for r in got], rel=1e-12) if not isinstance(got[0].a, list) else [r.a for r in got] == [r.b for r in got], text
+    assert spark.sql("SELECT min_max(3D, 3D, 3D) AS x").first().x == 1.0
+    plan = rows.where("tokenize(t)[0] = 'one'")._jdf.queryExecution().executedPlan().toString()
+    assert "tokenize(" not in plan and "filter(split(lower" in plan  # the plan sees through it
+
+
+def test_table_functions_in_batches(spark):
+    from lumenseek.operators import chunking
+
+    chunking.register_chunker(spark)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40").select("doc_id", "text").unionByName(spark.createDataFrame([(98, None), (99, "  ")], "doc_id long, text string"))
+    docs.createOrReplaceTempView("chunked_docs")
+    want = sorted((r.doc_id, r.chunk_index, r.text) for r in chunking.recursive_chunks(docs, 300, 40).collect())
+    lateral = spark.sql("SELECT doc_id, c.chunk_index, c.text FROM chunked_docs d, LATERAL split_chunks(d.text, 300, 40) c")
+    table = spark.sql("SELECT CAST(key AS BIGINT) AS doc_id, chunk_index, text FROM split_chunks_table(TABLE(SELECT CAST(doc_id AS STRING) AS key, text, 300 AS size, 40 AS overlap FROM chunked_docs))")
+    for frame in (lateral, table):
+        assert sorted(map(tuple, frame.collect())) == want
+    assert "ArrowEvalPythonUDTF" in table._jdf.queryExecution().executedPlan().toString()
+
+
+# Model calls
+
+
+def test_model_calls_overlap_and_equal_prompts_are_asked_once(spark, tmp_path):
+    from lumenseek.providers import generate_column
+
+    log = str(tmp_path / "calls")
+
+    class Slow:
+        def generate(self, prompt):
+            with open(log, "a") as f:
+                f.write(f"{time.time()} b {prompt}\n")
+            time.sleep(0.3)
+            with open(log, "a") as f:
+                f.write(f"{time.time()} e {prompt}\n")
+            if prompt == "p3":
+                raise ValueError("no")
+            return prompt.upper()
+
+    rows = spark.createDataFrame([(i, f"p{i % 6}" if i != 7 else None) for i in range(24)], "i int, p string").coalesce(1)
+    got = {r.i: r.a for r in rows.select("i", generate_column(Slow(), F.col("p"), 3).alias("a")).collect()}
+    assert got[1] == "P1" and got[7] is None and got[3].startswith("Warning:")
+    events = [line.split() for line in open(log)]
+    assert sorted(p for _, kind, p in events if kind == "b") == [f"p{i}" for i in range(6)]
+    now = most = 0
+    for _, kind, _ in sorted(events):
+        now += 1 if kind == "b" else -1
+        most = max(most, now)
+    assert 1 < most <= 3
+
+
+def test_expansion_has_its_own_options():
+    from lumenseek.config import Settings
+    from lumenseek.providers import ExtractiveModel, HttpModel, for_purpose
+
+    model = HttpModel("http://127.0.0.1:9/", "m", options={"seed": 4})
+    model.configure(Settings(temperature=0.2, expansion_max_tokens=99))
+    model.configure(Settings(temperature=0.3))
+    assert model.options == {"temperature": 0.3, "top_p": 0.9, "num_predict": 500, "seed": 4} and model.timeout == 180
+    other = for_purpose(model, "expansion")
+    assert other.options == {"temperature": 0.7, "top_p": 0.9, "num_predict": 150, "seed": 4} and other.timeout == 30
+    assert for_purpose(model, "else").options == model.options
+    plain = ExtractiveModel()
+    assert for_purpose(plain, "expansion") is plain
+    with pytest.raises(ValueError):
+        Settings(expansion_temperature=3.0)
+
+
+# Pages
+
+
+def test_a_long_pdf_is_shared_out(spark, tmp_path):
+    from lumenseek.config import Settings
+    from lumenseek.plans.engine import Engine
+    from lumenseek.sources.ocr import OcrExtractor, Recognizer
+
+    root, log = tmp_path / "pdfs", tmp_path / "log"
+    root.mkdir()
+    log.mkdir()
+    (root / "long.pdf").write_bytes(b"2000")
+    (root / "short.pdf").write_bytes(b"3")
+
+    class Page:
+        width, height = 612, 792
+
+        def __init__(self, no):
+            self.no = no
+
+        def text(self):
+            return ""
+
+        def images(self):
+            return []
+
+        def has_form(self):
+            return False
+
+        def render(self, dpi, clip):
+            import uuid
+
+            from pyspark import TaskContext
+
+            (log / f"{TaskContext.get().partitionId()}-{uuid.uuid4().hex}").touch()
+            if self.no == 777:
+                raise ValueError("this page fails")
+            return self.no
+
+    class Reader:
+        def read(self, image):
+            return [f"page{image}"]
+
+    extractor = OcrExtractor(Recognizer(Reader(), tile_px=2000), lambda content: (Page(i) for i in range(int(content))), lambda c: None)
+    engine = Engine(spark, str(tmp_path / "s"), Settings(max_pdf_pages=5000, enable_semantic_chunking=False, chunk_size=100_000, chunk_overlap=0), extractor=extractor)
+    report = engine.ingest(str(root))
+    assert report.errors.count() == 0
+    texts = {r.source.rpartition("/")[2]: r.text.split() for r in engine.store.chunks().collect()}
+    assert texts["long.pdf"] == [f"page{i}" for i in range(2000) if i != 777] and texts["short.pdf"] == ["page0", "page1", "page2"]
+    assert len(list(log.iterdir())) == 2003 and len({p.name.split("-")[0] for p in log.iterdir()}) >= 4
