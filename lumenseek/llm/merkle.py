@@ -19,7 +19,7 @@ from .scratch import Scratch
 
 FAN = 16
 #: Rows in a range of the order of leaves, and bytes of the table of groups up to which it is broadcast to the leaves.
-RANGE_ROWS, BROADCAST_BYTES = 100_000, 32_000_000
+RANGE_ROWS, BROADCAST_BYTES = 10_000, 32_000_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
