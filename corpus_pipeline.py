@@ -6,7 +6,7 @@ rows are written as Parquet and read again. Rows may hold nulls in any column, r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenseek.llm.bpe import encode_documents
@@ -35,8 +35,10 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     # Ids repeat: each document takes a number of its own, and ids only say which of a group stays.
     number, digest = max(docs.columns, key=len) + "_number", F.md5(F.encode("text", "UTF-8"))
     others = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]  # maps have no order
-    same = Window.partitionBy("doc_id", digest).orderBy(*others, F.monotonically_increasing_id())
-    rows = docs.withColumn(number, F.row_number().over(same)).where(F.col("doc_id").isNull() | (F.col(number) == 1))
+    # Of rows with one id and one text the least stays, by an aggregation that is partial before the shuffle.
+    row, least = F.struct(*docs.columns), F.struct(*others) if others else F.lit(0)
+    once = docs.where("doc_id is not null").groupBy("doc_id", digest.alias("_digest")).agg(F.min_by(row, least).alias("_row")).select("_row.*")
+    rows = docs.where("doc_id is null").unionByName(once)
     rows = scratch.keep(rows.withColumn(number, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())))
     found = near_duplicates(rows, id_col=number, shingle_words=5, percent=80).where("component_id is not null").select(number, "component_id")
     found = scratch.keep(found.join(rows.select(number, "doc_id", digest.alias("digest")), number))
