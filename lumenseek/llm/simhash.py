@@ -109,6 +109,11 @@ def within_radius(prints: DataFrame, radius: int = 3, blocks: int = 8, fingerpri
     return pair.where(F.col("t") == first).select("a", "b", "distance")
 
 
+def _name(text: Column) -> Column:
+    """128 bits that stand for a text: among 10^10 of them none are expected to collide."""
+    return F.unhex(F.md5(F.encode(text, "UTF-8")))
+
+
 def with_next(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``range``, ``id``, ``text`` and ``next``: the text of the next row by id (after the last: the first).
 
@@ -121,6 +126,7 @@ def with_next(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     ranged, key = with_ranges(rows, RANGE_ROWS, id_keys("id", "text"))
+    ranged = Scratch(rows.sparkSession).keep(ranged)  # read twice: a row must not change its range in between
     inside = ranged.repartition(tasks, "range").withColumn("next", F.lead("text").over(Window.partitionBy("range").orderBy(*key)))
     # Heads are found before texts move: one row for each range and task is shuffled.
     ranges = ranged.groupBy("range").agg(F.min_by("text", F.struct(*key)).alias("head"))
@@ -143,8 +149,8 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half))
-    named = pairs.select("range", "id", "text", edited.alias("edited"), F.xxhash64("next").alias("after")).select(
-        "range", "id", "after", "text", "edited", F.xxhash64("text").alias("own"), F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+    named = pairs.select("range", "id", "text", edited.alias("edited"), _name(F.col("next")).alias("after")).select(
+        "range", "id", "after", "text", "edited", _name(F.col("text")).alias("own"), F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
     )
     # A key names a row's text; the two texts of a row are two terms streams with one key each.
     keys = ["range", "id", "own", "after", "n_chars", "edited_sha256", "kind"]
