@@ -419,10 +419,11 @@ def _cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
+def _numbered(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """``rows`` (id, text) with seq: their place by id (nulls first) and a hash of the text. Ranges are numbered
     inside, then shifted by the rows of the ranges before."""
     ranged, key = with_ranges(rows, RANGE_ROWS, id_keys("id", "text"))
+    ranged = scratch.keep(ranged)  # read twice: a row must not change its range in between
     sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
     before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
     inside = ranged.withColumn("k", F.row_number().over(Window.partitionBy("range").orderBy(*key)))
@@ -447,7 +448,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     named = rows.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n"), F.max(F.col("id").isNull())).first()
     plain = (named[0] or 0) <= 1 and not named[1]
-    rows = rows.withColumn("seq", F.col("id")) if plain else scratch.keep(_numbered(rows))
+    rows = rows.withColumn("seq", F.col("id")) if plain else scratch.keep(_numbered(rows, scratch))
 
     # 1. Whole copies.
     light = rows.select("seq", F.md5(F.encode("text", "UTF-8")).alias("m"), F.octet_length("text").alias("n")).where(F.col("n") >= LENGTH)

@@ -254,3 +254,33 @@ def test_one_outlying_id_does_not_fill_a_range(spark):
     for frame in (rows, rows.selectExpr("if(id % 3 = 0, null, 5L) AS id", "text")):
         counts = [r["count"] for r in with_ranges(frame, 500, id_keys("id", "text"))[0].groupBy("range").count().collect()]
         assert sum(counts) == 20_000 and len(counts) > 30 and max(counts) < 2500
+
+
+def test_repeated_rows_of_an_input_that_changes_its_order(spark, monkeypatch):
+    from lumenseek.llm import simhash, suffix
+    from lumenseek.llm.scratch import Scratch
+
+    def shuffled(frames):
+        import random
+
+        for frame in frames:
+            yield frame.sample(frac=1, random_state=random.SystemRandom().randrange(2**31))
+
+    rows = [(5, "the same text")] * 60 + [(i, f"text {i}") for i in (1, 2, 7, 8)] + [(5, "another text"), (None, "a"), (None, "a"), (None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).mapInPandas(shuffled, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(simhash, "RANGE_ROWS", 7)
+    monkeypatch.setattr(suffix, "RANGE_ROWS", 7)
+    for _ in range(2):
+        got = [(r.id, r.text, r.next) for r in simhash.with_next(docs, "doc_id", "text").collect()]
+        assert sorted(map(str, [g[:2] for g in got])) == sorted(map(str, rows))
+        assert sum(t == n == "the same text" for _, t, n in got) == 59 and sum(t == n == "a" for _, t, n in got) == 2
+        assert sorted(n for _, _, n in got) == sorted(t for _, t in rows)  # each is the next of one
+        numbered = suffix._numbered(docs.select(F.col("doc_id").alias("id"), "text"), Scratch(spark)).collect()
+        assert sorted(r.seq for r in numbered) == list(range(1, len(rows) + 1))
+
+
+def test_texts_are_named_by_128_bits(spark):
+    from lumenseek.llm.simhash import _name
+
+    row = spark.createDataFrame([("x",)], "t string").select(_name(F.col("t")).alias("n")).first()
+    assert bytes(row.n) == hashlib.md5(b"x").digest()
