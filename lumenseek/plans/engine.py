@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import warnings
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
@@ -61,6 +61,7 @@ class Engine:
     extractor: TextExtractor | None = None
     model: LanguageModel = field(default_factory=ExtractiveModel)
     reranker: Reranker | None = None
+    progress: Callable[[str, int], object] | None = None  # told each step of an ingestion, and its rows
 
     def __post_init__(self):
         self.store = store.Store(self.spark, self.root)
@@ -88,7 +89,10 @@ class Engine:
 
         def kept(frame: DataFrame, name: str) -> DataFrame:
             frame.write.parquet(f"{self.root}/{work}/{name}")
-            return self.spark.read.parquet(f"{self.root}/{work}/{name}")
+            out = self.spark.read.parquet(f"{self.root}/{work}/{name}")
+            if self.progress is not None:
+                self.progress(name, out.count())  # from the files' footers
+            return out
 
         # Rules by name and extension come first: what they refuse is never opened.
         early = skipping.skip_reason(F.col("name"), F.col("ext"), F.col("size"), F.lit(False), s.skip_files, allowed, float("inf"))
@@ -236,6 +240,8 @@ class Engine:
                 state = self._with_words(state, chunks, epoch)
             state = replace(state, n_chunks=state.n_chunks + n)
         st.commit(self._compacted(state))
+        if self.progress is not None:
+            self.progress("stored", n)
         return n
 
     def _with_vectors(self, state: store.Manifest, new: DataFrame, n: int, epoch: Column) -> store.Manifest:

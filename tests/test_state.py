@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from lumenseek.config import Settings
 from lumenseek.operators.bm25 import build_bm25
-from lumenseek.plans import engine as engines
 from lumenseek.plans.engine import Engine
 from lumenseek.sources import files, store, walk
 
@@ -289,5 +288,21 @@ def test_files_that_arrive(spark, folder, tmp_path):
     sameness(engine, spark)
 
 
-def test_dead_share_is_a_setting_of_the_module():
-    assert 0 < engines.DEAD < 1
+def test_commands_on_the_state(spark, folder, tmp_path, capsys, monkeypatch):
+    import io
+
+    from lumenseek import cli
+
+    state = ["--state", str(tmp_path / "cli")]
+    assert cli.main([*state, "ingest", str(folder), "--verbose"], spark) == 0
+    steps = [line.split(":")[0].strip() for line in capsys.readouterr().err.splitlines() if line.startswith("  ")]
+    assert steps == ["listing", "looked", "judged", "taken", "stored"]
+    monkeypatch.setattr("sys.stdin", io.StringIO("which page speaks of subject3\n\nQuit\nnever asked\n"))
+    assert cli.main([*state, "ask", "--json"], spark) == 0
+    assert len(capsys.readouterr().out.splitlines()) == 1
+    (folder / "late.html").write_text("<p>Tidal plants use the moon.</p>")
+    assert cli.main([*state, "watch", str(folder), "--checkpoint", str(tmp_path / "check")], spark) == 0
+    assert '"chunks": 13' in capsys.readouterr().out
+    assert cli.main([*state, "compact"], spark) == 0 and cli.main([*state, "vacuum", "--retain", "1", "--hours", "0"], spark) == 0
+    assert "deleted: " in capsys.readouterr().out
+    assert cli.main([*state, "health"], spark) == 0 and '"chunks": 13' in capsys.readouterr().out
