@@ -212,17 +212,18 @@ def bm25_search(index: Bm25Index, queries: DataFrame, k: int) -> DataFrame:
     if 0 < some.num_rows <= ASKED and len(names) * len(terms) <= WEIGHTS:
         spark, number = queries.sparkSession, {t: i for i, t in enumerate(terms.to_pylist())}
         wanted = spark.createDataFrame(pa.table({"term": terms, "no": pa.array(range(len(terms)), pa.int32())}))
-        idf = np.zeros(len(terms))
-        # The first join goes below the sums of a stored index, so that only terms asked for are added up.
-        for r in index.terms.join(F.broadcast(wanted.select("term")), "term", "left_semi").join(F.broadcast(wanted), "term").select("no", "idf").collect():
-            idf[r.no] = r.idf
+        idf, avgdl = np.zeros(len(terms)), 1.0
+        # One job for weights and lengths. The first join goes below the sums of a stored index, so that only terms asked
+        # for are added up.
+        found = index.terms.join(F.broadcast(wanted.select("term")), "term", "left_semi").join(F.broadcast(wanted), "term")
+        for r in found.crossJoin(F.broadcast(index.corpus.select("avgdl"))).select("no", "idf", "avgdl").collect():
+            idf[r.no], avgdl = r.idf, r.avgdl or 1.0
         place = {q: i for i, q in enumerate(names.to_pylist())}
         weights = np.zeros((len(terms), len(names)))
         for q, t, n in zip(*(some.column(c).to_pylist() for c in ("query_id", "term", "times")), strict=True):
             weights[number[t], place[q]] = n * idf[number[t]]
-        avgdl = index.corpus.select("avgdl").first()
         rows = _counted_rows(index, wanted)
-        run = _score_blocks(weights, (avgdl and avgdl[0]) or 1.0, k)
+        run = _score_blocks(weights, avgdl, k)
         found = rows.mapInArrow(run, f"q long, id {rows.schema['id'].dataType.simpleString()}, score double")
         keys = spark.createDataFrame(pa.table({"q": pa.array(range(len(names)), pa.int64()), "query_id": names}), f"q long, query_id {asked.schema['query_id'].dataType.simpleString()}")
         scored = found.join(F.broadcast(keys), "q").select("query_id", "id", "score")
