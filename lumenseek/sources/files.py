@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import traceback
 from collections.abc import Callable, Iterable, Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 from pathlib import Path
 
@@ -19,6 +21,8 @@ from . import walk
 EXCLUDED_DIRS = (".venv", "venv", ".git", ".hg", ".svn", "node_modules", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", "dist", "build", ".eggs")
 #: Elements whose text is not content.
 DROPPED_ELEMENTS = frozenset({"script", "style", "noscript"})
+#: An ampersand, with the character reference that it begins if that has its semicolon.
+REFERENCE = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[a-zA-Z][a-zA-Z0-9]*;)?")
 
 
 def check_root(folder: str, spark: SparkSession | None = None) -> str:
@@ -182,20 +186,27 @@ class _Text(HTMLParser):
             self.parts.append(data)
 
 
-def html_to_text(html: str) -> str:
-    """Text nodes, one a line, without scripts, styles and comments; entities decoded."""
+def _ended(reference: re.Match) -> str:
+    """A character reference as it is, if it ends in a semicolon and has a meaning; else its ampersand as text."""
+    name = reference[1]
+    return reference[0] if name and (name[0] == "#" or name in html5) else "&amp;" + (name or "")
+
+
+def html_to_text(html: str, ended: bool = False) -> str:
+    """Text nodes, one a line, without scripts, styles and comments; entities decoded. Browsers take some without their
+    semicolon too (``&amp`` in a text that was cut off); with ``ended`` those stay as they are."""
     parser = _Text()
-    parser.feed(html)
+    parser.feed(REFERENCE.sub(_ended, html) if ended else html)
     parser.close()
     return "\n".join(parser.parts)
 
 
-def html_text(html: Column) -> Column:
+def html_text(html: Column, ended: bool = False) -> Column:
     """:func:`html_to_text` of a column, in batches. Null stays null."""
 
     @F.arrow_udf("string")
     def convert(pages: pa.Array) -> pa.Array:
-        return pa.array([None if h is None else html_to_text(h) for h in pages.to_pylist()], pa.string())
+        return pa.array([None if h is None else html_to_text(h, ended) for h in pages.to_pylist()], pa.string())
 
     return convert(html)
 

@@ -28,6 +28,12 @@ def test_html_to_text():
     assert files.html_to_text("<style>x{}</style>a<noscript>b</noscript>&eacute;<p>c</p>") == "a\né\nc"
 
 
+def test_html_entities_without_semicolon():
+    page = "<h1>a&amp;&amp</h1><p>&am &notit; &eacute; &#65; &#66 &amp;lt; &</p>"
+    assert files.html_to_text(page) == "a&&\n&am ¬it; é A B &lt; &"
+    assert files.html_to_text(page, ended=True) == "a&&amp\n&am &notit; é A &#66 &lt; &"
+
+
 def test_listing_prunes_and_ignores_case(spark, folder):
     rows = files.list_files(spark, str(folder), [".HTML", ".htm"])
     assert sorted(r.name for r in rows.collect()) == ["a.html", "b.HTM", "copy.html"]
