@@ -191,6 +191,13 @@ def hybrid(dense: DataFrame, keyword: DataFrame, queries: DataFrame, base_alpha:
     return fused.withColumn("rank", F.row_number().over(order))
 
 
+def with_rows(hits: DataFrame, rows: DataFrame, queries: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """``hits`` with the rows of their ids. The hits of up to ``QUERY_BLOCK`` queries are sent to the rows, so that none moves
+    which is no hit; those of more are joined by id. ``queries``: query_id; a query may have several hits, of bounded number."""
+    few = queries.select("query_id").limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
+    return (F.broadcast(hits) if few else hits).join(rows, id_col)
+
+
 def overlap_score(query: Column, text: Column) -> Column:
     """Share of the query's distinct words that a text has: the offline reranker."""
     asked = F.array_distinct(tokens(query))

@@ -385,7 +385,7 @@ class Engine:
         _, chunks, index = self._state()
         single = queries.where(F.length(F.trim("query")) > 0).select("query_id", F.lit(0).alias("variant_no"), F.col("query").alias("variant"))
         hits = index.search(embed(single, "variant", self.embedder), self.settings.top_k(k), self.settings.nprobe)
-        return hits.join(chunks, "chunk_id")
+        return retrieval.with_rows(hits, chunks, single)
 
     def search(self, queries: DataFrame, k: int | None = None) -> DataFrame:
         """The full plan. Without reranking all merged hits stay."""
@@ -398,7 +398,7 @@ class Engine:
         if words is not None:
             fused = retrieval.hybrid(hits.drop("faiss_score"), bm25_search(words, asked, width), asked, s.hybrid_alpha)
             hits = fused.select("query_id", "chunk_id", F.col("fused_score").alias("score"), F.col("dense_score").alias("faiss_score"), "bm25_score", "fused_score", "rank")
-        full = hits.join(chunks, "chunk_id").join(asked.select("query_id", "query"), "query_id")
+        full = retrieval.with_rows(hits, chunks, asked).join(asked.select("query_id", "query"), "query_id")
         if not s.enable_reranking:
             return full
         return retrieval.rerank(full, s.top_k(k), None if self.reranker is None else rerank_column(self.reranker))

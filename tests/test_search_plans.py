@@ -336,3 +336,18 @@ def test_all_keyword_scores_move_no_pair_of_query_and_document(spark):
     weights = index.terms.crossJoin(F.broadcast(index.corpus.select("avgdl")))
     weights.collect()
     assert weights._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0].count("Scan parquet") == 1
+
+
+def test_texts_that_are_no_hits_are_not_moved(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for texts of any size
+    try:
+        sent = catalogue.q21_rerank_topk(spark, SF)
+        moved = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "SortMergeJoin [chunk_id" in x and "LeftSemi" not in x and "LeftOuter" not in x]
+        assert not moved(sent)
+        want = sorted(map(tuple, sent.collect()))
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", 1)
+        joined = catalogue.q21_rerank_topk(spark, SF)
+        assert moved(joined) and sorted(map(tuple, joined.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
